@@ -1,0 +1,153 @@
+"""The batch from raw files to scores, stage by stage.
+
+Stages exchange data through written zones only, so a stage never recomputes another and a
+lost executor costs no more than the tasks it ran.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from creditmill import schemas
+from creditmill.operators.quality import columns_from
+from creditmill.params import DEFAULT_SCORE, ScoreParams
+from creditmill.plans import quarantine, score, silver
+from creditmill.plans.wide import wide_view_sql
+from creditmill.sources.catalog import create_database, register_external, register_view
+from creditmill.sources.delimited import read_declared_csv
+from creditmill.sources.manifest import ingest_manifest, read_manifest
+from creditmill.sources.zones import DEFAULT_FORMAT, read_zone, write_zone
+
+# Silver tables whose keys must be unique, and which have a cleaned copy in gold.
+KEYED_TABLES = ("customers", "delinquent_members", "record_enquiry_detail")
+
+
+@dataclass(frozen=True)
+class Lake:
+    """Where the zones are and how they are written."""
+
+    root: str
+    fmt: str = DEFAULT_FORMAT
+    number: str = "double"
+    silver_db: str = "lending_silver"
+    gold_db: str = "lending_gold"
+
+    def path(self, zone: str, name: str) -> str:
+        return f"{self.root}/{zone}/{name}"
+
+    def read(self, spark: SparkSession, zone: str, name: str) -> DataFrame:
+        return read_zone(spark, self.path(zone, name), self.fmt)
+
+    def write(self, df: DataFrame, zone: str, name: str, compact: bool = False) -> None:
+        write_zone(df, self.path(zone, name), self.fmt, compact)
+
+
+def read_bronze(spark: SparkSession, lake: Lake, files: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The bronze files with their declared schemas; ``files`` maps entity to path."""
+    return {e: read_declared_csv(spark, path, schemas.raw_schema(e, lake.number)) for e, path in files.items()}
+
+
+def build_silver(lake: Lake, raw: Mapping[str, DataFrame], at: str | None = None) -> None:
+    """Clean the raw frames, one per entity, into the silver zone."""
+    defaulters = raw["defaulters"]
+    tables = {
+        "customers": silver.customers_silver(raw["customers"], at),
+        "loans": silver.loans_silver(raw["loans"], at),
+        "repayments": silver.repayments_silver(raw["repayments"], at),
+        "delinquent_members": silver.delinquent_members(defaulters),
+        "record_enquiry_members": silver.record_or_enquiry_members(defaulters),
+        "record_enquiry_detail": silver.record_enquiry_detail(defaulters),
+    }
+    for name, df in tables.items():
+        lake.write(columns_from(df, schemas.silver_schema(name, lake.number)), "silver", name)
+
+
+def publish_silver(spark: SparkSession, lake: Lake) -> None:
+    """Register the silver tables and the wide view over them."""
+    create_database(spark, lake.silver_db, lake.path("catalog", lake.silver_db))
+    names = ("customers", "loans", "repayments", "delinquent_members", "record_enquiry_detail")
+    for name in names:
+        register_external(
+            spark,
+            f"{lake.silver_db}.{name}",
+            schemas.silver_schema(name, lake.number),
+            lake.path("silver", name),
+            lake.fmt,
+        )
+    register_view(
+        spark, f"{lake.silver_db}.customers_loans", wide_view_sql(*(f"{lake.silver_db}.{n}" for n in names))
+    )
+
+
+def build_quarantine(spark: SparkSession, lake: Lake) -> None:
+    """Write the lists of ambiguous members: one per table, and their union."""
+    tables = {name: lake.read(spark, "silver", name) for name in KEYED_TABLES}
+    for name, keys in quarantine.find_quarantined(tables).per_table.items():
+        lake.write(keys, "quarantine", name, compact=True)
+    lists = [lake.read(spark, "quarantine", name) for name in KEYED_TABLES]
+    lake.write(quarantine.union_distinct_keys(*lists), "quarantine", "members", compact=True)
+
+
+def build_gold(spark: SparkSession, lake: Lake, null_aware: bool = True) -> None:
+    """Write the keyed tables without the quarantined members."""
+    members = lake.read(spark, "quarantine", "members")
+    tables = {name: lake.read(spark, "silver", name) for name in KEYED_TABLES}
+    for name, df in quarantine.without_quarantined(tables, members, null_aware=null_aware).items():
+        lake.write(df, "gold", name)
+
+
+def publish_gold(spark: SparkSession, lake: Lake) -> None:
+    """Register the cleaned member tables."""
+    create_database(spark, lake.gold_db, lake.path("catalog", lake.gold_db))
+    for name in KEYED_TABLES:
+        register_external(
+            spark,
+            f"{lake.gold_db}.{name}",
+            schemas.silver_schema(name, lake.number),
+            lake.path("gold", name),
+            lake.fmt,
+        )
+
+
+def scores(
+    spark: SparkSession, lake: Lake, grain: str = "member", params: ScoreParams = DEFAULT_SCORE
+) -> DataFrame:
+    """Scores from the gold member tables and the silver loans and repayments."""
+    by_grain = {"member": score.score_members, "loan": score.score_by_loan}
+    return by_grain[grain](
+        lake.read(spark, "gold", "customers"),
+        lake.read(spark, "silver", "loans"),
+        lake.read(spark, "silver", "repayments"),
+        lake.read(spark, "gold", "delinquent_members"),
+        lake.read(spark, "gold", "record_enquiry_detail"),
+        params=params,
+    )
+
+
+def run(
+    spark: SparkSession,
+    raw_root: str,
+    manifest_path: str,
+    files: Mapping[str, str],
+    lake: Lake,
+    at: str | None = None,
+    grain: str = "member",
+    null_aware: bool = True,
+    multi_line_manifest: bool = True,
+) -> DataFrame:
+    """Raw files to scores. ``files`` maps each entity to its ``folder/file`` in the manifest."""
+    bronze = f"{lake.root}/bronze"
+    copied = ingest_manifest(spark, read_manifest(spark, manifest_path, multi_line_manifest), raw_root, bronze)
+    missing = sorted(set(files.values()) - set(copied))
+    if missing:
+        raise ValueError(f"files not in the manifest: {', '.join(missing)}")
+    build_silver(lake, read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()}), at)
+    publish_silver(spark, lake)
+    build_quarantine(spark, lake)
+    build_gold(spark, lake, null_aware)
+    publish_gold(spark, lake)
+    lake.write(scores(spark, lake, grain), "gold", "loan_score")
+    return lake.read(spark, "gold", "loan_score")
