@@ -338,9 +338,9 @@ _FINAL = {
     "wide_view_silver": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
     "wide_view_cleaned": _WIDE.format(c="customers_gold", d="delinq_gold", e="detail_gold"),
     "wide_catalog_view": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
-    "last_payment_points": f"SELECT r.loan_id, {_LAST} AS last_payment_pts FROM fx_repayments r "
+    "last_payment_points": f"SELECT l.loan_id, {_LAST} AS last_payment_pts FROM fx_repayments r "
     "JOIN fx_loans l ON CAST(l.loan_id AS BIGINT) = r.loan_id",
-    "total_payment_points": f"SELECT r.loan_id, {_TOTAL} AS total_payment_pts FROM fx_repayments r "
+    "total_payment_points": f"SELECT l.loan_id, {_TOTAL} AS total_payment_pts FROM fx_repayments r "
     "JOIN fx_loans l ON CAST(l.loan_id AS BIGINT) = r.loan_id",
     "count_band_points": "SELECT member_id, delinq_amnt, "
     + ", ".join(

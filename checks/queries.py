@@ -15,6 +15,7 @@ from creditmill import schemas
 from creditmill.functions import points as P
 from creditmill.operators import cleaning as ops
 from creditmill.operators import quality
+from creditmill.operators.joins import skew_join
 from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
 from creditmill.plans import pipeline, score, silver
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
@@ -405,27 +406,19 @@ def wide_view_cleaned(spark, sf_dir):
 
 
 # --- points ----------------------------------------------------------------------
-def _loans_paid(spark, sf_dir):
-    owed = loans(spark, sf_dir).select(
-        F.col("loan_id").try_cast("bigint").alias("loan_id"), "monthly_installment", "funded_amount"
-    )
-    return owed.join(repayments(spark, sf_dir), "loan_id")
+def _raw_payment_points(spark, sf_dir):
+    """Points over the uncleaned tables, where every arm of the rules occurs."""
+    return score.payment_points(repayments(spark, sf_dir), loans(spark, sf_dir), with_loan=("loan_id",))
 
 
 @query
 def last_payment_points(spark, sf_dir):
-    return _loans_paid(spark, sf_dir).select(
-        "loan_id",
-        P.last_payment_points(F.col("last_payment_amount"), F.col("monthly_installment")).alias("last_payment_pts"),
-    )
+    return _raw_payment_points(spark, sf_dir).select("loan_id", "last_payment_pts")
 
 
 @query
 def total_payment_points(spark, sf_dir):
-    return _loans_paid(spark, sf_dir).select(
-        "loan_id",
-        P.total_payment_points(F.col("total_payment_received"), F.col("funded_amount")).alias("total_payment_pts"),
-    )
+    return _raw_payment_points(spark, sf_dir).select("loan_id", "total_payment_pts")
 
 
 @query
@@ -461,13 +454,9 @@ def home_points(spark, sf_dir):
 def credit_limit_points(spark, sf_dir):
     # the fixture repeats some customers: one limit per member here
     limits = customers(spark, sf_dir).select("member_id", "tot_hi_cred_lim").distinct()
-    return (
-        loans(spark, sf_dir)
-        .join(limits, "member_id")
-        .select(
-            "loan_id",
-            P.credit_limit_points(F.col("funded_amount"), F.col("tot_hi_cred_lim")).alias("credit_limit_pts"),
-        )
+    rated = skew_join(loans(spark, sf_dir).select("member_id", "loan_id", "funded_amount"), limits, "member_id")
+    return rated.select(
+        "loan_id", P.credit_limit_points(F.col("funded_amount"), F.col("tot_hi_cred_lim")).alias("credit_limit_pts")
     )
 
 

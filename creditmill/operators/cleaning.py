@@ -32,23 +32,24 @@ def validated_numeric(
     df: DataFrame,
     columns: Sequence[str],
     pattern: str = PLAIN_NUMBER,
-    to: str = "double",
+    text_to: str = "double",
     legacy_float_text: bool = False,
 ) -> DataFrame:
     """Keep plain non-negative numbers, put NULL in place of everything else.
 
-    Text columns are matched against ``pattern`` before the cast. Columns that are
-    numbers already must be finite and not negative; ``legacy_float_text`` matches
-    their text form instead, which also rejects values that print with an exponent
-    (ten million and above, or below a thousandth).
+    Text columns are matched against ``pattern`` before the cast to ``text_to``. Columns
+    that are numbers already keep their type and must be finite and not negative;
+    ``legacy_float_text`` matches their text form instead, which also rejects values that
+    print with an exponent (ten million and above, or below a thousandth).
     """
+    kinds = df.schema
 
     def checked(name: str) -> Column:
-        if isinstance(df.schema[name].dataType, T.StringType):
-            return C.number_from_text(F.col(name), pattern, to)
+        if isinstance(kinds[name].dataType, T.StringType):
+            return C.number_from_text(F.col(name), pattern, text_to)
         if legacy_float_text:
-            return F.when(F.col(name).cast("string").rlike(pattern), F.col(name)).cast(to)
-        return C.plain_number(F.col(name)).cast(to)
+            return F.when(F.col(name).cast("string").rlike(pattern), F.col(name))
+        return C.plain_number(F.col(name))
 
     return df.withColumns({name: checked(name) for name in columns})
 
