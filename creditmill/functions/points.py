@@ -84,12 +84,14 @@ def grade_points(grade: Column, sub_grade: Column, p: ScoreParams = DEFAULT_SCOR
     bases = {"A": p.excellent, "B": p.very_good, "C": p.good, "D": p.bad, "E": p.very_bad}
     # Share of the grade's points per sub-grade step.
     steps = {"1": "1.00", "2": "0.95", "3": "0.90", "4": "0.85", "5": "0.80"}
-    graded = _first_match(
-        ((grade == letter) & (sub_grade == letter + step), F.lit(base * Decimal(factor)))
-        for letter, base in bases.items()
-        for step, factor in steps.items()
+    base = _first_match((grade == letter, F.lit(points)) for letter, points in bases.items())
+    step = F.substring(sub_grade, 2, 2)
+    share = _first_match((step == number, F.lit(Decimal(factor))) for number, factor in steps.items())
+    return (
+        F.when(grade.isin("F", "G"), F.lit(Decimal(p.unacceptable)))
+        .when(sub_grade.startswith(grade), base * share)
+        .cast("decimal(11,1)")
     )
-    return graded.when(grade.isin("F", "G"), F.lit(Decimal(p.unacceptable))).cast("decimal(11,1)")
 
 
 def final_grade(score: Column, p: ScoreParams = DEFAULT_SCORE) -> Column:

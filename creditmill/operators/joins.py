@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
-MAX_HOT_KEYS = 100_000
+BUCKETS = 65_536
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Keys with more rows than one slice should hold: ``_hot_key`` and its number of ``_slices``.
 
-    A slice is ``rows_per_slice`` rows, or a ``MAX_HOT_KEYS``-th of the table if that is
-    more. Fewer than ``MAX_HOT_KEYS`` keys can exceed it, so the result is small enough to
-    broadcast whatever the size of ``df``.
+    A slice is ``rows_per_slice`` rows, or four times an average bucket if that is more, so
+    fewer than ``BUCKETS / 4`` keys can exceed it: few enough to broadcast whatever the size
+    of ``df``.
+
+    Rows are first counted per bucket of keys, which shuffles next to nothing, and then per
+    key in the buckets that are too full to hold rare keys only. Without frequent keys there
+    is no such bucket and the second count has no input.
     """
-    counts = df.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    slice_rows = F.greatest(F.lit(rows_per_slice).cast("double"), total / MAX_HOT_KEYS)
-    return counts.filter(F.col("_hot_key").isNotNull() & (F.col("_n") > slice_rows)).select(
-        "_hot_key", F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices")
+    keyed = df.select(F.col(key).alias("_hot_key")).filter(F.col("_hot_key").isNotNull())
+    bucket = F.pmod(F.xxhash64("_hot_key"), F.lit(BUCKETS))
+    per_bucket = keyed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    total = per_bucket.agg(F.sum("_n")).scalar()
+    slice_rows = F.greatest(F.lit(rows_per_slice).cast("double"), total * 4.0 / BUCKETS)
+    full = F.broadcast(per_bucket.filter(F.col("_n") > slice_rows).select("_bucket"))
+    return (
+        keyed.join(full, bucket == F.col("_bucket"), "left_semi")
+        .groupBy("_hot_key")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > slice_rows)
+        .select("_hot_key", F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
     )
 
 

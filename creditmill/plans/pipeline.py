@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from creditmill import schemas
 from creditmill.operators.quality import columns_from
@@ -38,8 +39,16 @@ class Lake:
     def path(self, zone: str, name: str) -> str:
         return f"{self.root}/{zone}/{name}"
 
+    def schema(self, zone: str, name: str) -> T.StructType | None:
+        """Columns of a table; those of the scores depend on the grain and are left to the files."""
+        if zone == "quarantine":
+            return schemas.silver_schema("record_enquiry_members")
+        return schemas.silver_schema(name, self.number) if name in schemas.SILVER_ENTITIES else None
+
     def read(self, spark: SparkSession, zone: str, name: str) -> DataFrame:
-        return read_zone(spark, self.path(zone, name), self.fmt)
+        # some formats know their schema and take none
+        schema = self.schema(zone, name) if self.fmt in ("parquet", "orc", "json") else None
+        return read_zone(spark, self.path(zone, name), self.fmt, schema)
 
     def write(self, df: DataFrame, zone: str, name: str, compact: bool = False) -> None:
         write_zone(df, self.path(zone, name), self.fmt, compact)

@@ -34,7 +34,9 @@ def payment_points(
     """Points of each repayment against its loan: one row per matching pair.
 
     A loan id that is no number matches nothing. ``with_loan`` names loan columns to keep.
+    The row counts of tallied loans are passed on.
     """
+    with_loan = (*with_loan, *_count_of(loans))
     if quarantined is not None:
         loans = exclude_keys(loans, quarantined, "member_id")
     owed = loans.select(
@@ -133,13 +135,32 @@ def member_loan_points(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Financial-health points of each loan with its customer: one row per loan."""
+    rated = _loan_points(loans, _customer_points(customers, params), rows_per_slice, params)
+    return rated.select("member_id", *HEALTH_POINTS)
+
+
+def _loan_points(loans: DataFrame, members: DataFrame, rows_per_slice: int, params: ScoreParams) -> DataFrame:
+    """The points of ``members`` with those of each of their loans: one row per loan."""
+    own = [c for c in members.columns if c in DEFAULT_POINTS]
     return skew_join(
-        loans.select("member_id", "loan_status", "funded_amount"),
-        _customer_points(customers, params),
-        "member_id",
-        "inner",
-        rows_per_slice,
-    ).select("member_id", *_health_columns(params))
+        loans.select("member_id", "loan_status", "funded_amount"), members, "member_id", "inner", rows_per_slice
+    ).select("member_id", *own, *_health_columns(params))
+
+
+def _member_points(
+    customers: DataFrame,
+    delinquent: DataFrame,
+    detail: DataFrame,
+    quarantined: DataFrame | None,
+    params: ScoreParams,
+    include_clean: bool,
+) -> DataFrame:
+    """All that a member's score needs besides loans and payments: one row per member."""
+    if quarantined is not None:
+        detail = exclude_keys(detail, quarantined, "member_id")
+    return member_default_points(detail, delinquent, params, include_clean).join(
+        _customer_points(customers, params), "member_id"
+    )
 
 
 def health_points(
@@ -157,16 +178,18 @@ def health_points(
     """
     if quarantined is not None:
         customers = exclude_keys(customers, quarantined, "member_id")
-    left = tally_rows(defaults).withColumnRenamed(ROW_COUNT, "_payments")
-    right = tally_rows(member_loan_points(loans, customers, params, rows_per_slice)).withColumnRenamed(
-        ROW_COUNT, "_loans"
-    )
-    return left.join(right, "member_id").select(
-        "member_id",
-        *PAYMENT_POINTS,
-        *DEFAULT_POINTS,
-        *HEALTH_POINTS,
-        times(F.col("_payments"), F.col("_loans")).alias(ROW_COUNT),
+    return _paired(
+        tally_rows(defaults), tally_rows(member_loan_points(loans, customers, params, rows_per_slice))
+    ).select("member_id", *PAYMENT_POINTS, *DEFAULT_POINTS, *HEALTH_POINTS, ROW_COUNT)
+
+
+def _paired(payments: DataFrame, loans: DataFrame) -> DataFrame:
+    """Tallied payments with the tallied loans of the same member; the counts multiply."""
+    other = loans.withColumnRenamed(ROW_COUNT, "_loans")
+    return (
+        payments.join(other, "member_id")
+        .withColumn(ROW_COUNT, times(F.col(ROW_COUNT), F.col("_loans")))
+        .drop("_loans")
     )
 
 
@@ -220,10 +243,11 @@ def score_members(
     ``quarantined`` is needed only if the member tables still hold quarantined keys. It is
     then taken out of the smallest of them: the inner joins carry that to the rest.
     """
-    payments = tally_rows(payment_points(repayments, loans, None, params, (), rows_per_slice))
-    defaults = default_points(payments, detail, delinquent, quarantined, params, include_clean)
-    points = health_points(defaults, loans, customers, None, params, rows_per_slice)
-    return with_final_grade(weighted_score(points, params), params)
+    owed = tally_rows(loans, ["loan_id", "member_id", "monthly_installment", "funded_amount"])
+    payments = tally_rows(payment_points(repayments, owed, None, params, (), rows_per_slice))
+    members = _member_points(customers, delinquent, detail, quarantined, params, include_clean)
+    rated = tally_rows(_loan_points(loans, members, rows_per_slice, params))
+    return with_final_grade(weighted_score(_paired(payments, rated), params), params)
 
 
 def score_by_loan(
@@ -240,11 +264,7 @@ def score_by_loan(
     """Score and grade of every loan on its own payments: one row per loan and repayment."""
     kept = ("loan_id", "loan_status", "funded_amount")
     payments = payment_points(repayments, loans, None, params, kept, rows_per_slice)
-    if quarantined is not None:
-        detail = exclude_keys(detail, quarantined, "member_id")
-    members = member_default_points(detail, delinquent, params, include_clean).join(
-        _customer_points(customers, params), "member_id"
-    )
+    members = _member_points(customers, delinquent, detail, quarantined, params, include_clean)
     points = skew_join(
         payments, members, "member_id", "inner", rows_per_slice, counted=loans.select("member_id")
     ).select("member_id", "loan_id", *PAYMENT_POINTS, *DEFAULT_POINTS, *_health_columns(params))

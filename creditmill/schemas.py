@@ -66,10 +66,7 @@ CUSTOMER_RENAMES = {
 
 
 def _declare(columns: str, number: str) -> T.StructType:
-    pairs = (c.split() for c in columns.split(", "))
-    return T.StructType(
-        [T.StructField(name, T.DataType.fromDDL(number if kind == "number" else kind)) for name, kind in pairs]
-    )
+    return T.StructType.fromDDL(columns.replace(" number", f" {number}"))
 
 
 def raw_schema(entity: str, number: str = "double") -> T.StructType:
@@ -83,3 +80,4 @@ def silver_schema(entity: str, number: str = "double") -> T.StructType:
 
 
 RAW_ENTITIES = tuple(_RAW)
+SILVER_ENTITIES = tuple(_SILVER)
