@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the number of local cores. Results go to
 Spark's no-op sink, so every column of every row is computed. Each query runs twice and the
-faster run counts, plan building included; ``score_pipeline`` builds all its zones each time,
+faster run counts, plan building included; ``member_scores`` builds all its zones each time,
 the other score queries read zones built before.
 """
 
@@ -35,7 +35,7 @@ HEADLINE = (
     "health_points",
     "grade_counts",
     "score_by_loan",
-    "score_pipeline",
+    "member_scores",
     "run_from_files",
 )
 

@@ -365,7 +365,7 @@ _FINAL = {
     "weighted_score": _tally(f"member_id, {_NEAT_PARTS}, loan_score", "scored"),
     "final_grade": f"SELECT member_id, loan_score, {_LETTER}, row_count FROM "
     f"({_tally(f'member_id, {_NEAT_PARTS}, loan_score', 'scored')})",
-    "score_pipeline": _tally(f"member_id, {_NEAT_PARTS}, loan_score, loan_final_grade", "graded"),
+    "member_scores": _tally(f"member_id, {_NEAT_PARTS}, loan_score, loan_final_grade", "graded"),
     "score_by_loan": _loan_scores("loan_points"),
     "score_with_clean_members": _loan_scores("all_loan_points"),
     "grade_report": _tally(
@@ -394,4 +394,25 @@ def _with_steps(query: str) -> str:
     return f"WITH {', '.join(steps)} {query.strip()}" if steps else query.strip()
 
 
-ORACLES = {name: _with_steps(query) for name, query in _FINAL.items()}
+_SCORES = ("payment_history_pts", "defaulters_history_pts", "financial_health_pts", "loan_score")
+# Columns that are decimals in the rules and doubles in the result.
+_DECIMALS = {
+    "grade_points": ("grade_pts",),
+    "health_points": ("grade_pts", "row_count"),
+    "weighted_score": (*_SCORES, "row_count"),
+    "final_grade": ("loan_score", "row_count"),
+    "member_scores": (*_SCORES, "row_count"),
+    "grade_report": (*_SCORES, "row_count"),
+    "grade_counts": ("total",),
+    "score_by_loan": _SCORES,
+    "score_with_clean_members": _SCORES,
+    "run_from_files": _SCORES,
+}
+
+
+def _as_doubles(name: str, query: str) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DECIMALS.get(name, ()))
+    return f"SELECT * REPLACE ({casts}) FROM ({query})" if casts else query
+
+
+ORACLES = {name: _with_steps(_as_doubles(name, query)) for name, query in _FINAL.items()}

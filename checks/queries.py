@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.fixtures import BY_ENTITY, fixture
 from checks.workdir import work_dir
@@ -17,7 +18,7 @@ from creditmill.operators import cleaning as ops
 from creditmill.operators import quality
 from creditmill.operators.joins import skew_join
 from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
-from creditmill.plans import pipeline, score, silver
+from creditmill.plans import batch, score, silver
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
 from creditmill.sources import catalog, delimited, manifest, zones
 
@@ -27,8 +28,14 @@ QUERIES: dict[str, Query] = {}
 INGESTED_AT = "2024-01-01 00:00:00"
 
 
+def decimals_as_doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles: clients differ in the Python type they give a decimal."""
+    decimals = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({c: F.col(c).cast("double") for c in decimals}) if decimals else df
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = lambda spark, sf_dir: decimals_as_doubles(fn(spark, sf_dir))
     return fn
 
 
@@ -42,19 +49,19 @@ loans = partial(fixture, entity="loans")
 repayments = partial(fixture, entity="repayments")
 defaulters = partial(fixture, entity="defaulters")
 
-_LAKES: dict[tuple[str, str], pipeline.Lake] = {}
+_LAKES: dict[tuple[str, str], batch.Lake] = {}
 
 
-def build_lake(spark: SparkSession, sf_dir: str) -> pipeline.Lake:
+def build_lake(spark: SparkSession, sf_dir: str) -> batch.Lake:
     """Silver, quarantine and gold zones of the derived tables, in a new folder."""
-    lake = pipeline.Lake(work_dir(spark))
-    pipeline.build_silver(lake, {e: fixture(spark, sf_dir, e) for e in BY_ENTITY}, INGESTED_AT)
-    pipeline.build_quarantine(spark, lake)
-    pipeline.build_gold(spark, lake)
+    lake = batch.Lake(work_dir(spark))
+    batch.build_silver(lake, {e: fixture(spark, sf_dir, e) for e in BY_ENTITY}, INGESTED_AT)
+    batch.build_quarantine(spark, lake)
+    batch.build_gold(spark, lake)
     return lake
 
 
-def shared_lake(spark: SparkSession, sf_dir: str) -> pipeline.Lake:
+def shared_lake(spark: SparkSession, sf_dir: str) -> batch.Lake:
     """The same zones, built once per application for all queries that start from them."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _LAKES:
@@ -516,14 +523,14 @@ def final_grade(spark, sf_dir):
 
 
 @query
-def score_pipeline(spark, sf_dir):
+def member_scores(spark, sf_dir):
     """The whole batch: raw tables to silver, quarantine, gold and scores."""
-    return pipeline.scores(spark, build_lake(spark, sf_dir))
+    return batch.scores(spark, build_lake(spark, sf_dir))
 
 
 @query
 def score_by_loan(spark, sf_dir):
-    return pipeline.scores(spark, shared_lake(spark, sf_dir), grain="loan")
+    return batch.scores(spark, shared_lake(spark, sf_dir), grain="loan")
 
 
 @query
@@ -541,12 +548,12 @@ def score_with_clean_members(spark, sf_dir):
 
 @query
 def grade_report(spark, sf_dir):
-    return score.grade_report(pipeline.scores(spark, shared_lake(spark, sf_dir)), "C")
+    return score.grade_report(batch.scores(spark, shared_lake(spark, sf_dir)), "C")
 
 
 @query
 def grade_counts(spark, sf_dir):
-    return score.grade_counts(pipeline.scores(spark, shared_lake(spark, sf_dir)))
+    return score.grade_counts(batch.scores(spark, shared_lake(spark, sf_dir)))
 
 
 # --- sources and sinks -----------------------------------------------------------
@@ -602,8 +609,8 @@ def external_table_roundtrip(spark, sf_dir):
 @query
 def wide_catalog_view(spark, sf_dir):
     lake = shared_lake(spark, sf_dir)
-    named = pipeline.Lake(lake.root, silver_db=f"silver_{uuid.uuid4().hex}")
-    pipeline.publish_silver(spark, named)
+    named = batch.Lake(lake.root, silver_db=f"silver_{uuid.uuid4().hex}")
+    batch.publish_silver(spark, named)
     return spark.table(f"{named.silver_db}.customers_loans").select(*WIDE_COLUMNS)
 
 
@@ -611,7 +618,7 @@ def wide_catalog_view(spark, sf_dir):
 def run_from_files(spark, sf_dir):
     root, tag = work_dir(spark), uuid.uuid4().hex
     places, listed = _write_raw(spark, sf_dir, root)
-    lake = pipeline.Lake(f"{root}/lake", silver_db=f"silver_{tag}", gold_db=f"gold_{tag}")
-    return pipeline.run(
+    lake = batch.Lake(f"{root}/lake", silver_db=f"silver_{tag}", gold_db=f"gold_{tag}")
+    return batch.run(
         spark, f"{root}/raw", listed, places, lake, INGESTED_AT, grain="loan", multi_line_manifest=False
     )

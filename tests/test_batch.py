@@ -8,7 +8,7 @@ from checks.fixtures import BY_ENTITY, fixture
 from creditmill import schemas
 from creditmill.operators.quality import assert_schema, value_frequencies
 from creditmill.operators.tally import ROW_COUNT
-from creditmill.plans import pipeline
+from creditmill.plans import batch
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
 from creditmill.sources.delimited import write_quoted_csv
 from tests.conftest import rows
@@ -28,9 +28,9 @@ def raw_root(spark, sf_dir, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def lake(spark, raw_root, tmp_path_factory):
-    lake = pipeline.Lake(str(tmp_path_factory.mktemp("lake")), silver_db="run_silver", gold_db="run_gold")
+    lake = batch.Lake(str(tmp_path_factory.mktemp("lake")), silver_db="run_silver", gold_db="run_gold")
     for _ in range(2):  # a run may be repeated
-        pipeline.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", FILES, lake, "2024-01-01")
+        batch.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", FILES, lake, "2024-01-01")
     return lake
 
 
@@ -41,23 +41,23 @@ def test_scores_were_written(spark, lake):
 
 
 def test_zones_have_the_declared_schemas(spark, lake):
-    for name in ("customers", "loans", "repayments", *pipeline.KEYED_TABLES[1:], "record_enquiry_members"):
+    for name in ("customers", "loans", "repayments", *batch.KEYED_TABLES[1:], "record_enquiry_members"):
         assert_schema(lake.read(spark, "silver", name), schemas.silver_schema(name))
-    for name in pipeline.KEYED_TABLES:
+    for name in batch.KEYED_TABLES:
         assert_schema(spark.table(f"run_gold.{name}"), schemas.silver_schema(name))
 
 
 def test_gold_keys_are_unique_and_not_quarantined(spark, lake):
     bad = lake.read(spark, "quarantine", "members")
     assert bad.count() > 0
-    for name in pipeline.KEYED_TABLES:
+    for name in batch.KEYED_TABLES:
         gold = spark.table(f"run_gold.{name}")
         assert value_frequencies(gold, "member_id").first().total == 1
         assert gold.join(bad, "member_id", "left_semi").count() == 0
 
 
 def test_wide_view_in_the_catalog_is_the_wide_view(spark, lake):
-    t = {n: lake.read(spark, "silver", n) for n in ("customers", "loans", "repayments", *pipeline.KEYED_TABLES[1:])}
+    t = {n: lake.read(spark, "silver", n) for n in ("customers", "loans", "repayments", *batch.KEYED_TABLES[1:])}
     built = wide_view(*t.values())
     assert built.columns == list(WIDE_COLUMNS) and len(WIDE_COLUMNS) == 35
     assert rows(spark.table("run_silver.customers_loans")) == rows(built)
@@ -65,7 +65,7 @@ def test_wide_view_in_the_catalog_is_the_wide_view(spark, lake):
 
 
 def test_wide_view_over_clean_tables_has_a_row_per_loan(spark, lake):
-    gold = {n: lake.read(spark, "gold", n) for n in pipeline.KEYED_TABLES}
+    gold = {n: lake.read(spark, "gold", n) for n in batch.KEYED_TABLES}
     loans = lake.read(spark, "silver", "loans")
     wide = wide_view(
         gold["customers"],
@@ -80,8 +80,8 @@ def test_wide_view_over_clean_tables_has_a_row_per_loan(spark, lake):
 
 
 def test_float_numbers_run_too(spark, raw_root, tmp_path):
-    lake = pipeline.Lake(str(tmp_path), number="float", silver_db="float_silver", gold_db="float_gold")
-    scored = pipeline.run(
+    lake = batch.Lake(str(tmp_path), number="float", silver_db="float_silver", gold_db="float_gold")
+    scored = batch.run(
         spark, f"{raw_root}/files", f"{raw_root}/manifest.json", FILES, lake, "2024-01-01", grain="loan"
     )
     assert scored.count() > 0
@@ -91,4 +91,4 @@ def test_float_numbers_run_too(spark, raw_root, tmp_path):
 def test_an_unlisted_file_is_an_error(spark, raw_root, tmp_path):
     files = {**FILES, "loans": "elsewhere/loans.csv"}
     with pytest.raises(ValueError, match="elsewhere/loans.csv"):
-        pipeline.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", files, pipeline.Lake(str(tmp_path)))
+        batch.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", files, batch.Lake(str(tmp_path)))

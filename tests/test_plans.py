@@ -24,7 +24,7 @@ def no_broadcast(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_cross_join_and_no_python_in_any_plan(spark, sf_dir, no_broadcast, name):
-    if name in ("run_from_files", "score_pipeline"):  # made of the stages checked here
+    if name in ("run_from_files", "member_scores"):  # made of the stages checked here
         return
     plan = physical(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan
@@ -93,7 +93,7 @@ def test_counts_are_partial_before_the_shuffle(spark, sf_dir):
 
 def test_no_query_is_limited_but_the_preview(spark, sf_dir):
     for name, query in QUERIES.items():
-        if name in ("preview_loans", "run_from_files", "score_pipeline"):
+        if name in ("preview_loans", "run_from_files", "member_scores"):
             continue
         optimized = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"\b(GlobalLimit|LocalLimit|Sample)\b", optimized), name
