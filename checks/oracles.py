@@ -25,8 +25,8 @@ _PAYMENT_COMPLETE = (
 
 def _band(column: str, unknown: int) -> str:
     return (
-        f"CASE WHEN {column} = 0 THEN 800 WHEN {column} BETWEEN 1 AND 2 THEN 250 "
-        f"WHEN {column} BETWEEN 3 AND 5 THEN 100 WHEN {column} > 5 OR {column} IS NULL THEN {unknown} END"
+        f"CASE WHEN coalesce({column}, 6) > 5 THEN {unknown} WHEN {column} >= 3 THEN 100 WHEN {column} >= 1 THEN 250 "
+        f"WHEN {column} = 0 THEN 800 END"
     )
 
 
@@ -34,27 +34,29 @@ def _whole(column: str) -> str:
     return f"CAST(coalesce(trunc({column}), 0) AS INTEGER)"
 
 
+# Bands are tested from the other end than in the Spark code.
 _LAST = (
-    "CASE WHEN {paid} < {due} * 0.5 THEN 100 WHEN {paid} >= {due} * 0.5 AND {paid} < {due} THEN 100 "
-    "WHEN {paid} = {due} THEN 500 WHEN {paid} > {due} AND {paid} <= {due} * 1.5 THEN 650 "
-    "WHEN {paid} > {due} * 1.5 THEN 800 ELSE 0 END"
-).format(paid="r.last_payment_amount", due="l.monthly_installment")
+    "CASE WHEN r.last_payment_amount IS NULL OR l.monthly_installment IS NULL THEN 0 "
+    "WHEN r.last_payment_amount > 1.5 * l.monthly_installment THEN 800 "
+    "WHEN r.last_payment_amount > l.monthly_installment THEN 650 "
+    "WHEN r.last_payment_amount = l.monthly_installment THEN 500 ELSE 100 END"
+)
 _TOTAL = (
-    "CASE WHEN {got} >= {sum} * 0.5 THEN 650 WHEN {got} < {sum} * 0.5 AND {got} > 0 THEN 500 "
-    "WHEN {got} = 0 OR {got} IS NULL THEN 0 END"
-).format(got="r.total_payment_received", sum="l.funded_amount")
+    "CASE WHEN coalesce(r.total_payment_received, 0) = 0 THEN 0 WHEN l.funded_amount IS NULL THEN NULL "
+    "WHEN 2 * r.total_payment_received < l.funded_amount THEN 500 ELSE 650 END"
+)
 _STATUS = (
-    "CASE WHEN lower({c}) LIKE '%fully paid%' THEN 800 WHEN lower({c}) LIKE '%current%' THEN 500 "
-    "WHEN lower({c}) LIKE '%in grace period%' THEN 250 WHEN lower({c}) LIKE '%late (16-30 days)%' "
-    "OR lower({c}) LIKE '%late (31-120 days)%' THEN 100 ELSE 0 END"
+    "coalesce(list_filter([{{'t': 'fully paid', 'p': 800}}, {{'t': 'current', 'p': 500}}, "
+    "{{'t': 'in grace period', 'p': 250}}, {{'t': 'late (16-30 days)', 'p': 100}}, "
+    "{{'t': 'late (31-120 days)', 'p': 100}}], lambda s: contains(lower({c}), s.t))[1].p, 0)"
 )
 _HOME = (
-    "CASE WHEN lower({c}) LIKE '%own' THEN 800 WHEN lower({c}) LIKE '%rent' THEN 500 "
-    "WHEN lower({c}) LIKE '%mortgage' THEN 250 WHEN lower({c}) LIKE '%any' OR {c} IS NULL THEN 100 END"
+    "CASE regexp_extract(lower(coalesce({c}, 'any')), '(own|rent|mortgage|any)$') "
+    "WHEN 'own' THEN 800 WHEN 'rent' THEN 500 WHEN 'mortgage' THEN 250 WHEN 'any' THEN 100 END"
 )
 _LIMIT = (
-    "CASE WHEN {f} <= {t} * 0.10 THEN 800 WHEN {f} <= {t} * 0.20 THEN 650 WHEN {f} <= {t} * 0.30 THEN 500 "
-    "WHEN {f} <= {t} * 0.50 THEN 250 WHEN {f} <= {t} * 0.70 THEN 100 ELSE 0 END"
+    "CASE WHEN {f} IS NULL OR {t} IS NULL OR {f} > {t} * 0.70 THEN 0 WHEN {f} > {t} * 0.50 THEN 100 "
+    "WHEN {f} > {t} * 0.30 THEN 250 WHEN {f} > {t} * 0.20 THEN 500 WHEN {f} > {t} * 0.10 THEN 650 ELSE 800 END"
 )
 _GRADE = (
     "CAST(CASE WHEN grade IN ('F', 'G') THEN 0 WHEN left(sub_grade, 1) = grade THEN "
@@ -176,16 +178,11 @@ STEPS = {
 }
 
 _WIDE = """
-SELECT l.loan_id, c.member_id, c.emp_title, c.emp_length, c.home_ownership, c.annual_income, c.address_state,
-  c.address_zipcode, c.address_country, c.grade, c.sub_grade, c.verification_status, c.total_high_credit_limit,
-  c.application_type, c.joint_annual_income, c.verification_status_joint, l.loan_amount, l.funded_amount,
-  l.loan_term_years, l.interest_rate, l.monthly_installment, l.issue_date, l.loan_status, l.loan_purpose,
-  r.total_principal_received, r.total_interest_received, r.total_late_fee_received, r.last_payment_date,
-  r.next_payment_date, d.delinq_2yrs, d.delinq_amnt, d.mths_since_last_delinq, e.pub_rec, e.pub_rec_bankruptcies,
-  e.inq_last_6mths
-FROM {c} c LEFT JOIN loans_data l ON c.member_id = l.member_id
-LEFT JOIN repayment_data r ON CAST(l.loan_id AS BIGINT) = r.loan_id
-LEFT JOIN {d} d ON c.member_id = d.member_id LEFT JOIN {e} e ON c.member_id = e.member_id
+SELECT c.*, l.loan_id, l.* EXCLUDE (loan_id, member_id, loan_title),
+  r.* EXCLUDE (loan_id, total_payment_received, last_payment_amount), d.* EXCLUDE (member_id), e.* EXCLUDE (member_id)
+FROM {c} c LEFT JOIN {e} e USING (member_id) LEFT JOIN {d} d USING (member_id)
+LEFT JOIN loans_data l ON l.member_id = c.member_id
+LEFT JOIN repayment_data r ON r.loan_id = TRY_CAST(l.loan_id AS BIGINT)
 """
 
 
