@@ -55,7 +55,7 @@ _LAKES: dict[tuple[str, str], batch.Lake] = {}
 def build_lake(spark: SparkSession, sf_dir: str) -> batch.Lake:
     """Silver, quarantine and gold zones of the derived tables, in a new folder."""
     lake = batch.Lake(work_dir(spark))
-    batch.build_silver(lake, {e: fixture(spark, sf_dir, e) for e in BY_ENTITY}, INGESTED_AT)
+    batch.build_silver(spark, lake, {e: fixture(spark, sf_dir, e) for e in BY_ENTITY}, INGESTED_AT)
     batch.build_quarantine(spark, lake)
     batch.build_gold(spark, lake)
     return lake

@@ -41,6 +41,8 @@ class Lake:
 
     def schema(self, zone: str, name: str) -> T.StructType | None:
         """Columns of a table; those of the scores depend on the grain and are left to the files."""
+        if zone == "staging":
+            return schemas.raw_schema(name, self.number)
         if zone == "quarantine":
             return schemas.silver_schema("record_enquiry_members")
         return schemas.silver_schema(name, self.number) if name in schemas.SILVER_ENTITIES else None
@@ -59,9 +61,15 @@ def read_bronze(spark: SparkSession, lake: Lake, files: Mapping[str, str]) -> di
     return {e: read_declared_csv(spark, path, schemas.raw_schema(e, lake.number)) for e, path in files.items()}
 
 
-def build_silver(lake: Lake, raw: Mapping[str, DataFrame], at: str | None = None) -> None:
-    """Clean the raw frames, one per entity, into the silver zone."""
-    defaulters = raw["defaulters"]
+def build_silver(
+    spark: SparkSession, lake: Lake, raw: Mapping[str, DataFrame], at: str | None = None
+) -> None:
+    """Clean the raw frames, one per entity, into the silver zone.
+
+    Three tables come from the defaulters, so these are parsed once into a staging zone.
+    """
+    lake.write(raw["defaulters"], "staging", "defaulters")
+    defaulters = lake.read(spark, "staging", "defaulters")
     tables = {
         "customers": silver.customers_silver(raw["customers"], at),
         "loans": silver.loans_silver(raw["loans"], at),
@@ -153,7 +161,8 @@ def run(
     missing = sorted(set(files.values()) - set(copied))
     if missing:
         raise ValueError(f"files not in the manifest: {', '.join(missing)}")
-    build_silver(lake, read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()}), at)
+    raw = read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()})
+    build_silver(spark, lake, raw, at)
     publish_silver(spark, lake)
     build_quarantine(spark, lake)
     build_gold(spark, lake, null_aware)

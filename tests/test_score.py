@@ -30,9 +30,11 @@ def tables(spark, sf_dir, tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def quarantined(tables):
+def quarantined(spark, tables, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('quarantine')}/members"
     keyed = {n: tables[n] for n in ("customers", "delinquent", "detail")}
-    return quarantine.find_quarantined(keyed).members
+    quarantine.find_quarantined(keyed).members.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def literal_points(tables, quarantined):
