@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW_COUNT = "row_count"
-# products of two row counts may exceed 64 bits
-COUNT_TYPE = "decimal(38,0)"
+# counts are 64-bit; the product of two may not fit
+PRODUCT_TYPE = "decimal(38,0)"
 
 
 def is_tallied(df: DataFrame) -> bool:
@@ -27,13 +27,13 @@ def tally_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     Counts partially before the shuffle. A frame that carries counts already has them summed.
     """
     columns = [c for c in (columns or df.columns) if c != ROW_COUNT]
-    total = F.sum(F.col(ROW_COUNT)) if is_tallied(df) else F.count(F.lit(1))
-    return df.groupBy(*columns).agg(total.cast(COUNT_TYPE).alias(ROW_COUNT))
+    total = F.sum(ROW_COUNT) if is_tallied(df) else F.count(F.lit(1))
+    return df.groupBy(*columns).agg(total.alias(ROW_COUNT))
 
 
 def times(left: Column, right: Column) -> Column:
     """Product of two row counts."""
-    return (left.cast(COUNT_TYPE) * right.cast(COUNT_TYPE)).cast(COUNT_TYPE)
+    return (left.cast(PRODUCT_TYPE) * right.cast(PRODUCT_TYPE)).cast(PRODUCT_TYPE)
 
 
 def repeat_rows(df: DataFrame, block: int = 10_000) -> DataFrame:

@@ -243,7 +243,12 @@ def score_members(
     ``quarantined`` is needed only if the member tables still hold quarantined keys. It is
     then taken out of the smallest of them: the inner joins carry that to the rest.
     """
-    owed = tally_rows(loans, ["loan_id", "member_id", "monthly_installment", "funded_amount"])
+    # copies of a loan collapse before they meet its repayments
+    owed = tally_rows(
+        loans.select(
+            F.col("loan_id").try_cast("bigint").alias("loan_id"), "member_id", "monthly_installment", "funded_amount"
+        ).filter(F.col("loan_id").isNotNull() & F.col("member_id").isNotNull())
+    )
     payments = tally_rows(payment_points(repayments, owed, None, params, (), rows_per_slice))
     members = _member_points(customers, delinquent, detail, quarantined, params, include_clean)
     rated = tally_rows(_loan_points(loans, members, rows_per_slice, params))
