@@ -7,8 +7,10 @@ lost executor costs no more than the tasks it ran.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -55,6 +57,17 @@ class Lake:
     def write(self, df: DataFrame, zone: str, name: str, compact: bool = False) -> None:
         write_zone(df, self.path(zone, name), self.fmt, compact)
 
+    def write_all(self, tables: Mapping[str, DataFrame], zone: str, compact: bool = False) -> None:
+        """Write tables that do not depend on each other at the same time, so that the tail of
+        one job does not leave the cluster idle."""
+        with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+            jobs = [
+                pool.submit(inheritable_thread_target(df.sparkSession)(self.write), df, zone, name, compact)
+                for name, df in tables.items()
+            ]
+        for job in jobs:
+            job.result()
+
 
 def read_bronze(spark: SparkSession, lake: Lake, files: Mapping[str, str]) -> dict[str, DataFrame]:
     """The bronze files with their declared schemas; ``files`` maps entity to path."""
@@ -78,8 +91,8 @@ def build_silver(
         "record_enquiry_members": silver.record_or_enquiry_members(defaulters),
         "record_enquiry_detail": silver.record_enquiry_detail(defaulters),
     }
-    for name, df in tables.items():
-        lake.write(columns_from(df, schemas.silver_schema(name, lake.number)), "silver", name)
+    checked = {n: columns_from(df, schemas.silver_schema(n, lake.number)) for n, df in tables.items()}
+    lake.write_all(checked, "silver")
 
 
 def publish_silver(spark: SparkSession, lake: Lake) -> None:
@@ -102,8 +115,7 @@ def publish_silver(spark: SparkSession, lake: Lake) -> None:
 def build_quarantine(spark: SparkSession, lake: Lake) -> None:
     """Write the lists of ambiguous members: one per table, and their union."""
     tables = {name: lake.read(spark, "silver", name) for name in KEYED_TABLES}
-    for name, keys in quarantine.find_quarantined(tables).per_table.items():
-        lake.write(keys, "quarantine", name, compact=True)
+    lake.write_all(quarantine.find_quarantined(tables).per_table, "quarantine", compact=True)
     lists = [lake.read(spark, "quarantine", name) for name in KEYED_TABLES]
     lake.write(quarantine.union_distinct_keys(*lists), "quarantine", "members", compact=True)
 
@@ -112,8 +124,7 @@ def build_gold(spark: SparkSession, lake: Lake, null_aware: bool = True) -> None
     """Write the keyed tables without the quarantined members."""
     members = lake.read(spark, "quarantine", "members")
     tables = {name: lake.read(spark, "silver", name) for name in KEYED_TABLES}
-    for name, df in quarantine.without_quarantined(tables, members, null_aware=null_aware).items():
-        lake.write(df, "gold", name)
+    lake.write_all(quarantine.without_quarantined(tables, members, null_aware=null_aware), "gold")
 
 
 def publish_gold(spark: SparkSession, lake: Lake) -> None:

@@ -100,3 +100,10 @@ def test_an_unlisted_file_is_an_error(spark, raw_root, tmp_path):
     files = {**FILES, "loans": "elsewhere/loans.csv"}
     with pytest.raises(ValueError, match="elsewhere/loans.csv"):
         batch.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", files, batch.Lake(str(tmp_path)))
+
+
+def test_a_failing_write_fails_the_stage(spark, tmp_path):
+    lake = batch.Lake(str(tmp_path))
+    bad = spark.range(3).selectExpr("raise_error('no such value') as v")
+    with pytest.raises(Exception, match="no such value"):
+        lake.write_all({"good": spark.range(3).selectExpr("id as v"), "bad": bad}, "silver")
