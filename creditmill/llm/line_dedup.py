@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import BLANKS, ascii_lower
+from creditmill.llm.common import BLANKS, ascii_lower, stored
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +42,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
     # Counted per document before per hash: a line that a third of all documents hold is spread over their ids.
     once = hashed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     common = once.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.min("id").alias("keeper"))
-    lost = hashed.join(common.where(F.col("n") >= min_docs).drop("n"), ["h1", "h2"]).where("id <> keeper")
+    # Stored, so that both sides of the join are shuffled for it and a frequent line's rows can be split.
+    common = stored(common.where(F.col("n") >= min_docs).drop("n"))
+    lost = hashed.join(common, ["h1", "h2"]).where("id <> keeper")
     return lost.groupBy("id", "version").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from creditmill.llm.bpe_lexicon import round_trip
 from creditmill.llm.line_dedup import line_report
 from creditmill.llm.ngram_join import near_duplicates
+from creditmill.llm.packing import packed_documents
+from creditmill.llm.token_store import stored_tokens
+
+#: The vocabulary's file; every operator takes its path as a parameter.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +23,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op6_packing, op7_bpe_lexicon, op9_token_store, op10_line_dedup)}
