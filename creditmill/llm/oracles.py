@@ -23,4 +23,70 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op10_line_dedup": OP10}
+OP3 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM texts
+), word AS (
+  SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words
+), windows AS (
+  SELECT k, i, w || chr(10) || lead(w) OVER o || chr(10) || lead(w, 2) OVER o AS g FROM word
+  WINDOW o AS (PARTITION BY k ORDER BY i)
+), twice AS (
+  SELECT k, i FROM windows WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, g) > 1
+), repeated AS (
+  SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY k
+), line AS (
+  SELECT k, unnest(string_split(text, chr(10))) AS l FROM texts
+), lines AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k
+), counts AS (
+  SELECT t.k, doc_id, lang, source, len(ws) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines
+  FROM texts t JOIN words USING (k) LEFT JOIN lines USING (k) LEFT JOIN repeated USING (k)
+), base AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+), metrics AS (
+  SELECT k, lang, source, base_failed, unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS metric,
+         unnest([1000 * n_symbols // n_words, 1000 * n_repeat_words // n_words,
+                 1000 * n_dup_lines // n_lines, 100 * word_chars // n_words]) AS v
+  FROM base WHERE n_words > 0
+), bucketed AS (
+  SELECT lang, source, metric, v - v % CAST(pow(2, greatest(0, length(bin(v)) - 5)) AS BIGINT) AS value
+  FROM metrics WHERE NOT base_failed
+), levels AS (
+  SELECT grouping(lang, source) AS level, lang, source, metric, value, count(*) AS n
+  FROM bucketed GROUP BY GROUPING SETS ((lang, source, metric, value), (lang, metric, value), (metric, value))
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY value) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
+), q AS (
+  SELECT level, lang, source, metric, max(total) AS total, min(value) FILTER (100 * upto >= 25 * total) AS q25,
+         min(value) FILTER (100 * upto >= 50 * total) AS q50, min(value) FILTER (100 * upto >= 75 * total) AS q75
+  FROM ranked GROUP BY level, lang, source, metric
+), room AS (
+  SELECT * FROM (VALUES ('symbols', 50, false), ('repeats', 300, false), ('dup_lines', 350, false), ('word_length', 150, true))
+  AS t(metric, least, below)
+), verdicts AS (
+  SELECT m.k, bool_and(v <= q50 + greatest(4 * (q75 - q25), least)
+                       AND (NOT below OR v >= q50 - greatest(4 * (q75 - q25), least))) AS inside
+  FROM metrics m JOIN room USING (metric) JOIN q ON q.metric = m.metric AND (
+    (q.level = 0 AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source) OR
+    (q.level = 1 AND q.lang IS NOT DISTINCT FROM m.lang) OR q.level = 3)
+  WHERE q.level = (
+    SELECT min(p.level) FROM q p WHERE p.metric = m.metric AND (p.total >= 100 OR p.level = 3) AND (
+      (p.level = 0 AND p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source) OR
+      (p.level = 1 AND p.lang IS NOT DISTINCT FROM m.lang) OR p.level = 3))
+  GROUP BY m.k
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(inside, false) AS kept
+FROM base LEFT JOIN verdicts USING (k)
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op10_line_dedup": OP10}

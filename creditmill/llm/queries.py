@@ -9,6 +9,8 @@ from creditmill.llm.bpe_lexicon import round_trip
 from creditmill.llm.line_dedup import line_report
 from creditmill.llm.ngram_join import near_duplicates
 from creditmill.llm.packing import packed_documents
+from creditmill.llm.quality_rules import judged
+from creditmill.llm.span_dedup import span_report
 from creditmill.llm.token_store import stored_tokens
 
 #: The vocabulary's file; every operator takes its path as a parameter.
@@ -19,10 +21,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -39,4 +49,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op6_packing, op7_bpe_lexicon, op9_token_store, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op9_token_store, op10_line_dedup,
+)}
