@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from creditmill.llm.bpe_lexicon import round_trip
+from creditmill.llm.ego_join import near_vectors
 from creditmill.llm.line_dedup import line_report
 from creditmill.llm.ngram_join import near_duplicates
 from creditmill.llm.packing import packed_documents
@@ -41,6 +42,10 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -50,5 +55,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op9_token_store, op10_line_dedup,
+    op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
 )}
