@@ -23,6 +23,19 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS
 FROM marked GROUP BY doc_id
 """
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to FROM m
+"""
+
 OP3 = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -89,4 +102,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN verdicts USING (k)
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op10_line_dedup": OP10}
+ORACLES = {"op2_warc": OP2, "op3_quality_rules": OP3, "op10_line_dedup": OP10}

@@ -13,6 +13,7 @@ from creditmill.llm.packing import packed_documents
 from creditmill.llm.quality_rules import judged
 from creditmill.llm.span_dedup import span_report
 from creditmill.llm.token_store import stored_tokens
+from creditmill.llm.warc import pages_from_archives
 
 #: The vocabulary's file; every operator takes its path as a parameter.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_from_archives(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
+    op2_warc, op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
 )}
