@@ -35,6 +35,7 @@ from creditmill.llm.common import scratch_dir, stored
 VERSION = b"WARC/1.1\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/1\.[01]\r\n")
+_REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: Bytes read at once, and the longest header.
 STEP, HEADER = 1 << 20, 1 << 16
 
@@ -119,7 +120,9 @@ class Archive:
             if not colon:
                 raise Damaged("header line without a name")
             fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        if not fields.get("content-length", "").isdigit():
+        if missing := [f for f in _REQUIRED if not fields.get(f)]:
+            raise Damaged(f"no {missing[0]}")
+        if not fields["content-length"].isdigit():
             raise Damaged("no length")
         return fields, end + 4
 
