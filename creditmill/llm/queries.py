@@ -13,6 +13,7 @@ from creditmill.llm.packing import packed_documents
 from creditmill.llm.quality_rules import judged
 from creditmill.llm.span_dedup import span_report
 from creditmill.llm.token_store import stored_tokens
+from creditmill.llm.toxicity import toxicity
 from creditmill.llm.warc import pages_from_archives
 
 #: The vocabulary's file; every operator takes its path as a parameter.
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_from_archives(_table(spark, sf_dir, "pages"))
 
@@ -60,5 +65,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_warc, op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
+    op1_toxicity, op2_warc, op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
 )}
