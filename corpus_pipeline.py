@@ -2,20 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditmill.llm.common import stored
 from creditmill.llm.line_dedup import drop_repeated_lines
+from creditmill.llm.ngram_join import keep_one_of_each
+from creditmill.llm.packing import packed_documents
+from creditmill.llm.quality_rules import keep_good
+from creditmill.llm.span_dedup import drop_repeated_spans
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go."""
-    return drop_repeated_lines(docs)
+    return _recounted(drop_repeated_lines(docs))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies stays."""
+    return keep_one_of_each(docs)
+
+
+def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go."""
+    return _recounted(drop_repeated_spans(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces in sequences of 2048 tokens."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_join", ngram_join),
+    ("span_dedup", span_dedup),
+    ("packing", packing),
+]
 
-#: The Jaccard join has no SQL form that ends on whole tables; tests hold the rows against brute force.
+#: Near copies and token ids have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
