@@ -1,0 +1,56 @@
+import numpy as np
+import pytest
+
+from creditmill.llm import ego_join
+from creditmill.llm.ego_join import near_vectors
+
+SCHEMA = "vec_id long, embedding array<float>, label int, h1 int, id string, n int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v], 1, 2, "x", 3) for i, v in rows], SCHEMA)
+
+
+def plain(rows, cosine=0.95):
+    good = [(k, i, np.array(v, np.float32).astype(float)) for k, (i, v) in enumerate(rows) if i is not None and v and all(c is not None for c in v)]
+    good = [g for g in good if np.isfinite(g[2]).all() and g[2].any()]
+    links, label = [0] * len(rows), {k: i for k, (i, _) in enumerate(rows)}
+    edges = []
+    for x, (k, _, v) in enumerate(good):
+        for m, _, u in good[:x]:
+            if len(u) == len(v) and u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) >= cosine:
+                links[k] += 1
+                links[m] += 1
+                edges.append((k, m))
+    for _ in rows:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted(((i, links[k], label[k], i is None or label[k] == i) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(3)
+    out = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 12)))]
+    center = rng.normal(size=12)
+    out += [(200 + i, (center + rng.normal(size=12) * 0.12).tolist()) for i in range(80)]  # a dense group
+    step = np.eye(12)
+    out += [(400 + i, (np.cos(i / 5) * step[0] + np.sin(i / 5) * step[1]).tolist()) for i in range(20)]  # a chain
+    out += [(500 + i, out[3][1]) for i in range(30)] + [(600, (np.array(out[4][1]) * 1e3).tolist()), (601, (-np.array(out[4][1])).tolist())]
+    nan = float("nan")
+    odd = [None, [], [0.0] * 12, [nan] * 12, [float("inf")] + [1.0] * 11, [None] * 12, [1.0, 2.0], [2.0, 4.0], [1.0] * 13]
+    out += [(700 + i, v) for i, v in enumerate(odd)]
+    return [*out, (3, out[3][1]), (None, out[3][1]), (None, None), (-5, out[250][1] if out[250][1] else None)]
+
+
+@pytest.mark.parametrize("block, leaf", [(4096, 512), (32, 8)])
+def test_against_all_pairs(spark, monkeypatch, rows, block, leaf):
+    monkeypatch.setattr(ego_join, "BLOCK", block)
+    monkeypatch.setattr(ego_join, "LEAF", leaf)
+    got = sorted(map(tuple, near_vectors(table(spark, rows)).collect()), key=repr)
+    assert got == plain(rows)
+
+
+def test_nothing_to_join(spark):
+    assert near_vectors(table(spark, [])).collect() == []
+    assert [tuple(r) for r in near_vectors(table(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
