@@ -75,6 +75,11 @@ _BLOCK = "part int, items binary, sizes binary, counts binary, high binary, low
 _NAMES = ["part", "items", "sizes", "counts", "high", "low", "ranks"]
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in 16 bits each where all of them fit, else in 32."""
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
 def _blocks(parts: int, to: np.ndarray, items, sizes, owner, keys, ranks) -> pa.RecordBatch:
     """One row per part; the keys of an item stay together. ``to``: each key's part; ``owner``: its item's place."""
     order = np.argsort(to.astype(np.uint16), kind="stable") if parts <= 65536 else np.argsort(to, kind="stable")
@@ -86,8 +91,8 @@ def _blocks(parts: int, to: np.ndarray, items, sizes, owner, keys, ranks) -> pa.
         first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
         rows["part"].append(int(part))
         rows["items"].append(items[whose[first]].tobytes())
-        rows["sizes"].append(sizes[whose[first]].astype(np.int32).tobytes())
-        rows["counts"].append(np.diff(np.append(first, len(own))).astype(np.int32).tobytes())
+        rows["sizes"].append(_narrow(sizes[whose[first]]))
+        rows["counts"].append(_narrow(np.diff(np.append(first, len(own)))))
         rows["high"].append((keys[own] >> _U(16)).astype(np.uint32).tobytes())
         rows["low"].append(keys[own].astype(np.uint16).tobytes())
         rows["ranks"].append(ranks[own].tobytes() if ranks is not None else b"")
@@ -99,7 +104,12 @@ def _read(table: pa.Table) -> tuple[np.ndarray, ...]:
     """items, sizes, counts (of keys for each entry), 48-bit keys, ranks: all rows of a part as one."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     keys = join("high", np.uint32).astype(_U) << _U(16) | join("low", np.uint16).astype(_U)
-    return join("items", np.int64), join("sizes", np.int32), join("counts", np.int32), keys, join("ranks", np.uint8)
+
+    def wide(name: str) -> np.ndarray:
+        cells = zip(table.column("items").to_pylist(), table.column(name).to_pylist(), strict=True)
+        return np.concatenate([np.frombuffer(c, np.uint16 if 4 * len(c) == len(i) else np.uint32) for i, c in cells]).astype(np.int64)
+
+    return join("items", np.int64), wide("sizes"), wide("counts"), keys, join("ranks", np.uint8)
 
 
 def _dealt_shingles(docs: DataFrame, words: int, parts: int) -> DataFrame:
