@@ -315,8 +315,9 @@ def linked(sets: list[np.ndarray], sizes: list[int], percent: int) -> list[tuple
         query = outside[0] if outside and len(edges) else waiting[0]
         own = ties.root(query)
         for other in index.partners(sets[query], sizes[query], lambda p: ties.root(p) == own):
-            edges.append((query, other))
-            ties.join(query, other)
+            if ties.root(other) != ties.root(query):
+                edges.append((query, other))
+                ties.join(query, other)
         waiting.remove(query)
     return edges
 
@@ -343,19 +344,22 @@ def _search_blocks(percent: int):
     """Queries against one block of a large group."""
 
     def search(table: pa.Table) -> pa.Table:
-        rows = table.select(["item", "n", "tokens", "query"]).to_pylist()
+        rows = table.select(["item", "n", "tokens", "query", "done"]).to_pylist()
         sets = [np.sort(np.frombuffer(r["tokens"], _U)) for r in rows]
         held = [k for k, r in enumerate(rows) if not r["query"]]
         index = InvertedLists([sets[k] for k in held], [rows[k]["n"] for k in held], percent)
         ties = _Sets(len(rows))
         place = {rows[k]["item"]: k for k in held}
+        tied = [k for k in held if rows[k]["done"]]
+        for k in tied:  # pivots have tied these together already
+            ties.join(tied[0], k)
         a, b = [], []
         for k, r in enumerate(rows):
             if r["query"]:
                 me = place.get(r["item"], k)
                 own = ties.root(me)
                 for p in index.partners(sets[k], r["n"], lambda p, own=own: ties.root(held[p]) == own):
-                    if rows[held[p]]["item"] != r["item"]:
+                    if rows[held[p]]["item"] != r["item"] and ties.root(held[p]) != ties.root(me):
                         a.append(r["item"])
                         b.append(rows[held[p]]["item"])
                         ties.join(me, held[p])
@@ -408,9 +412,10 @@ def _large_groups(members: DataFrame, percent: int, parts: int) -> DataFrame:
             break
     queries = members.join(state.where("not done and not asked").select("component", "item"), ["component", "item"])
     block = F.pmod(F.xxhash64(F.lit("block"), "item"), F.col("blocks")).cast("int")
-    held = members.select("component", block.alias("block"), "item", "n", "tokens", F.lit(False).alias("query"))
+    known = members.join(state.select("component", "item", "done"), ["component", "item"])
+    held = known.select("component", block.alias("block"), "item", "n", "tokens", F.lit(False).alias("query"), "done")
     asked = queries.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"),
-                           "item", "n", "tokens", F.lit(True).alias("query"))
+                           "item", "n", "tokens", F.lit(True).alias("query"), F.lit(False).alias("done"))
     edges.append(held.union(asked).groupBy("component", "block").applyInArrow(_search_blocks(percent), _EDGES))
     out = edges[0]
     for more in edges[1:]:
@@ -447,7 +452,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tied = stored(components(_links(docs, words, percent)).withColumnRenamed("id", "item"))
     least = classes.join(tied, "item").groupBy("component").agg(F.min("first").alias("least"))
     grouped = tied.join(least, "component").select("item", "least")
-    ids = classes.join(grouped, "item", "left").select("item", F.coalesce("least", "first").alias("component_id"))
+    # Stored, so that both sides of the join are shuffled for it and a frequent text's rows can be split.
+    ids = stored(classes.join(grouped, "item", "left").select("item", F.coalesce("least", "first").alias("component_id")))
     rows = named.join(ids, "item").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = items.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.union(rest)
