@@ -28,6 +28,18 @@ from creditmill.sources.zones import DEFAULT_FORMAT, read_zone, write_zone
 KEYED_TABLES = ("customers", "delinquent_members", "record_enquiry_detail")
 
 
+@dataclass(frozen=True)
+class Options:
+    """Choices of the batch; the README lists what they mean."""
+
+    validate_loans: bool = False
+    legacy_float_text: bool = False
+    include_clean: bool = False
+    null_aware: bool = True
+    params: ScoreParams = DEFAULT_SCORE
+    multi_line_files: bool = True
+
+
 @dataclass(frozen=True)
 class Lake:
     """Where the zones are and how they are written."""
@@ -69,13 +81,21 @@ class Lake:
             job.result()
 
 
-def read_bronze(spark: SparkSession, lake: Lake, files: Mapping[str, str]) -> dict[str, DataFrame]:
+def read_bronze(
+    spark: SparkSession, lake: Lake, files: Mapping[str, str], multi_line: bool = True
+) -> dict[str, DataFrame]:
     """The bronze files with their declared schemas; ``files`` maps entity to path."""
-    return {e: read_declared_csv(spark, path, schemas.raw_schema(e, lake.number)) for e, path in files.items()}
+    return {
+        e: read_declared_csv(spark, path, schemas.raw_schema(e, lake.number), multi_line) for e, path in files.items()
+    }
 
 
 def build_silver(
-    spark: SparkSession, lake: Lake, raw: Mapping[str, DataFrame], at: str | None = None
+    spark: SparkSession,
+    lake: Lake,
+    raw: Mapping[str, DataFrame],
+    at: str | None = None,
+    options: Options = Options(),
 ) -> None:
     """Clean the raw frames, one per entity, into the silver zone.
 
@@ -84,8 +104,8 @@ def build_silver(
     lake.write(raw["defaulters"], "staging", "defaulters")
     defaulters = lake.read(spark, "staging", "defaulters")
     tables = {
-        "customers": silver.customers_silver(raw["customers"], at),
-        "loans": silver.loans_silver(raw["loans"], at),
+        "customers": silver.customers_silver(raw["customers"], at, options.legacy_float_text, lake.number),
+        "loans": silver.loans_silver(raw["loans"], at, options.validate_loans),
         "repayments": silver.repayments_silver(raw["repayments"], at),
         "delinquent_members": silver.delinquent_members(defaulters),
         "record_enquiry_members": silver.record_or_enquiry_members(defaulters),
@@ -141,7 +161,11 @@ def publish_gold(spark: SparkSession, lake: Lake) -> None:
 
 
 def scores(
-    spark: SparkSession, lake: Lake, grain: str = "member", params: ScoreParams = DEFAULT_SCORE
+    spark: SparkSession,
+    lake: Lake,
+    grain: str = "member",
+    params: ScoreParams = DEFAULT_SCORE,
+    include_clean: bool = False,
 ) -> DataFrame:
     """Scores from the gold member tables and the silver loans and repayments."""
     by_grain = {"member": score.score_members, "loan": score.score_by_loan}
@@ -152,6 +176,7 @@ def scores(
         lake.read(spark, "gold", "delinquent_members"),
         lake.read(spark, "gold", "record_enquiry_detail"),
         params=params,
+        include_clean=include_clean,
     )
 
 
@@ -163,20 +188,25 @@ def run(
     lake: Lake,
     at: str | None = None,
     grain: str = "member",
-    null_aware: bool = True,
     multi_line_manifest: bool = True,
+    options: Options = Options(),
 ) -> DataFrame:
-    """Raw files to scores. ``files`` maps each entity to its ``folder/file`` in the manifest."""
-    bronze = f"{lake.root}/bronze"
-    copied = ingest_manifest(spark, read_manifest(spark, manifest_path, multi_line_manifest), raw_root, bronze)
+    """Raw files to scores. ``files`` maps each entity to its ``folder/file`` in the manifest.
+
+    A run that fails may leave a stage half written: run it again, from the stage that failed
+    or from the start. Every stage replaces its tables, and reads those of earlier stages only.
+    """
+    bronze, lines = f"{lake.root}/bronze", options.multi_line_files
+    manifest = read_manifest(spark, manifest_path, multi_line_manifest)
+    copied = ingest_manifest(spark, manifest, raw_root, bronze, multi_line=lines)
     missing = sorted(set(files.values()) - set(copied))
     if missing:
         raise ValueError(f"files not in the manifest: {', '.join(missing)}")
-    raw = read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()})
-    build_silver(spark, lake, raw, at)
+    raw = read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()}, lines)
+    build_silver(spark, lake, raw, at, options)
     publish_silver(spark, lake)
     build_quarantine(spark, lake)
-    build_gold(spark, lake, null_aware)
+    build_gold(spark, lake, options.null_aware)
     publish_gold(spark, lake)
-    lake.write(scores(spark, lake, grain), "gold", "loan_score")
+    lake.write(scores(spark, lake, grain, options.params, options.include_clean), "gold", "loan_score")
     return lake.read(spark, "gold", "loan_score")

@@ -10,9 +10,14 @@ FORMAT = {"sep": ",", "quote": '"', "escape": "\\", "header": True}
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_declared_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read with a declared schema. Columns bind by position; a value that does not fit is NULL."""
-    return spark.read.options(**FORMAT, **KEEP_BLANKS).schema(schema).option("enforceSchema", True).csv(path)
+def read_declared_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Read with a declared schema. Columns bind by position; a value that does not fit is NULL.
+
+    Quoted values may hold line breaks, so that one task reads a whole part file; pass
+    ``multi_line=False`` for large files without such values, which many tasks then share.
+    """
+    options = {**FORMAT, **KEEP_BLANKS, "enforceSchema": True, "multiLine": multi_line}
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +25,9 @@ def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**FORMAT, **KEEP_BLANKS).option("inferSchema", True).csv(path)
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read every column as text, named by the header."""
-    return spark.read.options(**FORMAT, **KEEP_BLANKS).csv(path)
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Read every column as text, named by the header. ``multi_line`` as in ``read_declared_csv``."""
+    return spark.read.options(**FORMAT, **KEEP_BLANKS).option("multiLine", multi_line).csv(path)
 
 
 def write_quoted_csv(df: DataFrame, path: str) -> None:
