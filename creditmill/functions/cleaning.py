@@ -16,9 +16,10 @@ def number_from_text(text: Column, pattern: str = PLAIN_NUMBER, to: str = "doubl
 
 
 def plain_number(value: Column) -> Column:
-    """A numeric value if it is finite and not negative, else NULL."""
+    """A numeric value if it is finite and has no minus sign, else NULL."""
     as_double = value.cast("double")
-    return F.when((as_double >= 0) & ~F.isnan(as_double) & (as_double < float("inf")), value)
+    plain = (as_double >= 0) & ~F.isnan(as_double) & (as_double < float("inf"))
+    return F.when(plain & ~as_double.cast("string").startswith("-"), value)
 
 
 def digits_as_int(text: Column) -> Column:
@@ -57,5 +58,7 @@ def without_sentinel(text: Column, sentinel: str) -> Column:
 
 
 def whole_or_zero(value: Column) -> Column:
-    """A number cut to an int, zero where it is missing or not representable."""
-    return F.coalesce(value.try_cast("int"), F.lit(0))
+    """A number cut to an int, zero where it is missing or no number; beyond the range of ints, the end of it."""
+    as_double = value.try_cast("double")
+    beyond = F.when(~F.isnan(as_double) & (as_double >= 2**31), 2**31 - 1).when(as_double <= -(2**31), -(2**31))
+    return F.coalesce(value.try_cast("int"), beyond.cast("int"), F.lit(0))

@@ -87,10 +87,12 @@ def grade_points(grade: Column, sub_grade: Column, p: ScoreParams = DEFAULT_SCOR
     base = _first_match((grade == letter, F.lit(points)) for letter, points in bases.items())
     step = F.substring(sub_grade, 2, 2)
     share = _first_match((step == number, F.lit(Decimal(factor))) for number, factor in steps.items())
+    exact = [Decimal(points) * Decimal(factor) for points in bases.values() for factor in steps.values()]
+    scale = max(1, *(-x.normalize().as_tuple().exponent for x in exact))
     return (
         F.when(grade.isin("F", "G"), F.lit(Decimal(p.unacceptable)))
         .when(sub_grade.startswith(grade), base * share)
-        .cast("decimal(11,1)")
+        .cast(f"decimal({10 + scale},{scale})")
     )
 
 

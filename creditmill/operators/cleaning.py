@@ -38,15 +38,16 @@ def validated_numeric(
     """Keep plain non-negative numbers, put NULL in place of everything else.
 
     Text columns are matched against ``pattern`` before the cast to ``text_to``. Columns
-    that are numbers already keep their type and must be finite and not negative;
-    ``legacy_float_text`` matches their text form instead, which also rejects values that
-    print with an exponent (ten million and above, or below a thousandth).
+    that are numbers already keep their type and must be finite and not negative.
+    ``legacy_float_text`` matches the text form of the number as well, which also rejects
+    values that print with an exponent (ten million and above, or below a thousandth).
     """
     kinds = df.schema
 
     def checked(name: str) -> Column:
         if isinstance(kinds[name].dataType, T.StringType):
-            return C.number_from_text(F.col(name), pattern, text_to)
+            number = C.number_from_text(F.col(name), pattern, text_to)
+            return F.when(number.cast("string").rlike(pattern), number) if legacy_float_text else number
         if legacy_float_text:
             return F.when(F.col(name).cast("string").rlike(pattern), F.col(name))
         return C.plain_number(F.col(name))
@@ -96,7 +97,8 @@ def canonicalize(
 def repair_total(df: DataFrame, total: str, principal: str, *more_parts: str) -> DataFrame:
     """Rebuild a total that is zero although principal was received."""
     parts = [F.col(c) for c in (principal, *more_parts)]
-    return df.withColumn(total, C.repaired_total(F.col(total), *parts))
+    # sums of decimals have a wider type than the total
+    return df.withColumn(total, C.repaired_total(F.col(total), *parts).cast(df.schema[total].dataType))
 
 
 def drop_zero(df: DataFrame, column: str) -> DataFrame:

@@ -86,8 +86,3 @@ def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
 def columns_from(df: DataFrame, expected: T.StructType) -> DataFrame:
     """The expected columns, in order, checked for type."""
     return assert_schema(df.select(*expected.fieldNames()), expected)
-
-
-def count_by(df: DataFrame, columns: Sequence[str], name: str = "row_count") -> DataFrame:
-    """Distinct combinations of the columns with the number of rows that hold each."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))

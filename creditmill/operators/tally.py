@@ -42,7 +42,9 @@ def repeat_rows(df: DataFrame, block: int = 10_000) -> DataFrame:
     Output grows with the counts, so use it only where single rows are wanted. Rows are
     produced block by block, which keeps the arrays behind them short.
     """
-    count = F.col(ROW_COUNT).cast("bigint")
+    whole = F.col(ROW_COUNT).cast(PRODUCT_TYPE)
+    too_many = F.raise_error(F.concat(F.lit("more copies of a row than 64 bits can count: "), whole.cast("string")))
+    count = F.when(whole > 2**63 - 1, too_many.cast("bigint")).otherwise(whole.try_cast("bigint"))
     plain = [c for c in df.columns if c != ROW_COUNT]
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((count - 1) / block))
     within = F.least(count - F.col("_block") * block, F.lit(block).cast("bigint"))

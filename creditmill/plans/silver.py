@@ -17,7 +17,9 @@ CUSTOMER_NUMBERS = ("annual_income", "total_high_credit_limit", "joint_annual_in
 LOAN_NUMBERS = ("loan_amount", "funded_amount", "interest_rate", "monthly_installment")
 
 
-def customers_silver(raw: DataFrame, at: str | None = None, legacy_float_text: bool = False) -> DataFrame:
+def customers_silver(
+    raw: DataFrame, at: str | None = None, legacy_float_text: bool = False, number: str = "double"
+) -> DataFrame:
     """Distinct customers with a valid income, tenure in years and a state code.
 
     Shuffles once, for the whole-row distinct; the test for a valid income is narrow and
@@ -28,7 +30,7 @@ def customers_silver(raw: DataFrame, at: str | None = None, legacy_float_text: b
     known = (
         ops.stamp_ingest(renamed, at)
         .transform(ops.drop_exact_duplicates)
-        .transform(ops.validated_numeric, numbers, legacy_float_text=legacy_float_text)
+        .transform(ops.validated_numeric, numbers, text_to=number, legacy_float_text=legacy_float_text)
         .transform(ops.require_not_null, ["annual_income"])
         .transform(ops.digits_to_int, "emp_length")
     )

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Column names and order per entity; "number" is the caller's numeric type.
+# Column names and order per entity; "number" is the caller's numeric type. Raw numbers of
+# customers are text, which is validated before it is cast.
 _RAW = {
     "customers": (
-        "member_id string, emp_title string, emp_length string, home_ownership string, annual_inc number, "
+        "member_id string, emp_title string, emp_length string, home_ownership string, annual_inc string, "
         "addr_state string, zip_code string, country string, grade string, sub_grade string, "
-        "verification_status string, tot_hi_cred_lim number, application_type string, annual_inc_joint number, "
+        "verification_status string, tot_hi_cred_lim string, application_type string, annual_inc_joint string, "
         "verification_status_joint string"
     ),
     "loans": (
