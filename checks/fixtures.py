@@ -24,6 +24,8 @@ WITH b AS (SELECT c_custkey AS k,
   CASE c_custkey % 8 WHEN 0 THEN 'OWN' WHEN 1 THEN 'RENT' WHEN 2 THEN 'MORTGAGE' WHEN 3 THEN 'ANY' WHEN 4 THEN NULL
     WHEN 5 THEN 'OTHER' ELSE 'OWN' END AS home_ownership,
   CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'unknown'
+    WHEN c_custkey % 97 = 1 THEN '1e5' WHEN c_custkey % 97 = 2 THEN '+7' WHEN c_custkey % 97 = 3 THEN '-0.0'
+    WHEN c_custkey % 97 = 4 THEN 'NaN' WHEN c_custkey % 97 = 5 THEN '12500000' WHEN c_custkey % 97 = 6 THEN ' 5 '
     ELSE CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS STRING) END AS annual_inc,
   CASE c_custkey % 5 WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' WHEN 2 THEN 'California' WHEN 3 THEN 'N' END AS addr_state,
   concat(CAST(100 + c_custkey % 900 AS STRING), 'xx') AS zip_code, 'USA' AS country,

@@ -23,40 +23,47 @@ _PAYMENT_COMPLETE = (
 )
 
 
+# Counters from, to, points.
+_BANDS = "(VALUES (0, 0, 800), (1, 2, 250), (3, 5, 100)) AS band(low, high, points)"
+
+
 def _band(column: str, unknown: int) -> str:
-    return (
-        f"CASE WHEN coalesce({column}, 6) > 5 THEN {unknown} WHEN {column} >= 3 THEN 100 WHEN {column} >= 1 THEN 250 "
-        f"WHEN {column} = 0 THEN 800 END"
-    )
+    """Points of the band a counter lies in; ``unknown`` above the bands and for NULL."""
+    found = f"(SELECT band.points FROM {_BANDS} WHERE {column} BETWEEN band.low AND band.high)"
+    return f"CASE WHEN {column} <= 5 THEN {found} ELSE {unknown} END"
 
 
 def _whole(column: str) -> str:
     return f"CAST(coalesce(trunc({column}), 0) AS INTEGER)"
 
 
-# Bands are tested from the other end than in the Spark code.
+# Payment as a share of the instalment above, up to, points; a payment of the whole has its own.
 _LAST = (
-    "CASE WHEN r.last_payment_amount IS NULL OR l.monthly_installment IS NULL THEN 0 "
-    "WHEN r.last_payment_amount > 1.5 * l.monthly_installment THEN 800 "
-    "WHEN r.last_payment_amount > l.monthly_installment THEN 650 "
-    "WHEN r.last_payment_amount = l.monthly_installment THEN 500 ELSE 100 END"
+    "coalesce(CASE WHEN r.last_payment_amount IS NULL OR l.monthly_installment IS NULL THEN 0 "
+    "WHEN r.last_payment_amount = l.monthly_installment THEN 500 ELSE "
+    "(SELECT share.points FROM (VALUES (NULL, 1.0, 100), (1.0, 1.5, 650), (1.5, NULL, 800)) "
+    "AS share(low, high, points) WHERE (share.low IS NULL OR r.last_payment_amount > share.low * l.monthly_installment) "
+    "AND (share.high IS NULL OR r.last_payment_amount <= share.high * l.monthly_installment)) END, 0)"
 )
 _TOTAL = (
     "CASE WHEN coalesce(r.total_payment_received, 0) = 0 THEN 0 WHEN l.funded_amount IS NULL THEN NULL "
     "WHEN 2 * r.total_payment_received < l.funded_amount THEN 500 ELSE 650 END"
 )
+# Order, phrase, points.
 _STATUS = (
-    "coalesce(list_filter([{{'t': 'fully paid', 'p': 800}}, {{'t': 'current', 'p': 500}}, "
-    "{{'t': 'in grace period', 'p': 250}}, {{'t': 'late (16-30 days)', 'p': 100}}, "
-    "{{'t': 'late (31-120 days)', 'p': 100}}], lambda s: contains(lower({c}), s.t))[1].p, 0)"
+    "coalesce((SELECT arg_min(phrase.points, phrase.place) FROM (VALUES (1, 'fully paid', 800), (2, 'current', 500), "
+    "(3, 'in grace period', 250), (4, 'late (16-30 days)', 100), (5, 'late (31-120 days)', 100)) "
+    "AS phrase(place, words, points) WHERE contains(lower({c}), phrase.words)), 0)"
 )
 _HOME = (
     "CASE regexp_extract(lower(coalesce({c}, 'any')), '(own|rent|mortgage|any)$') "
     "WHEN 'own' THEN 800 WHEN 'rent' THEN 500 WHEN 'mortgage' THEN 250 WHEN 'any' THEN 100 END"
 )
+# Funded amount as a share of the limit above, up to, points.
 _LIMIT = (
-    "CASE WHEN {f} IS NULL OR {t} IS NULL OR {f} > {t} * 0.70 THEN 0 WHEN {f} > {t} * 0.50 THEN 100 "
-    "WHEN {f} > {t} * 0.30 THEN 250 WHEN {f} > {t} * 0.20 THEN 500 WHEN {f} > {t} * 0.10 THEN 650 ELSE 800 END"
+    "coalesce((SELECT min(share.points) FROM (VALUES (NULL, 0.10, 800), (0.10, 0.20, 650), (0.20, 0.30, 500), "
+    "(0.30, 0.50, 250), (0.50, 0.70, 100)) AS share(low, high, points) "
+    "WHERE (share.low IS NULL OR {f} > {t} * share.low) AND {f} <= {t} * share.high), 0)"
 )
 _GRADE = (
     "CAST(CASE WHEN grade IN ('F', 'G') THEN 0 WHEN left(sub_grade, 1) = grade THEN "
@@ -241,6 +248,20 @@ _TENURE = (
     "TRY_CAST(nullif(regexp_replace(emp_length, '\\D', '', 'g'), '') AS INTEGER) AS emp_length FROM fx_borrowers"
 )
 
+_TEXT_COLUMNS = {
+    "customers": "member_id emp_title emp_length home_ownership annual_inc addr_state zip_code country grade sub_grade "
+    "verification_status tot_hi_cred_lim application_type annual_inc_joint verification_status_joint",
+    "loans": "loan_id member_id loan_term_months issue_date loan_status loan_purpose loan_title",
+    "repayments": "last_payment_date next_payment_date",
+    "defaulters": "member_id",
+}
+_TEXT_COPIES = " UNION ALL ".join(
+    f"SELECT '{entity}' AS entity, concat_ws('|', "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split())
+    + f") AS line FROM fx_{'borrowers' if entity == 'customers' else entity}"
+    for entity, columns in _TEXT_COLUMNS.items()
+)
+
 _FINAL = {
     "rename_columns": "SELECT * RENAME (annual_inc AS annual_income, addr_state AS address_state, "
     "zip_code AS address_zipcode, country AS address_country, tot_hi_cred_lim AS total_high_credit_limit, "
@@ -372,9 +393,13 @@ _FINAL = {
     "GROUP BY loan_final_grade",
     "declared_csv_scan": "SELECT * FROM fx_loans",
     "inferred_csv_scan": "SELECT * FROM fx_repayments",
-    "manifest_ingest": "SELECT * FROM fx_defaulters",
+    "manifest_ingest": _TEXT_COPIES,
     "external_table_roundtrip": "SELECT * FROM loans_data",
+    "external_table_repointed": "SELECT * FROM loans_data",
     "run_from_files": _loan_scores("loan_points"),
+    "run_from_files_decimal": _loan_scores("loan_points"),
+    "customers_legacy_text": "SELECT member_id, emp_title, annual_income, total_high_credit_limit FROM customers_typed "
+    "WHERE annual_income < 1e7 AND (annual_income = 0 OR annual_income >= 1e-3)",
 }
 
 
@@ -404,6 +429,7 @@ _DECIMALS = {
     "score_by_loan": _SCORES,
     "score_with_clean_members": _SCORES,
     "run_from_files": _SCORES,
+    "run_from_files_decimal": _SCORES,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -589,9 +589,14 @@ def manifest_ingest(spark, sf_dir):
     manifest.ingest_manifest(
         spark, manifest.read_manifest(spark, listed, multi_line=False), f"{root}/raw", f"{root}/bronze"
     )
-    return delimited.read_declared_csv(
-        spark, f"{root}/bronze/{places['defaulters']}", schemas.raw_schema("defaulters")
-    )
+    copies = [
+        delimited.read_text_csv(spark, f"{root}/bronze/{place}").select(
+            F.lit(name).alias("entity"), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in columns]).alias("line")
+        )
+        for name, place in places.items()
+        for columns in [[f.name for f in schemas.raw_schema(name) if f.dataType.simpleString() == "string"]]
+    ]
+    return reduce(DataFrame.union, copies)
 
 
 @query
@@ -606,6 +611,17 @@ def external_table_roundtrip(spark, sf_dir):
     return spark.table(f"{database}.loans").drop("ingest_date")
 
 
+@query
+def external_table_repointed(spark, sf_dir):
+    root, table = work_dir(spark), f"repointed_{uuid.uuid4().hex}"
+    catalog.create_database(spark, table, f"{root}/catalog")
+    cleaned = silver.loans_silver(loans(spark, sf_dir), INGESTED_AT)
+    for place, rows in (("first", cleaned.filter("loan_term_years = 3")), ("second", cleaned)):
+        zones.write_zone(rows, f"{root}/{place}")
+        catalog.register_external(spark, f"{table}.loans", schemas.silver_schema("loans"), f"{root}/{place}")
+    return spark.table(f"{table}.loans").drop("ingest_date")
+
+
 @query
 def wide_catalog_view(spark, sf_dir):
     lake = shared_lake(spark, sf_dir)
@@ -614,11 +630,26 @@ def wide_catalog_view(spark, sf_dir):
     return spark.table(f"{named.silver_db}.customers_loans").select(*WIDE_COLUMNS)
 
 
-@query
-def run_from_files(spark, sf_dir):
+def _run(spark, sf_dir, number="double"):
     root, tag = work_dir(spark), uuid.uuid4().hex
     places, listed = _write_raw(spark, sf_dir, root)
-    lake = batch.Lake(f"{root}/lake", silver_db=f"silver_{tag}", gold_db=f"gold_{tag}")
+    lake = batch.Lake(f"{root}/lake", number=number, silver_db=f"silver_{tag}", gold_db=f"gold_{tag}")
     return batch.run(
         spark, f"{root}/raw", listed, places, lake, INGESTED_AT, grain="loan", multi_line_manifest=False
     )
+
+
+@query
+def run_from_files(spark, sf_dir):
+    return _run(spark, sf_dir)
+
+
+@query
+def run_from_files_decimal(spark, sf_dir):
+    return _run(spark, sf_dir, "decimal(18,2)")
+
+
+@query
+def customers_legacy_text(spark, sf_dir):
+    cleaned = silver.customers_silver(customers(spark, sf_dir), INGESTED_AT, legacy_float_text=True)
+    return cleaned.select("member_id", "emp_title", "annual_income", "total_high_credit_limit")

@@ -11,11 +11,17 @@ from pyspark.sql import SparkSession
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting a temporary folder serves, in local mode only.
+    Without that setting a temporary folder serves, in local mode only. The folder goes when
+    the session's JVM ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/lending-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="run-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/lending-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path

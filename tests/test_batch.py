@@ -1,6 +1,7 @@
 """From delimited files to scores, through written zones and the catalog."""
 
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -8,6 +9,7 @@ from checks.fixtures import BY_ENTITY, fixture
 from creditmill import schemas
 from creditmill.operators.quality import assert_schema, value_frequencies
 from creditmill.operators.tally import ROW_COUNT
+from creditmill.params import DEFAULT_SCORE
 from creditmill.plans import batch
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
 from creditmill.sources.delimited import write_quoted_csv
@@ -107,3 +109,47 @@ def test_a_failing_write_fails_the_stage(spark, tmp_path):
     bad = spark.range(3).selectExpr("raise_error('no such value') as v")
     with pytest.raises(Exception, match="no such value"):
         lake.write_all({"good": spark.range(3).selectExpr("id as v"), "bad": bad}, "silver")
+
+
+def options_lake(tmp_path, tag, **lake):
+    return batch.Lake(f"{tmp_path}/{tag}", silver_db=f"{tag}_silver", gold_db=f"{tag}_gold", **lake)
+
+
+def test_decimal_numbers_give_the_same_scores(spark, raw_root, lake, tmp_path):
+    exact = options_lake(tmp_path, "exact", number="decimal(18,2)")
+    scored = batch.run(spark, f"{raw_root}/files", f"{raw_root}/manifest.json", FILES, exact, "2024-01-01")
+    assert rows(scored) == rows(lake.read(spark, "gold", "loan_score")) and scored.count()
+
+
+def test_options_reach_the_tables(spark, raw_root, lake, tmp_path):
+    made = options_lake(tmp_path, "opted")
+    params = replace(DEFAULT_SCORE, excellent=801)
+    options = batch.Options(validate_loans=True, legacy_float_text=True, include_clean=True, null_aware=False, params=params)
+    scored = batch.run(
+        spark, f"{raw_root}/files", f"{raw_root}/manifest.json", FILES, made, "2024-01-01", options=options
+    )
+    plain = lake.read(spark, "silver", "customers")
+    assert plain.filter("annual_income >= 1e7").count() > 0
+    assert made.read(spark, "silver", "customers").filter("annual_income >= 1e7").count() == 0
+    assert scored.select("member_id").distinct().count() > lake.read(spark, "gold", "loan_score").select("member_id").distinct().count()
+
+
+def test_null_aware_reaches_the_gold_tables(spark, lake, tmp_path):
+    made = options_lake(tmp_path, "nulls")
+    for name in batch.KEYED_TABLES:
+        made.write(lake.read(spark, "silver", name), "silver", name)
+    made.write(lake.read(spark, "quarantine", "members").union(spark.createDataFrame([(None,)], "member_id string")), "quarantine", "members")
+    batch.build_gold(spark, made, null_aware=True)
+    assert made.read(spark, "gold", "customers").count() == 0
+    batch.build_gold(spark, made, null_aware=False)
+    assert rows(made.read(spark, "gold", "customers")) == rows(lake.read(spark, "gold", "customers"))
+
+
+def test_two_lakes_under_the_same_names(spark, raw_root, lake, tmp_path):
+    other = batch.Lake(str(tmp_path / "other"), silver_db=lake.silver_db, gold_db=lake.gold_db)
+    for name in ("customers", "loans", "repayments", *batch.KEYED_TABLES[1:]):
+        other.write(lake.read(spark, "silver", name).limit(3), "silver", name)
+    batch.publish_silver(spark, other)
+    assert spark.table(f"{lake.silver_db}.customers").count() == 3
+    batch.publish_silver(spark, lake)
+    assert spark.table(f"{lake.silver_db}.customers").count() == lake.read(spark, "silver", "customers").count()

@@ -142,7 +142,7 @@ def test_whole_or_zero(spark):
         spark,
         "x double",
         C.whole_or_zero,
-        [((2.9,), 2), ((-2.9,), -2), ((None,), 0), ((float("nan"),), 0), ((1e300,), 0)],
+        [((2.9,), 2), ((-2.9,), -2), ((None,), 0), ((float("nan"),), 0), ((1e300,), 2**31 - 1), ((3e9,), 2**31 - 1), ((-3e9,), -(2**31)), ((-(2.0**31),), -(2**31))],
     )
 
 

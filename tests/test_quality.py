@@ -94,7 +94,3 @@ def test_prefix_is_literal(spark):
 
 def test_preview(spark, left):
     assert [r.v for r in q.preview(left, 2, F.desc("v")).collect()] == [4, 3]
-
-
-def test_count_by(spark, left):
-    assert rows(q.count_by(left, ["k"])) == [("a", 1), ("b", 2), (None, 1)]

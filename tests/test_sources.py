@@ -131,3 +131,33 @@ def test_default_number_type_reads_what_float_would_round(spark, tmp_path):
     column = F.col("total_principal_received").cast("bigint")
     assert as_double.select(column).first()[0] == 16777217
     assert as_float.select(column).first()[0] == 16777216
+
+
+def test_a_table_follows_its_lake(spark, tmp_path):
+    schema = T.StructType.fromDDL("k int")
+    for n in (1, 2):
+        zones.write_zone(spark.range(n).select(F.col("id").cast("int").alias("k")), f"{tmp_path}/{n}")
+    catalog.create_database(spark, "moving", f"{tmp_path}/catalog")
+    for n in (1, 2, 1):
+        catalog.register_external(spark, "moving.rows", schema, f"{tmp_path}/{n}")
+        assert spark.table("moving.rows").count() == n
+    wider = T.StructType.fromDDL("k int, extra string")
+    catalog.register_external(spark, "moving.rows", wider, f"{tmp_path}/1")
+    assert spark.table("moving.rows").columns == ["k", "extra"]
+    assert spark.read.parquet(f"{tmp_path}/2").count() == 2  # files of the other lake stay
+    spark.range(1).write.saveAsTable("moving.own")
+    with pytest.raises(ValueError):
+        catalog.register_external(spark, "moving.own", schema, f"{tmp_path}/1")
+
+
+def test_copies_keep_line_breaks_and_the_order_of_the_manifest(spark, tmp_path):
+    places = [("folder", f"file{i}.csv") for i in range(50)]
+    (tmp_path / "raw/folder").mkdir(parents=True)
+    for i, (_, name) in enumerate(places):
+        (tmp_path / "raw/folder" / name).write_text(f'a,b\n{i},"one\ntwo"\n{i},plain\n')
+    listed = spark.createDataFrame(places, manifest.MANIFEST_SCHEMA)
+    copied = manifest.ingest_manifest(spark, listed, f"{tmp_path}/raw", f"{tmp_path}/bronze", at_once=4)
+    assert copied == [f"folder/{name}" for _, name in places]
+    for i in (0, 49):
+        back = delimited.read_declared_csv(spark, f"{tmp_path}/bronze/{copied[i]}", T.StructType.fromDDL("a int, b string"))
+        assert rows(back) == [(i, "one\ntwo"), (i, "plain")]
