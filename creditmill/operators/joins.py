@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ def skew_join(
     keep: str = "inner",
     rows_per_slice: int = ROWS_PER_SLICE,
     counted: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    deal_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join on ``key`` that spreads the frequent keys of ``spread`` over many tasks.
 
@@ -51,13 +55,20 @@ def skew_join(
     or ``other`` (likewise). ``key`` comes first and once; other column names must differ.
 
     The slice of a row depends on its content and input partition only, so a repeated task
-    deals it alike, and identical rows from many partitions still spread.
+    deals it alike, and identical rows from many partitions still spread. ``deal_by`` names
+    the columns that stand for the content, so that others need not be read for it.
 
     ``counted`` is a cheaper frame to look for frequent keys in, where ``spread`` is the
     result of other joins. With ``keep="other"`` all its keys must occur in ``spread``.
+    ``hot`` is the list of ``hot_keys`` where it is stored already: nothing is counted then,
+    and with an empty list this is the plain join.
     """
-    hot = F.broadcast(hot_keys(spread if counted is None else counted, key, rows_per_slice))
-    dealt = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread.columns])
+    how = {"inner": "inner", "spread": "left", "other": "right"}[keep]
+    if hot is not None and hot.isEmpty():
+        joined = spread.join(other, key, how)
+        return joined.select(key, *[c for c in (*spread.columns, *other.columns) if c != key])
+    hot = F.broadcast(hot_keys(spread if counted is None else counted, key, rows_per_slice) if hot is None else hot)
+    dealt = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in deal_by or spread.columns])
     # rows with a NULL key match nothing: any slice will do
     null_slice = F.pmod(dealt, F.lit(1024)).cast("int")
     left = spread.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
@@ -82,7 +93,6 @@ def skew_join(
         )
         .withColumn("_right_slice", F.explode("_right_slices"))
     )
-    how = {"inner": "inner", "spread": "left", "other": "right"}[keep]
     joined = left.join(
         right,
         (F.col("_left_key") == F.col("_right_key")) & (F.col("_left_slice") == F.col("_right_slice")),

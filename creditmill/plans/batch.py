@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from creditmill import schemas
+from creditmill.operators.joins import hot_keys
 from creditmill.operators.quality import columns_from
 from creditmill.params import DEFAULT_SCORE, ScoreParams
 from creditmill.plans import quarantine, score, silver
@@ -113,6 +114,21 @@ def build_silver(
     }
     checked = {n: columns_from(df, schemas.silver_schema(n, lake.number)) for n, df in tables.items()}
     lake.write_all(checked, "silver")
+    find_hot_keys(spark, lake)
+
+
+# Frequent keys that later joins spread: list, silver table and key.
+HOT_KEYS = {
+    "hot_loans": ("repayments", "loan_id"),
+    "hot_members": ("loans", "member_id"),
+    "hot_customers": ("customers", "member_id"),
+}
+
+
+def find_hot_keys(spark: SparkSession, lake: Lake) -> None:
+    """Count the keys of the silver tables once for all joins; the lists are short."""
+    lists = {name: hot_keys(lake.read(spark, "silver", table), key) for name, (table, key) in HOT_KEYS.items()}
+    lake.write_all(lists, "hot", compact=True)
 
 
 def publish_silver(spark: SparkSession, lake: Lake) -> None:
@@ -177,6 +193,8 @@ def scores(
         lake.read(spark, "gold", "record_enquiry_detail"),
         params=params,
         include_clean=include_clean,
+        hot_loans=lake.read(spark, "hot", "hot_loans"),
+        hot_members=lake.read(spark, "hot", "hot_members"),
     )
 
 

@@ -30,11 +30,13 @@ def payment_points(
     params: ScoreParams = DEFAULT_SCORE,
     with_loan: tuple[str, ...] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_loans: DataFrame | None = None,
 ) -> DataFrame:
     """Points of each repayment against its loan: one row per matching pair.
 
     A loan id that is no number matches nothing. ``with_loan`` names loan columns to keep.
-    The row counts of tallied loans are passed on.
+    The row counts of tallied loans are passed on. ``hot_loans`` is the stored list of frequent
+    loan ids of the repayments, if there is one.
     """
     with_loan = (*with_loan, *_count_of(loans))
     if quarantined is not None:
@@ -47,7 +49,8 @@ def payment_points(
         *with_loan,
     )
     paid = repayments.select(F.col("loan_id").alias("_loan"), "last_payment_amount", "total_payment_received")
-    return skew_join(paid, owed, "_loan", "inner", rows_per_slice).select(
+    dealt = ("_loan", "last_payment_amount", "total_payment_received")
+    return skew_join(paid, owed, "_loan", "inner", rows_per_slice, hot=hot_loans, deal_by=dealt).select(
         "member_id",
         *with_loan,
         P.last_payment_points(F.col("last_payment_amount"), F.col("monthly_installment"), params).alias(
@@ -139,12 +142,19 @@ def member_loan_points(
     return rated.select("member_id", *HEALTH_POINTS)
 
 
-def _loan_points(loans: DataFrame, members: DataFrame, rows_per_slice: int, params: ScoreParams) -> DataFrame:
+def _loan_points(
+    loans: DataFrame,
+    members: DataFrame,
+    rows_per_slice: int,
+    params: ScoreParams,
+    hot_members: DataFrame | None = None,
+) -> DataFrame:
     """The points of ``members`` with those of each of their loans: one row per loan."""
     own = [c for c in members.columns if c in DEFAULT_POINTS]
-    return skew_join(
-        loans.select("member_id", "loan_status", "funded_amount"), members, "member_id", "inner", rows_per_slice
-    ).select("member_id", *own, *_health_columns(params))
+    rated = loans.select("member_id", "loan_status", "funded_amount")
+    return skew_join(rated, members, "member_id", "inner", rows_per_slice, hot=hot_members).select(
+        "member_id", *own, *_health_columns(params)
+    )
 
 
 def _member_points(
@@ -237,11 +247,14 @@ def score_members(
     params: ScoreParams = DEFAULT_SCORE,
     include_clean: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_loans: DataFrame | None = None,
+    hot_members: DataFrame | None = None,
 ) -> DataFrame:
     """Score and grade of every payment of a member with every loan of that member, tallied.
 
     ``quarantined`` is needed only if the member tables still hold quarantined keys. It is
-    then taken out of the smallest of them: the inner joins carry that to the rest.
+    then taken out of the smallest of them: the inner joins carry that to the rest. The stored
+    lists of frequent loan ids (of repayments) and members (of loans) save looking for them.
     """
     # copies of a loan collapse before they meet its repayments
     owed = tally_rows(
@@ -249,9 +262,9 @@ def score_members(
             F.col("loan_id").try_cast("bigint").alias("loan_id"), "member_id", "monthly_installment", "funded_amount"
         ).filter(F.col("loan_id").isNotNull() & F.col("member_id").isNotNull())
     )
-    payments = tally_rows(payment_points(repayments, owed, None, params, (), rows_per_slice))
+    payments = tally_rows(payment_points(repayments, owed, None, params, (), rows_per_slice, hot_loans))
     members = _member_points(customers, delinquent, detail, quarantined, params, include_clean)
-    rated = tally_rows(_loan_points(loans, members, rows_per_slice, params))
+    rated = tally_rows(_loan_points(loans, members, rows_per_slice, params, hot_members))
     return with_final_grade(weighted_score(_paired(payments, rated), params), params)
 
 
@@ -265,13 +278,16 @@ def score_by_loan(
     params: ScoreParams = DEFAULT_SCORE,
     include_clean: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_loans: DataFrame | None = None,
+    hot_members: DataFrame | None = None,
 ) -> DataFrame:
     """Score and grade of every loan on its own payments: one row per loan and repayment."""
     kept = ("loan_id", "loan_status", "funded_amount")
-    payments = payment_points(repayments, loans, None, params, kept, rows_per_slice)
+    payments = payment_points(repayments, loans, None, params, kept, rows_per_slice, hot_loans)
     members = _member_points(customers, delinquent, detail, quarantined, params, include_clean)
+    counted = loans.select("member_id")
     points = skew_join(
-        payments, members, "member_id", "inner", rows_per_slice, counted=loans.select("member_id")
+        payments, members, "member_id", "inner", rows_per_slice, counted, hot_members, ("member_id", "loan_id", *PAYMENT_POINTS)
     ).select("member_id", "loan_id", *PAYMENT_POINTS, *DEFAULT_POINTS, *_health_columns(params))
     return with_final_grade(weighted_score(points, params), params)
 

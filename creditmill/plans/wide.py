@@ -61,27 +61,35 @@ def wide_view(
     delinquent: DataFrame,
     detail: DataFrame,
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_loans: DataFrame | None = None,
+    hot_members: DataFrame | None = None,
+    hot_customers: DataFrame | None = None,
 ) -> DataFrame:
     """Every customer, left-joined to loans, their repayments and the two defaulter tables.
 
     Loans meet their repayments first and the member tables each other, so that only two
     wide rows are shuffled: once by loan and once by member. A key repeated on several
     sides yields every combination, as in any left join; over the quarantined tables each
-    customer has one row per loan and repayment.
+    customer has one row per loan and repayment. A member repeated often among the customers
+    is spread before the member tables multiply its rows. The stored lists of frequent loan
+    ids (of repayments) and members (of loans, of customers) save looking for them.
     """
-    members = (
-        customers.select("member_id", *CUSTOMER_COLUMNS)
-        .join(delinquent.select("member_id", *DELINQUENCY_COLUMNS), "member_id", "left")
-        .join(detail.select("member_id", *RECORD_COLUMNS), "member_id", "left")
-    )
+    people = customers.select("member_id", *CUSTOMER_COLUMNS)
+    members, by_member = people, ("member_id", "emp_title")
+    for table, columns in ((delinquent, DELINQUENCY_COLUMNS), (detail, RECORD_COLUMNS)):
+        one = table.select("member_id", *columns)
+        members = skew_join(members, one, "member_id", "spread", rows_per_slice, people, hot_customers, by_member)
     keyed = loans.filter(F.col("member_id").isNotNull()).select(
         F.col("loan_id").try_cast("bigint").alias("_loan"), "loan_id", "member_id", *LOAN_COLUMNS
     )
     paid = repayments.filter(F.col("loan_id").isNotNull()).select(
         F.col("loan_id").alias("_loan"), *REPAYMENT_COLUMNS
     )
-    loans_paid = skew_join(paid, keyed, "_loan", "other", rows_per_slice).drop("_loan")
-    return skew_join(loans_paid, members, "member_id", "other", rows_per_slice, counted=keyed).select(*WIDE_COLUMNS)
+    by_payment = ("_loan", "total_principal_received", "last_payment_date")
+    loans_paid = skew_join(paid, keyed, "_loan", "other", rows_per_slice, hot=hot_loans, deal_by=by_payment).drop("_loan")
+    by_loan = ("member_id", "loan_id", "total_principal_received", "last_payment_date")
+    joined = skew_join(loans_paid, members, "member_id", "other", rows_per_slice, keyed, hot_members, by_loan)
+    return joined.select(*WIDE_COLUMNS)
 
 
 def wide_view_sql(customers: str, loans: str, repayments: str, delinquent: str, detail: str) -> str:

@@ -93,3 +93,26 @@ def test_any_frames(spark, left, right, rows_per_slice, keep):
     spread = spark.createDataFrame(left, "k string, a int")
     other = spark.createDataFrame(right, "k string, b string")
     assert rows(skew_join(spread, other, "k", keep, rows_per_slice)) == rows(plain(spread, other, keep))
+
+
+@pytest.mark.parametrize("keep", ["inner", "spread", "other"])
+@pytest.mark.parametrize("rows_per_slice", [20, 1_000_000])
+def test_stored_lists_of_frequent_keys(frames, tmp_path, spark, keep, rows_per_slice):
+    spread, other = frames
+    hot_keys(spread, "k", rows_per_slice).write.parquet(f"{tmp_path}/hot")
+    stored = spark.read.parquet(f"{tmp_path}/hot")
+    got = skew_join(spread, other, "k", keep, rows_per_slice, hot=stored, deal_by=("k", spread.columns[1]))
+    assert rows(got) == rows(plain(spread, other, keep))
+
+
+def test_stored_list_reads_the_large_side_once_and_selected_columns_only(spark, tmp_path):
+    large = spark.range(3000).selectExpr("if(id < 2000, 1, id) AS k", "id AS v", "cast(id AS string) AS unused")
+    large.write.parquet(f"{tmp_path}/large")
+    large = spark.read.parquet(f"{tmp_path}/large")
+    hot_keys(large, "k", 100).write.parquet(f"{tmp_path}/hot")
+    other = spark.createDataFrame([(1, "a"), (2500, "b")], "k bigint, w string")
+    hot = spark.read.parquet(f"{tmp_path}/hot")
+    joined = skew_join(large, other, "k", "inner", 100, hot=hot, deal_by=("k", "v")).select("k", "v", "w")
+    assert joined.count() == 2001
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/large]") == 1 and "unused" not in plan[plan.index("FileScan") :]
