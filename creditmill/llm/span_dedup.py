@@ -1,13 +1,13 @@
 """Substring de-duplication over sliding runs of sentences.
 
-Every run of ``run`` consecutive sentences is hashed, and so is a single sentence as long as
-``alone`` words; hashes meet in one join over all documents. A run that an earlier document
-holds, or that stood earlier in the same text, is a repeat, and every sentence that a repeat
-covers is taken out. Documents are ordered by id.
+From every sentence on, a run of consecutive sentences is hashed: as many as it takes to have
+``run`` of them and ``least`` words; so is a single sentence of ``least`` words. Hashes meet in
+one join over all documents. A run that an earlier document holds, or that stood earlier in the
+same text, is a repeat, and every sentence that a repeat covers is taken out. Documents are
+ordered by id. Shorter repeats, such as a shared opening line, stay.
 
 A sentence ends at a word that ends with ``.``, ``!`` or ``?``, at a line break, and at the end
-of the text. Sentences are equal if their words are, A-Z in lower case. Runs of fewer than
-``least`` words do not count. A text of fewer sentences than a run is one run.
+of the text. Sentences are equal if their words are, A-Z in lower case.
 
 Defined cases: a null or empty text has no sentences and stays as it is; copies of a row (same
 id, same text) are one document and lose the same sentences; rows without an id are neither
@@ -35,7 +35,7 @@ _KEYS = (_U(0x8CB92BA72F3D8DD7), _U(0xC2B2AE3D27D4EB4F))
 class Runs:
     """Sentences and runs of a chunk of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, run: int, least: int, alone: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, run: int, least: int):
         starts, ends, bounds = word_bounds(data, offsets)
         hashes = word_hashes(data, starts, ends)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
@@ -53,22 +53,22 @@ class Runs:
         sentences = [np.add.reduceat(mixed(hashes ^ mixed(place + k)), first) if len(first) else hashes for k in _KEYS]
         count = np.concatenate([[0], np.cumsum(words)])
         n = len(first)
-        in_row = np.diff(self.bounds)[self.row] if n else np.zeros(0, np.int64)
-        length = np.minimum(run, in_row)
         at = np.arange(n)
-        whole = at + length <= self.bounds[self.row + 1] if n else np.zeros(0, bool)
-        enough = count[np.minimum(at + length, n)] - count[at] >= least
-        self.at, self.length = [at[whole & enough]], [length[whole & enough]]
+        end = np.maximum(at + run, np.searchsorted(count, count[:n] + least))
+        whole = end <= self.bounds[self.row + 1] if n else np.zeros(0, bool)
+        #: Sentences of the run that begins at each sentence, 0 where the text ends before.
+        self.reach = np.where(whole, end - at, 0)
+        single = words >= least
+        self.at = np.concatenate([at[whole], at[single]])
+        self.length = np.concatenate([self.reach[whole], np.ones(int(single.sum()), np.int64)])
         self.hash = []
-        single = (words >= alone) & (length > 1)
         for k, own in zip(_KEYS, sentences, strict=True):
             total = np.zeros(n, _U)
-            for j in range(run):
-                more = j < length
-                total[more] = mixed(total[more] + mixed(own[np.minimum(at + j, max(n - 1, 0))][more] + _U(j)))
-            self.hash.append(np.concatenate([mixed(total + length.astype(_U) * k)[self.at[0]], mixed(own[single] + k)]))
-        self.at = np.concatenate([self.at[0], at[single]])
-        self.length = np.concatenate([self.length[0], np.ones(int(single.sum()), np.int64)])
+            for j in range(int(self.reach.max(initial=0))):
+                more = np.flatnonzero(j < self.reach)
+                total[more] = mixed(total[more] + mixed(own[more + j] + _U(j)))
+            total = mixed(total + self.reach.astype(_U) * k)
+            self.hash.append(np.concatenate([total[whole], mixed(own[single] + k)]))
 
     def again(self) -> np.ndarray:
         """Which runs stood earlier in the same text."""
@@ -83,7 +83,7 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
 
 
-def _all_runs(docs: DataFrame, run: int, least: int, alone: int) -> DataFrame:
+def _all_runs(docs: DataFrame, run: int, least: int) -> DataFrame:
     """``h1, h2, id, version, at``: each run once per text. ``at`` numbers the runs of a text."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _all_runs(docs: DataFrame, run: int, least: int, alone: int) -> DataFrame:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             versions = batch.column("version").to_numpy()
             for first, data, offsets in chunks(batch.column("text")):
-                runs = Runs(data, offsets, run, least, alone)
+                runs = Runs(data, offsets, run, least)
                 keep = ~runs.again()
                 row = runs.row[runs.at[keep]]
                 # A single sentence and a run may begin at the same place: the length tells them apart.
@@ -106,9 +106,9 @@ def _all_runs(docs: DataFrame, run: int, least: int, alone: int) -> DataFrame:
     return named.mapInArrow(find, "h1 long, h2 long, id long, version long, at long")
 
 
-def repeated_runs(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     """``id, version, runs``: the runs of a text that an earlier document holds."""
-    runs = _all_runs(docs, run, least, alone)
+    runs = _all_runs(docs, run, least)
     firsts = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     # Stored, so that both sides of the join are shuffled for it and a frequent run's rows can be split.
     shared = stored(firsts.where(F.col("first") < F.col("last")).drop("last"))
@@ -116,9 +116,9 @@ def repeated_runs(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40
     return later.groupBy("id", "version").agg(F.collect_set("at").alias("runs"))
 
 
-def dedup_spans(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40) -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     """``docs`` in a struct ``row``, with ``kept_text``, ``n_sentences``, ``n_removed``."""
-    gone = repeated_runs(docs, run, least, alone).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "runs")
+    gone = repeated_runs(docs, run, least).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "runs")
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
     rows = docs.select(row.alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("version"), docs["text"].cast("string").alias("text"))
     joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
@@ -128,7 +128,7 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40)
             texts, n_sentences, n_removed = batch.column("text").to_pylist(), [], []
             repeated, ids = batch.column("runs").to_pylist(), batch.column("id").to_pylist()
             for first, data, offsets in chunks(batch.column("text")):
-                found = Runs(data, offsets, run, least, alone)
+                found = Runs(data, offsets, run, least)
                 covered = np.zeros(len(found.starts), bool)
                 again = found.again()
                 for at, length in zip(found.at[again].tolist(), found.length[again].tolist(), strict=True):
@@ -137,7 +137,7 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40)
                     a, b = int(found.bounds[i]), int(found.bounds[i + 1])
                     for place in repeated[first + i] or ():
                         k = a + place // 2
-                        covered[k : k + (1 if place % 2 and b - a > 1 else min(run, b - a))] = True
+                        covered[k : k + (1 if place % 2 else int(found.reach[k]))] = True
                     if ids[first + i] is None:
                         covered[a:b] = False
                     n_sentences.append(b - a)
@@ -157,13 +157,13 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40)
     return needed.mapInArrow(rebuild, f"row {kind}, kept_text string, n_sentences long, n_removed long")
 
 
-def drop_repeated_spans(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     """``docs`` with the same columns, repeated sentences taken out of ``text``."""
-    done = dedup_spans(docs, run, least, alone)
+    done = dedup_spans(docs, run, least)
     return done.select(*[(F.col("kept_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def span_report(docs: DataFrame, run: int = 2, least: int = 8, alone: int = 40) -> DataFrame:
+def span_report(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     """One row per document: ``doc_id, n_sentences, n_removed, text`` (what is left)."""
-    done = dedup_spans(docs.select("doc_id", "text"), run, least, alone)
+    done = dedup_spans(docs.select("doc_id", "text"), run, least)
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "n_removed", F.col("kept_text").alias("text"))

@@ -49,7 +49,7 @@ def sentences(text):
     return found, out
 
 
-def spans(rows, run=2, least=8, alone=40):
+def spans(rows, run=2, least=25):
     """Per id: sentences, removed sentences, text that is left."""
     held, parts = {}, {}
     for i, text in dict(rows).items():
@@ -57,10 +57,12 @@ def spans(rows, run=2, least=8, alone=40):
         runs = []
         plain = lambda s, found=found: tuple(lowered(found[k][0]) for k in s)
         for k in range(len(own)):
-            n = min(run, len(own))
-            if k + n <= len(own) and sum(map(len, own[k : k + n])) >= least:
+            n = run
+            while sum(map(len, own[k : k + n])) < least and k + n <= len(own):
+                n += 1
+            if k + n <= len(own):
                 runs.append((k, n, tuple(map(plain, own[k : k + n]))))
-            if n > 1 and len(own[k]) >= alone:
+            if len(own[k]) >= least:
                 runs.append((k, 1, (plain(own[k]),)))
         parts[i] = (text, found, own, runs)
         for k, _, what in runs:

@@ -21,8 +21,13 @@ def test_odd_rows(spark):
 
 def test_longer_runs(spark):
     rows = [(1, "A b c d. E f g h. I j k l. M n o p."), (2, "X y z. E f g h. I j k l. M n o p. Q."), (3, "E f g h. I j k l. R s.")]
-    for run in (2, 3):
-        assert found(documents(spark, rows), run=run) == expected(rows, run=run)
+    for run, least in ((2, 8), (3, 8), (1, 4), (2, 1), (2, 100)):
+        assert found(documents(spark, rows), run=run, least=least) == expected(rows, run=run, least=least)
+
+
+def test_shared_openings_stay(spark):
+    rows = [(i, f"A shared line opens them. It is short.\nThen {i} comes text number {i}. And {i} more.") for i in range(5)]
+    assert all(r[2] == 0 for r in found(documents(spark, rows)))
 
 
 def test_passage_inside_other_text_goes_and_the_rest_stays(spark):
