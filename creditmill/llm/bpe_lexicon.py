@@ -24,7 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import scratch_dir
+from creditmill.llm.common import scratch_dir, stored
+from creditmill.llm.quality_rules import bucket
 from creditmill.llm.tokens import batches_of, splitter
 from creditmill.llm.vocabulary import Vocabulary
 
@@ -192,7 +193,10 @@ def thinned(counts: Counter, keep: int) -> Counter:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]:
-    """About the most frequent words of all texts, from one bounded summary per task; at most ``size`` of them."""
+    """About the most frequent words of all texts, from one bounded summary per task; at most ``size`` of them.
+
+    Words whose counts fall into the bucket that would exceed ``size`` are left out.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = splitter(path), Counter()
@@ -205,9 +209,18 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    total = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONGEST)
+    total = stored(found.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONGEST))
+    # A sketch of the counts, sixteen buckets to a power of two, says from which count on the words are few enough.
+    held, least = 0, None
+    for row in total.groupBy(bucket(F.col("n")).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        held += row["words"]
+        if held > size:
+            break
+        least = row["n"]
+    if least is None:
+        return []
     # Bounded by ``size``: this list is what the automaton is compiled from.
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
+    return [r["word"] for r in total.where(F.col("n") >= least).select("word").collect()]
 
 
 def compiled_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:

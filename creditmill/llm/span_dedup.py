@@ -106,7 +106,7 @@ def _all_runs(docs: DataFrame, run: int, least: int) -> DataFrame:
     return named.mapInArrow(find, "h1 long, h2 long, id long, version long, at long")
 
 
-def repeated_runs(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
     """``id, version, runs``: the runs of a text that an earlier document holds."""
     runs = _all_runs(docs, run, least)
     firsts = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -116,7 +116,7 @@ def repeated_runs(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     return later.groupBy("id", "version").agg(F.collect_set("at").alias("runs"))
 
 
-def dedup_spans(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
     """``docs`` in a struct ``row``, with ``kept_text``, ``n_sentences``, ``n_removed``."""
     gone = repeated_runs(docs, run, least).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "runs")
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
@@ -157,13 +157,13 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
     return needed.mapInArrow(rebuild, f"row {kind}, kept_text string, n_sentences long, n_removed long")
 
 
-def drop_repeated_spans(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
     """``docs`` with the same columns, repeated sentences taken out of ``text``."""
     done = dedup_spans(docs, run, least)
     return done.select(*[(F.col("kept_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def span_report(docs: DataFrame, run: int = 2, least: int = 25) -> DataFrame:
+def span_report(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
     """One row per document: ``doc_id, n_sentences, n_removed, text`` (what is left)."""
     done = dedup_spans(docs.select("doc_id", "text"), run, least)
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "n_removed", F.col("kept_text").alias("text"))

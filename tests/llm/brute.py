@@ -49,7 +49,7 @@ def sentences(text):
     return found, out
 
 
-def spans(rows, run=2, least=25):
+def spans(rows, run=2, least=15):
     """Per id: sentences, removed sentences, text that is left."""
     held, parts = {}, {}
     for i, text in dict(rows).items():
