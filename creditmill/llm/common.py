@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish(files: fs.FileSystem, draft: str, place: str) -> None:
+    """Give a finished file its name; one that an earlier attempt of the task left goes."""
+    if files.get_file_info(place).type != fs.FileType.NotFound:
+        files.delete_file(place)
+    files.move(draft, place)
+
+
 def slices(spark: SparkSession) -> int:
     """How many parts block-wise operators deal their rows to: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     """``docs`` in a struct ``row``, with ``kept_text``, ``n_lines``, ``n_dropped``."""
     lost = repeated_lines(docs, min_chars, min_docs)
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"),
         docs["doc_id"].alias("row_id"),
         F.xxhash64(docs["text"]).alias("row_version"),
         docs["text"].alias("old_text"),

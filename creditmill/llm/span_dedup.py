@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditmill.llm.common import stored
 from creditmill.llm.shingles import chunks, mixed, word_bounds, word_hashes
@@ -119,7 +120,7 @@ def repeated_runs(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
 def dedup_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
     """``docs`` in a struct ``row``, with ``kept_text``, ``n_sentences``, ``n_removed``."""
     gone = repeated_runs(docs, run, least).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "runs")
-    row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"])
     rows = docs.select(row.alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("version"), docs["text"].cast("string").alias("text"))
     joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
 
@@ -152,9 +153,10 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
                 names=["row", "kept_text", "n_sentences", "n_removed"],
             )
 
-    kind = joined.schema["row"].dataType.simpleString()
     needed = joined.select("row", "id", "text", "runs")
-    return needed.mapInArrow(rebuild, f"row {kind}, kept_text string, n_sentences long, n_removed long")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed")]
+    kinds = T.StructType([joined.schema["row"], T.StructField("kept_text", T.StringType()), *counts])
+    return needed.mapInArrow(rebuild, kinds)
 
 
 def drop_repeated_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:

@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import scratch_dir, slices, stored
+from creditmill.llm.common import publish, scratch_dir, slices, stored
 from creditmill.llm.tokens import encoder
+from creditmill.llm.vocabulary import Vocabulary
 
 MAGIC = b"TOKENS01"
 _FOOTER = "<QQQQQQ8s"  # documents, without id, ids, bytes per id, bytes of either sequence, magic
@@ -115,13 +116,11 @@ def _write(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
         ends, named = EliasFano.of(np.array(bounds)), EliasFano.of(np.concatenate(ids_of))
         out.write(ends + named + struct.pack(_FOOTER, len(bounds) - 1, nameless, total, 4 if wide else 2, len(ends), len(named), MAGIC))
         out.close()
-        files.move(draft, f"{place}/{name}")
+        publish(files, draft, f"{place}/{name}")
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "documents": pa.array([len(bounds) - 1], pa.int64()), "ids": pa.array([total], pa.int64())}
         )
 
-    from creditmill.llm.vocabulary import Vocabulary
-
     wide = max(Vocabulary(path).base - 1, end_id) > 0xFFFF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

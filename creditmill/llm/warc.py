@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import scratch_dir, stored
+from creditmill.llm.common import publish, scratch_dir, stored
 
 VERSION = b"WARC/1.1\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -239,7 +239,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
                 records += 1
         if out is not None:
             out.close()
-            files.move(draft, f"{place}/{name}")  # a task that runs again replaces its file
+            publish(files, draft, f"{place}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": pa.array([records], pa.int64())})
 
     return stored(with_originals(pages, least).mapInArrow(write, "file string, records long"))

@@ -47,3 +47,9 @@ def test_empty_table(spark):
 def test_no_python_on_the_path(spark):
     plan = dedup_lines(documents(spark, odd_texts()))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_column_names_of_any_kind(spark):
+    docs = documents(spark, odd_texts()[:3]).withColumnRenamed("pos", "a name, with: signs").withColumnRenamed("id", "a.b")
+    assert drop_repeated_lines(docs).columns == docs.columns
+    assert drop_repeated_lines(docs).count() == 3

@@ -46,3 +46,9 @@ def test_columns_pass_through(spark):
 
 def test_empty_table(spark):
     assert found(empty(spark)) == []
+
+
+def test_column_names_of_any_kind(spark):
+    docs = documents(spark, odd_texts()[:3]).withColumnRenamed("pos", "a name, with: signs").withColumnRenamed("id", "a.b")
+    assert drop_repeated_spans(docs).columns == docs.columns
+    assert drop_repeated_spans(docs).count() == 3
