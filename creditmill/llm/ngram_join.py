@@ -280,8 +280,9 @@ class InvertedLists:
         """
         least = _least_overlap(n, self.percent)
         at = np.searchsorted(self.keys, tokens)
-        at = at[at < len(self.keys)]
-        at = at[np.isin(self.keys[at], tokens, assume_unique=True)] if len(at) else at
+        inside = at < len(self.keys)
+        at = at[inside]
+        at = at[self.keys[at] == tokens[inside]]
         if len(at) < least:
             return []
         lengths = self.first[at + 1] - self.first[at]

@@ -85,3 +85,20 @@ def test_search_equals_counting():
     for a, b in linked(sets, [len(s) for s in sets], 60):
         mine.join(a, b)
     assert [mine.root(i) for i in range(80)] == [ties.root(i) for i in range(80)]
+
+
+def test_search_with_shingles_the_index_lacks():
+    held = np.array([5, 9, 20], np.uint64)
+    assert InvertedLists([held], [3], 60).partners(np.array([3, 5, 6, 7, 9], np.uint64), 5) == []  # 2 of 6
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(3, 40))).astype(np.uint64) for _ in range(80)]
+    index = InvertedLists(sets[:8], [len(s) for s in sets[:8]], 40)
+    some = 0
+    for q in sets:
+        q = np.union1d(q, rng.integers(60, 70, 3).astype(np.uint64))
+        want = [k for k, s in enumerate(sets[:8]) if 100 * len(np.intersect1d(q, s)) >= 40 * len(np.union1d(q, s))]
+        assert sorted(index.partners(q, len(q))) == want
+        some += len(want)
+    assert some
+    lone = np.arange(0, 60, 2, dtype=np.uint64)  # every other shingle of the query is absent
+    assert InvertedLists([lone], [30], 60).partners(np.arange(60, dtype=np.uint64), 60) == []
