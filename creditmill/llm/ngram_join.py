@@ -14,7 +14,8 @@ first collide, the join stops with an error instead of merging different texts.
 
 Defined cases: texts without words have no shingles and link with nothing; a null text is
 empty; copies of a row link with each other; a row without an id links with nothing and has no
-component; an empty table gives an empty table; only ``doc_id`` and ``text`` are read.
+component; rows of one id with different texts are items of their own; an empty table gives an
+empty table; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -54,19 +55,20 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def _items(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, item, check`` for every row."""
+    """``doc_id, version, n, item, check`` for every row; ``version`` tells the texts of an id apart."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), *_set_hashes(s)) for _, s in shingle_sets(batch.column("text"), words)]
             n, item, check = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(check, pa.int64())],
-                names=["doc_id", "n", "item", "check"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(check, pa.int64())],
+                names=["doc_id", "version", "n", "item", "check"],
             )
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(measure, "doc_id long, n long, item long, check long")
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return read.mapInArrow(measure, "doc_id long, version long, n long, item long, check long")
 
 
 # ---- blocks: many short arrays in one row ---------------------------------------------------
@@ -442,15 +444,21 @@ def _links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return links if large.isEmpty() else links.union(_large_groups(large, percent, parts))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per row of ``docs``."""
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's item; every item and the smallest id that has it; the ``component`` of items that link with others."""
     items = stored(_items(docs, words))
     named = items.where("n > 0 and doc_id is not null")
     classes = named.groupBy("item").agg(F.min("doc_id").alias("first"), (F.min("check") != F.max("check")).alias("clash"))
     classes = stored(classes)
     if not classes.where("clash").isEmpty():
         raise ValueError("two different shingle sets share a hash: run the join on parts of the table")
-    tied = stored(components(_links(docs, words, percent)).withColumnRenamed("id", "item"))
+    return items, classes, stored(components(_links(docs, words, percent)).withColumnRenamed("id", "item"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per row of ``docs``."""
+    items, classes, tied = _grouped(docs, words, percent)
+    named = items.where("n > 0 and doc_id is not null")
     least = classes.join(tied, "item").groupBy("component").agg(F.min("first").alias("least"))
     grouped = tied.join(least, "component").select("item", "least")
     # Stored, so that both sides of the join are shuffled for it and a frequent text's rows can be split.
@@ -461,6 +469,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that a smaller id of their component stands for."""
-    found = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(found.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of every component: of its smallest id, and of that one text, one copy."""
+    items, classes, tied = _grouped(docs, words, percent)
+    # Stored, as above: counted once per text of an id first, so that copies of a row are few rows here.
+    groups = stored(classes.join(tied, "item", "left").select("item", F.coalesce("component", "item").alias("component")))
+    texts = stored(items.where("n > 0 and doc_id is not null").groupBy("item", "doc_id", "version").agg(F.count(F.lit(1)).alias("copies")))
+    own = F.struct("doc_id", "item", "version")
+    members = stored(texts.join(groups, "item").select("component", own.alias("own"), "copies"))
+    chosen = stored(members.groupBy("component").agg(F.min("own").alias("chosen")))
+    marked = members.join(chosen, "component").where((F.col("own") != F.col("chosen")) | (F.col("copies") > 1))
+    marked = stored(marked.select(
+        F.col("own.doc_id").alias("__id"), F.col("own.version").alias("__version"), (F.col("own") == F.col("chosen")).alias("__stays")
+    ))
+    version = F.xxhash64(docs["text"].cast("string"))
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (version == F.col("__version"))
+    alone = docs.join(marked, same, "left_anti")
+    if marked.where("__stays").isEmpty():
+        return alone
+    # Of equal texts of one id any copy will do; partial sums leave one per task before the shuffle.
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    copied = docs.join(marked.where("__stays"), same, "left_semi").groupBy(docs["doc_id"].cast("long"), version).agg(F.first(row).alias("row"))
+    return alone.union(copied.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

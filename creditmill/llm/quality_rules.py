@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from creditmill.llm.common import stored
@@ -85,18 +86,20 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for c, v in out.items()}
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the counts of every text."""
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, lang, source`` and the counts of every text; with ``whole`` also the row itself, as struct ``row``."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = text_counts(batch.column("text"))
-            keys = [batch.column(c) for c in ("doc_id", "lang", "source")]
-            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts.values())], names=["doc_id", "lang", "source", *COUNTS])
+            keys = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts.values())], names=[*names, *COUNTS])
 
     kinds = {"doc_id": "long", "lang": "string", "source": "string", "text": "string"}
-    rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
-    return rows.mapInArrow(measure, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *row)
+    names = [c for c in rows.columns if c != "text"]
+    return rows.mapInArrow(measure, T.StructType([*[rows.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in COUNTS]]))
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
@@ -161,20 +164,26 @@ def thresholds(counts: DataFrame, least: int = LEAST) -> DataFrame:
     return stored(chosen.groupBy("lang", "source").agg(*columns))
 
 
-def judged(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed`` and ``kept`` for every row of ``docs``."""
-    counts = stored(measured(docs))
-    limits = thresholds(counts, least).withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
+def _with_verdicts(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """``counts`` with ``base_failed`` and ``kept``."""
+    limits = limits.withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
     same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
     inside = F.lit(True)
     for m, (rule, _, _) in METRICS.items():
         inside = inside & F.expr(rule).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
     kept = ~base_failed() & F.coalesce(inside, F.lit(False))
+    return counts.join(limits, same, "left").select(*counts.columns, base_failed().alias("base_failed"), kept.alias("kept"))
+
+
+def judged(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` for every row of ``docs``."""
+    counts = stored(measured(docs))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return counts.join(limits, same, "left").select("doc_id", *names, base_failed().alias("base_failed"), kept.alias("kept"))
+    return _with_verdicts(counts, thresholds(counts, least)).select("doc_id", *names, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the documents that the rules reject; rows of one id go if any of them is rejected."""
-    gone = judged(docs, least).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` without the rows that the rules reject; every row is judged by itself, whatever its id."""
+    limits = thresholds(stored(measured(docs)), least)
+    kept = _with_verdicts(measured(docs, whole=True), limits).where("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

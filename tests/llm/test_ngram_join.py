@@ -102,3 +102,11 @@ def test_search_with_shingles_the_index_lacks():
     assert some
     lone = np.arange(0, 60, 2, dtype=np.uint64)  # every other shingle of the query is absent
     assert InvertedLists([lone], [30], 60).partners(np.arange(60, dtype=np.uint64), 60) == []
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, two, three = (" ".join(words(60, salt)) for salt in (21, 22, 23))
+    near = one.replace(words(60, 21)[30], "changed")
+    rows = [(1, one), (5, near), (5, two), (6, three), (6, three), (6, three.upper()), (7, three), (8, two)]
+    kept = sorted((r.doc_id, r.text.lower()) for r in keep_one_of_each(documents(spark, rows)).collect())
+    assert kept == [(1, one), (5, two), (6, three)]

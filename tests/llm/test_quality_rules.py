@@ -62,3 +62,15 @@ def test_filter(spark):
 
 def test_empty_table(spark):
     assert judged(empty(spark)).collect() == []
+
+
+def test_rows_of_one_id_or_none_are_judged_one_by_one(spark):
+    good, other = " ".join(words(90, 4)), " ".join(words(95, 5))
+    more = [(None, None, "en", "a"), (None, "too short", "en", "a"), (7, "too short", "en", "a"), (8, other, "en", "a"), (8, other, None, None)]
+    docs = documents(spark, corpus() + more).withColumnRenamed("id", "a.b")
+    kept = keep_good(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    assert texts.count((None, good)) == 1 and [t for i, t in texts if i == 7] == [corpus()[7][1]]
+    assert sorted(t for i, t in texts if i == 8) == sorted([corpus()[8][1], other, other])
+    assert (None, None) not in texts and (None, "too short") not in texts
