@@ -1,8 +1,9 @@
 """Substring de-duplication over sliding runs of sentences.
 
 From every sentence on, a run of consecutive sentences is hashed: as many as it takes to have
-``run`` of them and ``least`` words; so is a single sentence of ``least`` words. Hashes meet in
-one join over all documents. A run that an earlier document holds, or that stood earlier in the
+``run`` of them and ``least`` words; so is the shortest such run that ends with the sentence, and
+a single sentence of ``least`` words. Together they cover every longer run to its last sentence.
+Hashes meet in one join over all documents. A run that an earlier document holds, or that stood earlier in the
 same text, is a repeat, and every sentence that a repeat covers is taken out. Documents are
 ordered by id. Shorter repeats, such as a shared opening line, stay.
 
@@ -59,17 +60,32 @@ class Runs:
         whole = end <= self.bounds[self.row + 1] if n else np.zeros(0, bool)
         #: Sentences of the run that begins at each sentence, 0 where the text ends before.
         self.reach = np.where(whole, end - at, 0)
+        begin = np.minimum(at + 1 - run, np.searchsorted(count, count[1:] - least, "right") - 1)
+        whole_back = begin >= self.bounds[self.row] if n else np.zeros(0, bool)
+        #: Sentences of the run that ends with each sentence, 0 where the text begins after.
+        self.back = np.where(whole_back, at + 1 - begin, 0)
+        other = np.flatnonzero(whole_back)
+        other = other[self.reach[begin[other]] != self.back[other]]  # the rest are runs from their first sentence on
         single = words >= least
-        self.at = np.concatenate([at[whole], at[single]])
-        self.length = np.concatenate([self.reach[whole], np.ones(int(single.sum()), np.int64)])
+        forth = np.flatnonzero(whole)
+        first_of, length = np.concatenate([forth, begin[other]]), np.concatenate([self.reach[forth], self.back[other]])
+        self.at = np.concatenate([first_of, at[single]])
+        self.length = np.concatenate([length, np.ones(int(single.sum()), np.int64)])
+        #: A number of each run in its chunk: three for every sentence, for runs from it on, itself, and runs up to it.
+        self.number = np.concatenate([3 * forth, 3 * other + 2, 3 * at[single] + 1])
         self.hash = []
         for k, own in zip(_KEYS, sentences, strict=True):
-            total = np.zeros(n, _U)
-            for j in range(int(self.reach.max(initial=0))):
-                more = np.flatnonzero(j < self.reach)
-                total[more] = mixed(total[more] + mixed(own[more + j] + _U(j)))
-            total = mixed(total + self.reach.astype(_U) * k)
-            self.hash.append(np.concatenate([total[whole], mixed(own[single] + k)]))
+            total = np.zeros(len(length), _U)
+            for j in range(int(length.max(initial=0))):
+                more = np.flatnonzero(j < length)
+                total[more] = mixed(total[more] + mixed(own[first_of[more] + j] + _U(j)))
+            total = mixed(total + length.astype(_U) * k)
+            self.hash.append(np.concatenate([total, mixed(own[single] + k)]))
+
+    def covered(self, number: int) -> slice:
+        """The sentences of a run, by its number."""
+        at, kind = divmod(number, 3)
+        return slice(at + 1 - int(self.back[at]), at + 1) if kind == 2 else slice(at, at + (1 if kind else int(self.reach[at])))
 
     def again(self) -> np.ndarray:
         """Which runs stood earlier in the same text."""
@@ -95,8 +111,7 @@ def _all_runs(docs: DataFrame, run: int, least: int) -> DataFrame:
                 runs = Runs(data, offsets, run, least)
                 keep = ~runs.again()
                 row = runs.row[runs.at[keep]]
-                # A single sentence and a run may begin at the same place: the length tells them apart.
-                at = 2 * (runs.at[keep] - runs.bounds[row]) + (runs.length[keep] == 1)
+                at = runs.number[keep] - 3 * runs.bounds[row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(runs.hash[0][keep].view(np.int64)), pa.array(runs.hash[1][keep].view(np.int64)),
                      pa.array(ids[first + row].astype(np.int64)), pa.array(versions[first + row]), pa.array(at, pa.int64())],
@@ -132,13 +147,12 @@ def dedup_spans(docs: DataFrame, run: int = 2, least: int = 15) -> DataFrame:
                 found = Runs(data, offsets, run, least)
                 covered = np.zeros(len(found.starts), bool)
                 again = found.again()
-                for at, length in zip(found.at[again].tolist(), found.length[again].tolist(), strict=True):
-                    covered[at : at + length] = True
+                for number in found.number[again].tolist():
+                    covered[found.covered(number)] = True
                 for i in range(len(offsets) - 1):
                     a, b = int(found.bounds[i]), int(found.bounds[i + 1])
                     for place in repeated[first + i] or ():
-                        k = a + place // 2
-                        covered[k : k + (1 if place % 2 else int(found.reach[k]))] = True
+                        covered[found.covered(3 * a + place)] = True
                     if ids[first + i] is None:
                         covered[a:b] = False
                     n_sentences.append(b - a)
