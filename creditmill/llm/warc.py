@@ -7,7 +7,8 @@ smaller payloads are all responses.
 The reader checks every record: the gzip member's own check sum, the version line, the length,
 the blank lines at its end, and the digests of block and payload. When a check fails, it looks
 for the next place where a member or a version line begins a record that passes, goes on from
-there, and logs the bytes in between as a quarantined gap with the reason.
+there, and logs the bytes in between as a quarantined gap with the reason. A member may hold
+several records; those that pass are read, what lies between them is a gap of the member.
 
 Defined cases: a null payload is empty; a null or unprintable URL is left out or escaped; pages
 without an id are responses and come back without one; rows of one id are records of their own;
@@ -35,8 +36,10 @@ from creditmill.llm.common import publish, scratch_dir, stored
 VERSION = b"WARC/1.1\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/1\.[01]\r\n")
+#: Where a header ends: at its blank line, or at the version line of another record.
+_STOP = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
 _REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-#: Bytes read at once, and the longest header.
+#: Bytes read at once, and those of a header that are read first.
 STEP, HEADER = 1 << 20, 1 << 16
 
 
@@ -95,11 +98,21 @@ class Damaged(Exception):
     """A check failed."""
 
 
+class _Held:
+    """The content of a member, as a file."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
+
+
 class Archive:
-    """Random access to a file, a step at a time."""
+    """Random access to a file, a step at a time. ``packed``: its records may be members."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size = file, size
+    def __init__(self, file, size: int, packed: bool = True):
+        self.file, self.size, self.packed = file, size, packed
         self._at, self._held = 0, b""
 
     def read(self, at: int, n: int) -> bytes:
@@ -110,7 +123,7 @@ class Archive:
 
     def _head(self, data: bytes) -> tuple[dict[str, str], int]:
         """Fields of a record that starts ``data``, and where its block starts."""
-        end = data.find(b"\r\n\r\n", 0, HEADER)
+        end = data.find(b"\r\n\r\n")
         lines = data[:end].split(b"\r\n") if end >= 0 else []
         if not lines or not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
             raise Damaged("no version line" if data[:5] != b"WARC/" else "header without an end")
@@ -140,14 +153,21 @@ class Archive:
         return Record(start, end, fields, block)
 
     def _plain(self, at: int) -> Record:
-        fields, start = self._head(self.read(at, HEADER))
+        n = HEADER
+        data = self.read(at, n)
+        # A header of any length is read to its end; where none can begin, nothing is.
+        while data.startswith(b"WARC/") and not _STOP.search(data) and at + len(data) < self.size:
+            n *= 2
+            data = self.read(at, n)
+        stop = _STOP.search(data)
+        fields, start = self._head(data[: stop.end()] if stop else data)
         length = int(fields["content-length"])
         if at + start + length > self.size:
             raise Damaged("cut off")
         end = at + start + length + 4
         return self._checked(at, end, fields, self.read(at + start, length), self.read(end - 4, 4))
 
-    def _member(self, at: int) -> Record:
+    def _member(self, at: int) -> list[Record | Gap]:
         unpacker, parts, place, step = zlib.decompressobj(31), [], at, 4096
         try:
             while not unpacker.eof:
@@ -162,17 +182,18 @@ class Archive:
             raise Damaged(f"member broken ({str(error).rpartition(':')[2].strip() or 'data'})") from None
         end = place - len(unpacker.unused_data)
         data = b"".join(parts)
-        fields, start = self._head(data)
-        length = int(fields["content-length"])
-        return self._checked(at, end, fields, data[start : start + length], data[start + length :])
+        found = list(Archive(_Held(data), len(data), packed=False).entries())
+        if not any(isinstance(e, Record) for e in found):
+            raise Damaged(found[0].reason if found else "no version line")
+        return [e._replace(start=at, end=end) for e in found]
 
-    def record(self, at: int) -> Record:
-        """The record at a place, or Damaged."""
+    def records(self, at: int) -> list[Record | Gap]:
+        """The record at a place, or all that the member there holds; or Damaged."""
         head = self.read(at, 3)
-        return self._member(at) if head == b"\x1f\x8b\x08" else self._plain(at)
+        return self._member(at) if self.packed and head == b"\x1f\x8b\x08" else [self._plain(at)]
 
-    def _next(self, at: int) -> Record | None:
-        """The first record that passes from a place on."""
+    def _next(self, at: int) -> list[Record | Gap]:
+        """The first record or member that passes from a place on."""
         while at < self.size:
             data = self.read(at, STEP)
             found = _START.search(data)
@@ -181,24 +202,24 @@ class Archive:
                 continue
             at += found.start()
             try:
-                return self.record(at)
+                return self.records(at)
             except Damaged:
                 at += 1
-        return None
+        return []
 
     def entries(self) -> Iterator[Record | Gap]:
-        """Records and gaps in the order of the file; together they cover it."""
+        """Records and gaps in the order of the file; together they cover it. Those of one member share its place."""
         at = 0
         while at < self.size:
             try:
-                found = self.record(at)
+                found = self.records(at)
             except Damaged as damage:
                 found = self._next(at + 1)
-                yield Gap(at, found.start if found else self.size, str(damage))
+                yield Gap(at, found[0].start if found else self.size, str(damage))
                 if not found:
                     return
-            yield found
-            at = found.end
+            yield from found
+            at = found[-1].end
 
 
 # ---- over tables ----------------------------------------------------------------------------

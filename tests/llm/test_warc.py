@@ -95,3 +95,34 @@ def test_gaps_are_rows(spark):
     assert sum(r.reason is not None for r in rows) >= 1
     assert sum(r.reason is None for r in rows if r.file == name) == len(ROWS)
     assert sum(r.reason is None for r in rows if r.file != name) >= len(ROWS) - 1
+
+
+@pytest.mark.parametrize("url", ["http://x/" + "a" * 200_000, "http://x/" + "日本" * 20_000])
+def test_urls_of_any_length(spark, url):
+    for packed in (True, False):
+        parts = [record(k, u, b"page", None) for k, u in enumerate(["u", url, "u"])]
+        parts = [member(p) for p in parts] if packed else parts
+        found = entries(b"".join(parts))
+        assert [e.fields["warc-record-id"] for e in found] == [page_urn(k) for k in range(3)]
+        assert len(found[1].fields["warc-target-uri"]) >= 200_000
+        found = entries(parts[0] + parts[1][:-9] + parts[2])  # a long one cut off: the next is found
+        assert [getattr(e, "fields", {}).get("warc-record-id") for e in found] == [page_urn(0), None, page_urn(2)]
+    assert len(pages_from_archives(pages(spark, [(1, url, LONG), (2, url, "short")])).collect()) == 2
+
+
+def test_header_that_never_ends():
+    start = record(1, "u", b"", None)[:40]
+    found = entries(start + b"x" * 300_000 + b"\r\n" + record(2, "u", b"page", None))
+    assert [type(e) for e in found] == [Gap, Record] and found[0].reason == "header without an end"
+    assert [e.reason for e in entries(start + b"x" * 300_000)] == ["header without an end"]
+
+
+def test_records_of_one_member():
+    three = [record(k, "u", b"a" * 50, None) for k in range(3)]
+    data = member(b"".join(three)) + member(record(3, "u", b"\x1f\x8b\x08\x00 no member", None))
+    found = entries(data)
+    assert [e.fields["warc-record-id"] for e in found] == [page_urn(k) for k in range(4)]
+    assert found[0].start == 0 and found[0].end == found[2].end == found[3].start and found[3].end == len(data)
+    broken = member(three[0] + three[1].replace(b"aaaa", b"axaa", 1) + three[2])
+    assert [getattr(e, "reason", None) for e in entries(broken)] == [None, "block digest differs", None]
+    assert [e.reason for e in entries(member(three[1].replace(b"aaaa", b"axaa", 1)))] == ["block digest differs"]
