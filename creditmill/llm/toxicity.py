@@ -6,8 +6,10 @@ letters are parted or mixed with others still resembles the word. A blank counts
 that words have edges; digits and other signs only take up room. Signs between two letters and
 blanks between single letters are left out first, so that letters set apart meet again.
 
-Sentences carry the label of their document; in a sentence the most suspicious stretch of
-letters stands for it. Training starts from the words that toxic sentences hold far more often
+Labels are those of whole documents, and texts are not cut into sentences: of a document the most
+suspicious stretch of letters is learnt. The most frequent letters have codes of their own, all
+others of the sample share these codes by a fixed rule, so that letters of any script count; a
+letter that the whole sample lacks is a sign. Training starts from the words that toxic sentences hold far more often
 than clean ones, takes some of them and some clean words as landmarks, maps strings to their
 kernels with the landmarks (whitened, as Nyström's method asks), and fits a squared-hinge machine.
 It then scores the training sentences, adds the strongest stretches of each document under its
@@ -36,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditmill.llm.shingles import mixed
+
 #: Labelled documents of either kind to learn from; bytes of a text that may be learnt from.
 SAMPLE, LONGEST = 1500, 200_000
 #: Places a subsequence may span, weight of a skipped place, places of the stretches that are tried.
@@ -59,18 +63,22 @@ _DISTANCES = list(combinations(range(1, SPAN), 3))
 
 
 class Letters:
-    """Codes of characters: 1 for blanks, the most frequent letters from 2 on, everything else 0."""
+    """Codes of characters: 1 for blanks, letters from 2 on, everything else 0.
+
+    The most frequent letters have a code each; every other letter of the texts shares one of these codes.
+    """
 
     def __init__(self, texts: Iterable[str]):
         counts = Counter()
         for text in texts:
             counts.update(text.lower())
-        own = sorted((c for c in counts if c.isalpha() and len(c) == 1), key=lambda c: (-counts[c], c))[: LETTERS - 2]
-        self.table = np.zeros(0x110000 >> 4, np.uint8)  # letters beyond U+10FFF are never frequent
+        own = sorted((c for c in counts if c.isalpha() and len(c) == 1), key=lambda c: (-counts[c], c))
+        self.table = np.zeros(max([32, *(ord(f) for c in own for f in (c, c.upper()) if len(f) == 1)]) + 1, np.uint8)
         self.table[[9, 10, 13, 32]] = 1
-        for code, c in enumerate(own, 2):
+        shared = 2 + mixed(np.array([ord(c) for c in own], np.uint64)) % np.uint64(LETTERS - 2)
+        for code, c in zip([*range(2, LETTERS), *shared[LETTERS - 2 :].tolist()], own, strict=False):
             for form in {c, c.upper()}:
-                if len(form) == 1 and ord(form) < len(self.table):
+                if len(form) == 1:
                     self.table[ord(form)] = code
 
     def codes(self, texts: list[str], pad: int = SPAN + max(STRETCHES)) -> tuple[np.ndarray, np.ndarray]:

@@ -66,3 +66,24 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity(docs, none).collect()] == [0.0, 0.0]
     assert toxicity(empty(spark), none).collect() == []
+
+
+def test_letters_of_a_rarer_script_count():
+    rnd = random.Random(9)
+    wide = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõö"  # more letters than have codes of their own
+    latin = lambda n: " ".join("".join(rnd.choice(wide) for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    syllables = ["та", "рен", "ло", "ми", "са", "не", "ду", "ри", "бел", "кон"]
+
+    def cyrillic(insult=None):
+        out = ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(10, 60))]
+        if insult:
+            out.insert(rnd.randrange(len(out)), insult)
+        return " ".join(out) + "."
+
+    insults = ["хъюжга", "щыцэф", "гжобъя"]
+    rows = [(latin(120), 0) for _ in range(300)] + [(cyrillic(insults[i % 3] if i % 2 else None), i % 2) for i in range(240)]
+    scorer = train([t for t, _ in rows], [y for _, y in rows])
+    assert (scorer.probability([cyrillic(insults[i % 3]) for i in range(100)]) >= 0.7).mean() >= 0.9
+    assert (scorer.probability([cyrillic() for _ in range(100)]) >= 0.7).mean() <= 0.05
+    codes, starts = scorer.letters.codes(["щ", "Щ", "-"])
+    assert codes[starts[0]] == codes[starts[1]] > 1 and codes[starts[2]] == 0
