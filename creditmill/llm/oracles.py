@@ -102,4 +102,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN verdicts USING (k)
 """
 
-ORACLES = {"op2_warc": OP2, "op3_quality_rules": OP3, "op10_line_dedup": OP10}
+
+def _op13(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """One table of assignments and one of centroids for every round."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w
+  FROM (SELECT v, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT r, vec_id, v, c, list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - w[i]) * (v[i] - w[i]))) AS d
+    FROM kept, c{i}
+  ) GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m, w) AS w FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+      SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, {dim + 1}) AS t(i) GROUP BY 1, 2
+    ) GROUP BY c
+  ) USING (c)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS "cluster", CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best.c
+"""
+
+
+ORACLES = {"op2_warc": OP2, "op3_quality_rules": OP3, "op10_line_dedup": OP10, "op13_shallot_clusters": _op13()}

@@ -11,10 +11,12 @@ from creditmill.llm.line_dedup import line_report
 from creditmill.llm.ngram_join import near_duplicates
 from creditmill.llm.packing import packed_documents
 from creditmill.llm.quality_rules import judged
+from creditmill.llm.shallot import centroid_clusters
 from creditmill.llm.span_dedup import span_report
 from creditmill.llm.token_store import stored_tokens
 from creditmill.llm.toxicity import toxicity
 from creditmill.llm.warc import pages_from_archives
+from creditmill.llm.whitening import whitening_report
 
 #: The vocabulary's file; every operator takes its path as a parameter.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +66,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_warc, op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
+    op12_whitening, op13_shallot_clusters,
 )}
