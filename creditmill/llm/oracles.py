@@ -102,6 +102,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN verdicts USING (k)
 """
 
+OP11 = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), n AS MATERIALIZED (
+  SELECT k, doc_id, b, octet_length(b) AS n FROM d
+), p AS MATERIALIZED (
+  SELECT k, i, md5_number(b[i + 1:i + 400]) AS h FROM (SELECT k, b, unnest(range(0, n - 399)) AS i FROM n WHERE n >= 400)
+), twice AS (
+  SELECT k, i FROM p SEMI JOIN (SELECT h FROM p GROUP BY h HAVING count(*) > 1) USING (h)
+), jumps AS (
+  SELECT k, i, i > 400 + lag(i, 1, -401) OVER (PARTITION BY k ORDER BY i) AS new FROM twice
+), spans AS (
+  SELECT k, min(i) AS a, max(i) + 400 AS e FROM (
+    SELECT k, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY k ORDER BY i) AS s FROM jumps
+  ) GROUP BY k, s
+), gaps AS (
+  SELECT k, coalesce(lag(e) OVER w, 0) AS a, a AS e FROM spans WINDOW w AS (PARTITION BY k ORDER BY a)
+  UNION ALL SELECT k, max(e), any_value(n) FROM spans JOIN n USING (k) GROUP BY k
+), kept AS (
+  SELECT k, sha256(unhex(string_agg(hex(b[a + 1:e]), '' ORDER BY a))) AS kept_sha256 FROM gaps JOIN n USING (k) GROUP BY k
+), removed AS (
+  SELECT k, count(*) AS n_spans, sum(e - a) AS n_removed FROM spans GROUP BY k
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       coalesce(kept_sha256, sha256(b)) AS kept_sha256
+FROM n LEFT JOIN removed USING (k) LEFT JOIN kept USING (k)
+"""
+
 
 def _op13(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """One table of assignments and one of centroids for every round."""
@@ -138,4 +166,4 @@ FROM a{rounds} JOIN c{rounds} ON c = best.c
 """
 
 
-ORACLES = {"op2_warc": OP2, "op3_quality_rules": OP3, "op10_line_dedup": OP10, "op13_shallot_clusters": _op13()}
+ORACLES = {"op2_warc": OP2, "op3_quality_rules": OP3, "op10_line_dedup": OP10, "op11_suffix_dedup": OP11, "op13_shallot_clusters": _op13()}

@@ -13,6 +13,7 @@ from creditmill.llm.packing import packed_documents
 from creditmill.llm.quality_rules import judged
 from creditmill.llm.shallot import centroid_clusters
 from creditmill.llm.span_dedup import span_report
+from creditmill.llm.suffix_dedup import substring_report
 from creditmill.llm.token_store import stored_tokens
 from creditmill.llm.toxicity import toxicity
 from creditmill.llm.warc import pages_from_archives
@@ -66,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(_table(spark, sf_dir, "embeddings"))
 
@@ -76,5 +81,5 @@ def op13_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_warc, op3_quality_rules, op4_ngram_join, op5_span_dedup, op6_packing, op7_bpe_lexicon, op8_ego_join, op9_token_store, op10_line_dedup,
-    op12_whitening, op13_shallot_clusters,
+    op11_suffix_dedup, op12_whitening, op13_shallot_clusters,
 )}

@@ -1,0 +1,145 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from creditmill.llm import suffix_dedup
+from creditmill.llm.suffix_dedup import Runs, classes, dedup_substrings, pieces, previous_factors, substring_report
+from tests.llm.fixtures import documents, empty, odd_texts, words
+
+
+def plain(rows, least=400, keep="none"):
+    """Per row: id, bytes, removed bytes, spans, hash of the rest. Equal rows are one place with ``keep="first"``."""
+    data = [(i, (t or "").encode()) for i, t in rows]
+    order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
+    if keep == "first":
+        order = [k for at, k in enumerate(order) if data[k] not in [data[j] for j in order[:at]]]
+    first, count = {}, {}
+    for k in order:
+        for p in range(len(data[k][1]) - least + 1):
+            s = data[k][1][p : p + least]
+            first.setdefault(s, (data[k], p))
+            count[s] = count.get(s, 0) + 1
+    out = []
+    for row in data:
+        i, b = row
+        gone = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - least + 1):
+            s = b[p : p + least]
+            if (count[s] > 1) if keep == "none" else first[s] != (row, p):
+                gone[p] += 1
+                gone[p + least] -= 1
+        gone = np.cumsum(gone)[: len(b)] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, **options):
+    return sorted(map(tuple, substring_report(documents(spark, rows), **options).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    shared = " ".join(words(150, 77))
+    own = lambda n, salt: " ".join(words(n, salt))
+    out = [(100 + k, f"{own(rng.randint(0, 90), k)} {shared[rng.randint(0, 300):][:rng.randint(300, 900)]} {own(rng.randint(0, 90), 500 + k)}") for k in range(40)]
+    out += [(200 + k, own(80, 900) + f" {k % 3} " + own(200, 901)) for k in range(12)]  # near copies
+    out += [(300, "a" * 3000), (301, "ab" * 900), (302, "a" * 401), (303, "b" * 400), (304, own(90, 5) + " " + own(90, 5))]
+    out += [(-7, shared), (310, "ü" * 700 + "é" + shared), (311, "ü" * 500)]
+    return [*out, *odd_texts()]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 3000}, {"CHUNK": 1500, "LONGEST": 64, "BUCKET": 20_000}])
+def test_against_plain_version(spark, monkeypatch, rows, keep, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    only = [r for r in rows if r[0] is not None] if keep == "first" else rows
+    assert found(spark, only, keep=keep) == plain(only, keep=keep)
+
+
+def test_other_lengths(spark, rows):
+    for least in (3, 37, 120):
+        some = rows[:25] + rows[-17:] if least < 100 else rows
+        assert found(spark, some, least=least) == plain(some, least)
+
+
+def test_first_stays_and_rows_without_an_id_come_last(spark):
+    text = " ".join(words(120, 1))
+    got = found(spark, [(None, text), (None, text), (9, text), (4, text), (4, text)], keep="first")
+    n = len(text)
+    assert [(r[0], r[2]) for r in got] == [(4, 0), (4, 0), (9, n), (None, n), (None, n)]
+    got = found(spark, [(None, text), (None, text + " more")], keep="first")
+    assert sorted(r[2] > 0 for r in got) == [False, True]
+
+
+def test_other_columns_and_bytes(spark, rows):
+    docs = documents(spark, rows)
+    done = dedup_substrings(docs)
+    assert done.columns == ["row", "kept", "n_bytes", "n_removed", "n_spans"] and done.count() == len(rows)
+    assert [f.name for f in done.schema["row"].dataType.fields] == [c for c in docs.columns if c != "text"]
+    text = {r["row"]["doc_id"]: bytes(r["kept"]) for r in done.where("row.doc_id in (7, 302, 303)").collect()}
+    assert text == {7: b"short text", 302: b"", 303: b"b" * 400}
+
+
+def test_nothing(spark):
+    assert found(spark, []) == [] and substring_report(empty(spark)).count() == 0
+    assert found(spark, [(1, None), (None, None), (2, "")]) == plain([(1, None), (None, None), (2, "")])
+    with pytest.raises(ValueError):
+        substring_report(empty(spark), keep="last")
+
+
+def test_equal_strings_have_equal_names():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 3000).astype(np.uint8)
+    data[2000:2600] = data[500:1100]
+    runs = Runs(data, np.array([0, 1700, 3000]), 60, 20)
+    name = {}
+    for start, n, value in zip(runs.start.tolist(), runs.n.tolist(), runs.name.tolist(), strict=True):
+        for p in range(start, start + n):
+            name[p] = value
+    assert set(name) == set(range(1641)) | set(range(1700, 2941))
+    assert all(name[2000 + k] == name[500 + k] for k in range(541))
+    assert len(runs.start) < 3000 / 8
+
+
+def test_pieces_hold_every_string_once():
+    texts = ["x" * 10, None, "".join(chr(97 + k % 26) for k in range(5000)), "", "tail"]
+    suffix_dedup_chunk, suffix_dedup.CHUNK = suffix_dedup.CHUNK, 700
+    try:
+        got = [(first, before + p, bytes(data[p : p + 30])) for first, before, data, offsets in pieces(pa.array(texts), 30)
+               for p in range(len(data) - 29) if len(offsets) == 2]
+    finally:
+        suffix_dedup.CHUNK = suffix_dedup_chunk
+    assert [(f, p) for f, p, _ in got if f == 2] == [(2, p) for p in range(4971)]
+    assert all(texts[2].encode()[p : p + 30] == s for f, p, s in got if f == 2)
+
+
+@pytest.mark.parametrize("least", [3, 7, 8, 13, 20, 56, 57])
+def test_ranks_are_suffix_order(least):
+    rng = np.random.default_rng(least)
+    parts = [rng.integers(97, 99, n + least - 1).astype(np.uint8) for n in (5, 40, 1, 60)]
+    data, n = np.concatenate(parts), np.array([5, 40, 1, 60])
+    begin = np.cumsum([0, *map(len, parts[:-1])])
+    at, rank = classes(data, begin, n, least)
+    assert at.tolist() == [b + k for b, m in zip(begin, n, strict=True) for k in range(m)]
+    strings = [data[p : p + least].tobytes() for p in at]
+    ordered = {s: k for k, s in enumerate(sorted(set(strings)))}
+    assert rank.tolist() == [ordered[s] for s in strings]
+
+
+def test_longest_previous_factors():
+    rng = random.Random(5)
+    for text in [*("".join(rng.choice("ab") for _ in range(60)) for _ in range(40)), "a" * 30, "abcdefgh", "x"]:
+        order = sorted(range(len(text)), key=lambda p: text[p:])
+        lcp = lambda p, q: next((k for k in range(len(text)) if text[p + k : p + k + 1] != text[q + k : q + k + 1] or p + k >= len(text) or q + k >= len(text)), len(text))
+        common = np.array([0] + [lcp(p, q) for p, q in zip(order, order[1:], strict=False)])
+        length, source = previous_factors(np.array(order), common)
+        want = [max((lcp(p, q) for q in range(p)), default=0) for p in range(len(text))]
+        assert length.tolist() == want
+        assert all((s == -1 and m == 0) or (s < p and lcp(p, s) == m) for p, (s, m) in enumerate(zip(source.tolist(), want, strict=True)))
