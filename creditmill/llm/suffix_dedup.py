@@ -15,9 +15,13 @@ hash are one segment, whose second and later places repeat the first.
 names at a time, and the suffixes at their starting places are sorted to a depth of ``least``
 bytes by prefix doubling. In suffix order the previous and the next smaller place of each
 suffix, with the shortest common prefix on the way, give its longest earlier match. Where that
-reaches ``least``, the place is a later copy, and the place it matches is an earlier one. A name
-with more than ``BUCKET`` bytes of segments is dealt to several sorts by the hash of the segment;
-the places that none of them found a copy of meet once more by the hash of their string.
+reaches ``least``, the place is a later copy, and the place it matches is an earlier one.
+
+*Frequent names.* A name with more than ``BUCKET`` bytes of segments does not fit one sort. Its
+segments are taken as texts of their own and named again, by the hashes of almost whole strings
+(``FINE`` of ``least`` bytes), which a changed byte nearly always changes, so that few places have
+company. A name that is too large even then is dealt to several sorts by the hash of the segment,
+and the places that none of them found a copy of meet once more by the hash of their string.
 
 Texts cross the shuffles compressed. Rows equal in id and text have equal results.
 
@@ -44,11 +48,14 @@ from creditmill.llm.common import stored
 from creditmill.llm.shingles import mixed
 
 _U = np.uint64
-#: Bytes that make a name; places of a run at most; bytes of text, and of segments, worked on at once.
-GRAM, LONGEST, CHUNK, BUCKET = 50, 4096, 1 << 20, 1 << 20
+#: Bytes that make a name; share of a string, in eighths, that makes a fine one; places of a run at most; bytes of
+#: text, and of segments, worked on at once.
+GRAM, FINE, LONGEST, CHUNK, BUCKET = 50, 7, 4096, 1 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _CODES = mixed(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_PLACE = ["no_id", "id", "version"]
+#: A document's name: its id and the hash of its text; ``base``: where in it the text at hand begins.
+_DOCUMENT = ["no_id", "id", "version"]
+_PLACE = [*_DOCUMENT, "base"]
 
 
 class Powers:
@@ -123,7 +130,7 @@ class Runs:
 
 def pieces(texts: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, bytes of it that came before, bytes, row offsets. Of a long text, pieces whose strings overlap."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
@@ -140,23 +147,24 @@ def pieces(texts: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _named(docs: DataFrame, *more: F.Column) -> DataFrame:
-    """``no_id, id, version, text``: a document's name is its id and the hash of its text."""
+    """``no_id, id, version, base, text`` of whole documents."""
     known = docs["doc_id"].cast("long")
     text = docs["text"].cast("string")
-    return docs.select(known.isNull().alias("no_id"), F.coalesce(known, F.lit(0)).alias("id"), F.xxhash64(text).alias("version"), *more, text.alias("text"))
+    name = [known.isNull().alias("no_id"), F.coalesce(known, F.lit(0)).alias("id"), F.xxhash64(text).alias("version")]
+    return docs.select(*name, F.lit(0).alias("base"), *more, text.alias("text"))
 
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _runs(docs: DataFrame, least: int) -> DataFrame:
-    """``name, hash, no_id, id, version, at, n, times``: the runs of every text."""
+def _runs(texts: DataFrame, least: int, gram: int) -> DataFrame:
+    """``name, hash, at, n, times`` and the text's place: the runs of every text."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, before, data, offsets in pieces(batch.column("text"), least):
-                runs = Runs(data, offsets, least)
+                runs = Runs(data, offsets, least, gram)
                 row = pa.array(first + runs.row)
                 at = before + runs.start - offsets[runs.row]
                 yield pa.RecordBatch.from_arrays(
@@ -165,8 +173,8 @@ def _runs(docs: DataFrame, least: int) -> DataFrame:
                     names=["name", "hash", *_PLACE, "at", "n", "times"],
                 )
 
-    long = _named(docs).where(F.octet_length("text") >= least)
-    return long.mapInArrow(find, "name long, hash long, no_id boolean, id long, version long, at int, n int, times int")
+    long = texts.where(F.octet_length("text") >= least)
+    return long.mapInArrow(find, "name long, hash long, no_id boolean, id long, version long, base int, at int, n int, times int")
 
 
 def _compressed(docs: DataFrame, *more: str) -> DataFrame:
@@ -177,7 +185,7 @@ def _compressed(docs: DataFrame, *more: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                plain = part.column("text").fill_null("").cast(pa.large_binary())
+                plain = part.column("text").cast(pa.large_binary()).fill_null(b"")
                 sizes = pa.compute.binary_length(plain).cast(pa.int64())
                 z = [codec.compress(t.as_buffer(), asbytes=True) if len(t.as_buffer()) else b"" for t in plain]
                 columns = [part.column(c) for c in names]
@@ -269,10 +277,15 @@ def _intervals(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).reshape(-1, 2)
 
 
+def _where() -> F.Column:
+    """A starting place: places order by document, then by their distance from its beginning."""
+    return F.struct(*_DOCUMENT, (F.col("base") + F.col("at")).alias("pos"), "base", "at")
+
+
 def _segments(runs: DataFrame) -> DataFrame:
     """``name, hash, n, times, places, first``: runs with equal bytes, their number, and the earliest of them."""
     return runs.groupBy("name", "hash").agg(
-        F.max("n").alias("n"), F.max("times").alias("times"), F.count(F.lit(1)).alias("places"), F.min(F.struct(*_PLACE, "at")).alias("first")
+        F.max("n").alias("n"), F.max("times").alias("times"), F.count(F.lit(1)).alias("places"), F.min(_where()).alias("first")
     )
 
 
@@ -284,14 +297,15 @@ def _to_sort(segments: DataFrame, least: int, keep: str) -> DataFrame:
     )
     several = (F.col("segments") > 1) if keep == "first" else (F.col("segments") > 1) & (F.col("fewest") == 1)
     parts = F.ceil(F.col("bytes") / BUCKET)
-    names = sizes.where(several | F.col("own")).select("name", parts.alias("parts"))
+    # Stored, as other sides of joins are, so that the rows of a frequent name can be split.
+    names = stored(sizes.where(several | F.col("own")).select("name", parts.alias("parts")))
     joined = segments.join(names, "name")
     return joined.select("name", "hash", "n", "first", F.expr("cast(pmod(hash, parts) AS int)").alias("part"), (F.col("parts") > 1).alias("split"))
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """``wanted`` with the bytes of each segment, cut from the document of its first place."""
-    texts = _compressed(_named(docs).where(F.octet_length("text") >= least)).groupBy(*_PLACE).agg(F.first("z").alias("z"), F.first("size").alias("size"))
+def _contents(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """``wanted`` with the bytes of each segment, cut from the text of its first place."""
+    whole = _compressed(texts.where(F.octet_length("text") >= least)).groupBy(*_PLACE).agg(F.first("z").alias("z"), F.first("size").alias("size"))
     cut = F.struct("name", "part", "split", "hash", F.col("first.at").alias("at"), "n")
     lists = wanted.groupBy(*[F.col(f"first.{c}").alias(c) for c in _PLACE]).agg(F.collect_list(cut).alias("cuts"))
 
@@ -305,8 +319,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 place = [batch.column(c).take(pa.array(np.full(len(n), i))) for c in _PLACE]
                 yield pa.RecordBatch.from_arrays([*cuts.columns, *place, pa.array(content, pa.binary())], names=[*cuts.schema.names, *_PLACE, "content"])
 
-    kinds = "name long, part int, split boolean, hash long, at int, n int, no_id boolean, id long, version long, content binary"
-    return lists.join(texts, _PLACE).select(*_PLACE, "z", "size", "cuts").mapInArrow(take, kinds)
+    kinds = "name long, part int, split boolean, hash long, at int, n int, no_id boolean, id long, version long, base int, content binary"
+    return lists.join(whole, _PLACE).select(*_PLACE, "z", "size", "cuts").mapInArrow(take, kinds)
 
 
 def _sorted_out(contents: DataFrame, least: int, keep: str) -> DataFrame:
@@ -317,8 +331,9 @@ def _sorted_out(contents: DataFrame, least: int, keep: str) -> DataFrame:
     """
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        # Places in order; a document's place is unique, so that equal segments do not occur.
-        rows = rows.sort_by([(c, "ascending") for c in (*_PLACE, "at")])
+        # Places in order; texts are told apart by theirs, so that no segment occurs twice.
+        rows = rows.append_column("pos", pa.compute.add(rows.column("base"), rows.column("at")))
+        rows = rows.sort_by([(c, "ascending") for c in (*_DOCUMENT, "pos")])
         content, n = rows.column("content").combine_chunks().cast(pa.large_binary()), rows.column("n").to_numpy()
         begin = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content)]
         data = np.frombuffer(content.buffers()[2], np.uint8)
@@ -370,38 +385,57 @@ def _sorted_out(contents: DataFrame, least: int, keep: str) -> DataFrame:
             yield from settle(pa.Table.from_batches(waiting))
 
     dealt = contents.repartition("name", "part").sortWithinPartitions("name", "part")
-    kinds = "name long, hash long, no_id boolean, id long, version long, at int, a int, b int, string long"
+    kinds = "name long, hash long, no_id boolean, id long, version long, base int, at int, a int, b int, string long"
     return dealt.mapInArrow(sort, kinds)
 
 
-def covered_spans(docs: DataFrame, least: int = 400, keep: str = "none") -> DataFrame:
-    """``no_id, id, version, spans``: for every text that loses bytes, parts of it (``a`` to before ``b``) that go."""
-    if keep not in ("none", "first"):
-        raise ValueError("keep must be 'none' or 'first'")
-    runs = _runs(docs, least)
-    often = runs.groupBy("name").agg(F.sum("times").alias("times")).where("times > 1").select("name")
+def _covered(texts: DataFrame, least: int, keep: str, fine: bool = False) -> DataFrame:
+    """``a``, ``b`` and a text's place: starting places from ``a`` to before ``b`` whose strings are repeated."""
+    runs = _runs(texts, least, max(1, least * FINE // 8) if fine else GRAM)
+    often = stored(runs.groupBy("name").agg(F.sum("times").alias("times")).where("times > 1").select("name"))
     runs = stored(runs.join(often, "name"))
     segments = stored(_segments(runs))
-    found = stored(_sorted_out(_contents(docs, _to_sort(segments, least, keep), least), least, keep))
+    contents = stored(_contents(texts, _to_sort(segments, least, keep), least))
+    split = contents.where("split")
+    if fine or split.isEmpty():
+        found = stored(_sorted_out(contents, least, keep))
+        parts = found.where("string is null").select("name", "hash", "a", "b").union(_across(found, keep))
+    else:
+        parts = _sorted_out(contents.where("not split"), least, keep).select("name", "hash", "a", "b")
+        again = split.select(*_DOCUMENT, (F.col("base") + F.col("at")).alias("base"), F.col("content").alias("text"))
+        place = [F.col(c).alias(f"own_{c}") for c in _DOCUMENT] + [(F.col("base") + F.col("at")).alias("own_base")]
+        own = split.select("name", "hash", *place)
+        same = [F.col(c) == F.col(f"own_{c}") for c in _PLACE]
+        parts = parts.union(_covered(again, least, keep, fine=True).join(own, same).select("name", "hash", "a", "b"))
+    lists = parts.groupBy("name", "hash").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
+
+    verdicts = segments.select("name", "hash", "places", "first").join(lists, ["name", "hash"], "left").where("places > 1 or parts is not null")
+    joined = runs.join(stored(verdicts), ["name", "hash"])
+    whole = F.col("places") > 1
+    if keep == "first":
+        whole = _where() != F.col("first")
+    here = F.transform("parts", lambda p: F.struct((F.col("at") + p["a"]).alias("a"), (F.col("at") + p["b"]).alias("b")))
+    all_of_it = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
+    return joined.select(*_PLACE, F.inline(F.when(whole, all_of_it).otherwise(here)).alias("a", "b"))
+
 
+def _across(found: DataFrame, keep: str) -> DataFrame:
+    """``name, hash, a, b``: of the places that the sorts of a name left single, those whose strings meet after all."""
     single = found.where("string is not null")
-    place = F.struct(*_PLACE, (F.col("at") + F.col("a")).alias("at"))
+    place = F.struct(*_DOCUMENT, (F.col("base") + F.col("at") + F.col("a")).alias("pos"))
     met = single.groupBy("name", "string").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("earliest")).where("copies > 1")
-    across = single.withColumn("place", place).join(met, ["name", "string"])
+    across = single.withColumn("place", place).join(stored(met), ["name", "string"])
     if keep == "first":
         across = across.where("place <> earliest")
-    parts = found.where("string is null").select("name", "hash", "a", "b").union(across.select("name", "hash", "a", "b"))
-    lists = parts.groupBy("name", "hash").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
+    return across.select("name", "hash", "a", "b")
 
-    verdicts = segments.select("name", "hash", "places", "first").join(lists, ["name", "hash"], "left").where("places > 1 or parts is not null")
-    joined = runs.join(verdicts, ["name", "hash"])
-    whole = F.col("places") > 1
-    if keep == "first":
-        whole = F.struct(*_PLACE, "at") != F.col("first")
-    here = F.transform("parts", lambda p: F.struct((F.col("at") + p["a"]).alias("a"), (F.col("at") + p["b"] + (least - 1)).alias("b")))
-    all_of_it = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") + (least - 1)).alias("b")))
-    spans = joined.select(*_PLACE, F.explode(F.when(whole, all_of_it).otherwise(here)).alias("span"))
-    return spans.groupBy(*_PLACE).agg(F.collect_set("span").alias("spans"))
+
+def covered_spans(docs: DataFrame, least: int = 400, keep: str = "none") -> DataFrame:
+    """``no_id, id, version, spans``: for every text that loses bytes, parts of it (``a`` to before ``b``) that go."""
+    if keep not in ("none", "first"):
+        raise ValueError("keep must be 'none' or 'first'")
+    span = F.struct("a", (F.col("b") + (least - 1)).alias("b"))
+    return _covered(_named(docs), least, keep).groupBy(*_DOCUMENT).agg(F.collect_set(span).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, least: int = 400, keep: str = "none") -> DataFrame:
@@ -409,7 +443,7 @@ def dedup_substrings(docs: DataFrame, least: int = 400, keep: str = "none") -> D
     spans = covered_spans(docs, least, keep)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
     rows = _compressed(_named(docs, row), "row")
-    joined = rows.join(spans, _PLACE, "left")
+    joined = rows.join(spans, _DOCUMENT, "left")
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,7 +55,7 @@ def rows():
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 3000}, {"CHUNK": 1500, "LONGEST": 64, "BUCKET": 20_000}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 3000}, {"BUCKET": 3000, "FINE": 1}, {"CHUNK": 1500, "LONGEST": 64, "BUCKET": 20_000}])
 def test_against_plain_version(spark, monkeypatch, rows, keep, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_dedup, name, value)
