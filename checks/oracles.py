@@ -262,6 +262,11 @@ _TEXT_COPIES = " UNION ALL ".join(
     for entity, columns in _TEXT_COLUMNS.items()
 )
 
+_SUPPLIER_PAIRS = """SELECT k, count(*) AS pairs, count(DISTINCT (l_orderkey, l_linenumber)) FILTER (l_orderkey IS NOT NULL) AS lines,
+  CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(c_custkey) AS BIGINT) AS customers
+FROM (SELECT l_suppkey AS k, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 7) l
+{how} JOIN (SELECT c_custkey % 50 AS k, c_custkey FROM customer) c USING (k) GROUP BY k"""
+
 _FINAL = {
     "rename_columns": "SELECT * RENAME (annual_inc AS annual_income, addr_state AS address_state, "
     "zip_code AS address_zipcode, country AS address_country, tot_hi_cred_lim AS total_high_credit_limit, "
@@ -355,6 +360,9 @@ _FINAL = {
     "record_enquiry_detail_cleaned": "SELECT * FROM detail_gold",
     "wide_view_silver": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
     "wide_view_cleaned": _WIDE.format(c="customers_gold", d="delinq_gold", e="detail_gold"),
+    "wide_view_small_slices": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
+    "grid_join_inner": _SUPPLIER_PAIRS.format(how="INNER"),
+    "grid_join_full": _SUPPLIER_PAIRS.format(how="FULL"),
     "wide_catalog_view": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
     "last_payment_points": f"SELECT l.loan_id, {_LAST} AS last_payment_pts FROM fx_repayments r "
     "JOIN fx_loans l ON CAST(l.loan_id AS BIGINT) = r.loan_id",

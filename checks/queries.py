@@ -16,7 +16,7 @@ from creditmill import schemas
 from creditmill.functions import points as P
 from creditmill.operators import cleaning as ops
 from creditmill.operators import quality
-from creditmill.operators.joins import skew_join
+from creditmill.operators.joins import grid_join, skew_join
 from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
 from creditmill.plans import batch, score, silver
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
@@ -399,6 +399,7 @@ def _wide(spark, sf_dir, zone):
         lake.read(spark, "silver", "repayments"),
         lake.read(spark, zone, "delinquent_members"),
         lake.read(spark, zone, "record_enquiry_detail"),
+        **{name: lake.read(spark, "hot", name) for name in batch.HOT_KEYS},
     )
 
 
@@ -412,6 +413,37 @@ def wide_view_cleaned(spark, sf_dir):
     return _wide(spark, sf_dir, "gold")
 
 
+@query
+def wide_view_small_slices(spark, sf_dir):
+    """The same view with slices of three rows, so that most members are frequent on both sides."""
+    lake = shared_lake(spark, sf_dir)
+    names = ("customers", "loans", "repayments", "delinquent_members", "record_enquiry_detail")
+    return wide_view(*[lake.read(spark, "silver", name) for name in names], rows_per_slice=3)
+
+
+def _supplier_join(spark, sf_dir, how):
+    """Line items by supplier against the suppliers' and the nations' customers: suppliers are frequent on both sides."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber").filter("l_linenumber = 7")
+    people = table(spark, sf_dir, "customer").select(F.expr("c_custkey % 50").alias("k"), "c_custkey")
+    pairs = grid_join(lines, people, "k", how, rows_per_slice=20)
+    return pairs.groupBy("k").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.countDistinct("l_orderkey", "l_linenumber").alias("lines"),
+        F.sum("l_orderkey").alias("orders"),
+        F.sum("c_custkey").alias("customers"),
+    )
+
+
+@query
+def grid_join_inner(spark, sf_dir):
+    return _supplier_join(spark, sf_dir, "inner")
+
+
+@query
+def grid_join_full(spark, sf_dir):
+    return _supplier_join(spark, sf_dir, "full")
+
+
 # --- points ----------------------------------------------------------------------
 def _raw_payment_points(spark, sf_dir):
     """Points over the uncleaned tables, where every arm of the rules occurs."""
@@ -481,6 +513,7 @@ def payment_points(spark, sf_dir):
         lake.read(spark, "silver", "repayments"),
         lake.read(spark, "silver", "loans"),
         lake.read(spark, "quarantine", "members"),
+        hot_loans=lake.read(spark, "hot", "hot_loans"),
     )
 
 
@@ -491,7 +524,7 @@ def default_points(spark, sf_dir):
         payment_points(spark, sf_dir),
         lake.read(spark, "gold", "record_enquiry_detail"),
         lake.read(spark, "gold", "delinquent_members"),
-        counted=lake.read(spark, "silver", "loans").select("member_id"),
+        hot_members=lake.read(spark, "hot", "hot_members"),
     )
 
 
@@ -505,7 +538,10 @@ def health_points(spark, sf_dir):
         lake.read(spark, "gold", "delinquent_members"),
     )
     return score.health_points(
-        defaults, lake.read(spark, "silver", "loans"), lake.read(spark, "gold", "customers")
+        defaults,
+        lake.read(spark, "silver", "loans"),
+        lake.read(spark, "gold", "customers"),
+        hot_members=lake.read(spark, "hot", "hot_members"),
     )
 
 

@@ -107,3 +107,97 @@ def skew_join(
         *[c for c in spread.columns if c != key],
         *[c for c in other.columns if c != key],
     )
+
+
+def hot_grid(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    hot_left: DataFrame | None = None,
+    hot_right: DataFrame | None = None,
+) -> DataFrame:
+    """Keys that are frequent on either side: ``_hot_key``, ``_rows``, ``_columns``.
+
+    ``_rows`` is the number of slices of the key's rows in ``left``, ``_columns`` of those in
+    ``right``; 1 where the key is not frequent there. Fewer than ``BUCKETS / 2`` keys, so that
+    the list may be broadcast. ``hot_left`` and ``hot_right`` are stored lists of ``hot_keys``.
+    """
+    by_left = hot_keys(left, key, rows_per_slice) if hot_left is None else hot_left
+    by_right = hot_keys(right, key, rows_per_slice) if hot_right is None else hot_right
+    rows = by_left.select("_hot_key", F.col("_slices").alias("_rows"), F.lit(1).alias("_columns"))
+    columns = by_right.select("_hot_key", F.lit(1).alias("_rows"), F.col("_slices").alias("_columns"))
+    return rows.unionByName(columns).groupBy("_hot_key").agg(F.max("_rows").alias("_rows"), F.max("_columns").alias("_columns"))
+
+
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    rows_per_slice: int = ROWS_PER_SLICE,
+    counted_left: DataFrame | None = None,
+    counted_right: DataFrame | None = None,
+    hot_left: DataFrame | None = None,
+    hot_right: DataFrame | None = None,
+    deal_left: Sequence[str] | None = None,
+    deal_right: Sequence[str] | None = None,
+) -> DataFrame:
+    """Equi-join on ``key`` for a key that may be frequent on both sides.
+
+    The pairs of a frequent key form a grid: its rows in ``left`` are dealt to row slices, its
+    rows in ``right`` to column slices, and every cell of the grid is joined by itself. A row of
+    ``left`` is repeated once per column slice and a row of ``right`` once per row slice, so a
+    task holds about one slice of either side, where copying one side whole would hand all
+    frequent rows of that side to each task. A key that is frequent on one side only has a grid
+    of one row or one column; every other key is joined as usual.
+
+    The result is that of the plain join; ``how`` is ``inner``, ``left``, ``right`` or ``full``.
+    ``key`` comes first and once; other column names must differ. Other arguments are as in
+    ``skew_join``, for each side. A key in a given list must occur on that side if rows without
+    a match are kept on the other one.
+    """
+    lists = [h for h in (hot_left, hot_right) if h is not None]
+    if len(lists) == 2 and all(h.isEmpty() for h in lists):
+        joined = left.join(right, key, how)
+        return joined.select(key, *[c for c in (*left.columns, *right.columns) if c != key])
+    grid = F.broadcast(
+        hot_grid(
+            left if counted_left is None else counted_left,
+            right if counted_right is None else counted_right,
+            key,
+            rows_per_slice,
+            hot_left,
+            hot_right,
+        )
+    )
+
+    def dealt(df: DataFrame, side: str, own: str, other: str, deal_by: Sequence[str] | None) -> DataFrame:
+        """The side's rows, each in its own slice and in every slice of the other side."""
+        place = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in deal_by or df.columns])
+        # rows with a NULL key match nothing: any slice will do
+        slice_ = F.when(F.col(key).isNull(), F.pmod(place, F.lit(1024))).otherwise(F.pmod(place, F.coalesce(own, F.lit(1))))
+        copies = F.coalesce(F.when(F.col(key).isNotNull(), F.col(other)), F.lit(1))
+        return df.join(grid, F.col(key) == F.col("_hot_key"), "left").select(
+            F.col(key).alias(f"_{side}_key"),
+            *[c for c in df.columns if c != key],
+            slice_.cast("int").alias(f"_{side}{own}"),
+            (copies > 1).alias(f"_{side}_repeated"),
+            F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"_{side}{other}"),
+        )
+
+    one = dealt(left, "left", "_rows", "_columns", deal_left)
+    two = dealt(right, "right", "_columns", "_rows", deal_right)
+    same = [F.col(f"_left{c}") == F.col(f"_right{c}") for c in ("_key", "_rows", "_columns")]
+    joined = one.join(two, same, how)
+    # a repeated row has a match in some cell; the cells without one are no result
+    if how in ("left", "full"):
+        joined = joined.filter(F.coalesce(~F.col("_left_repeated"), F.lit(True)) | F.col("_right_key").isNotNull())
+    if how in ("right", "full"):
+        joined = joined.filter(F.coalesce(~F.col("_right_repeated"), F.lit(True)) | F.col("_left_key").isNotNull())
+    kept_key = F.coalesce("_left_key", "_right_key")
+    return joined.select(
+        kept_key.alias(key),
+        *[c for c in left.columns if c != key],
+        *[c for c in right.columns if c != key],
+    )

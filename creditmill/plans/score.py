@@ -94,10 +94,12 @@ def default_points(
     include_clean: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
     counted: DataFrame | None = None,
+    hot_members: DataFrame | None = None,
 ) -> DataFrame:
     """Payment points (single rows or tallied) with the default points of their member.
 
-    ``counted`` is where to look for frequent members (see ``skew_join``): the loans, say.
+    ``counted`` is where to look for frequent members (see ``skew_join``): the loans, say;
+    ``hot_members`` is the stored list of them, if there is one.
     """
     if quarantined is not None:
         detail = exclude_keys(detail, quarantined, "member_id")
@@ -105,7 +107,7 @@ def default_points(
     if is_tallied(payments):
         joined = payments.join(members, "member_id")
     else:
-        joined = skew_join(payments, members, "member_id", "inner", rows_per_slice, counted)
+        joined = skew_join(payments, members, "member_id", "inner", rows_per_slice, counted, hot_members)
     return joined.select(*[c for c in payments.columns if c != ROW_COUNT], *DEFAULT_POINTS, *_count_of(payments))
 
 
@@ -136,9 +138,10 @@ def member_loan_points(
     customers: DataFrame,
     params: ScoreParams = DEFAULT_SCORE,
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_members: DataFrame | None = None,
 ) -> DataFrame:
     """Financial-health points of each loan with its customer: one row per loan."""
-    rated = _loan_points(loans, _customer_points(customers, params), rows_per_slice, params)
+    rated = _loan_points(loans, _customer_points(customers, params), rows_per_slice, params, hot_members)
     return rated.select("member_id", *HEALTH_POINTS)
 
 
@@ -180,17 +183,17 @@ def health_points(
     quarantined: DataFrame | None = None,
     params: ScoreParams = DEFAULT_SCORE,
     rows_per_slice: int = ROWS_PER_SLICE,
+    hot_members: DataFrame | None = None,
 ) -> DataFrame:
     """All points of a member's payments combined with all of the member's loans, tallied.
 
     Each distinct combination appears once; ``row_count`` says how many pairs of a payment
-    and a loan have it.
+    and a loan have it. ``hot_members`` is the stored list of frequent members of the loans.
     """
     if quarantined is not None:
         customers = exclude_keys(customers, quarantined, "member_id")
-    return _paired(
-        tally_rows(defaults), tally_rows(member_loan_points(loans, customers, params, rows_per_slice))
-    ).select("member_id", *PAYMENT_POINTS, *DEFAULT_POINTS, *HEALTH_POINTS, ROW_COUNT)
+    rated = member_loan_points(loans, customers, params, rows_per_slice, hot_members)
+    return _paired(tally_rows(defaults), tally_rows(rated)).select("member_id", *PAYMENT_POINTS, *DEFAULT_POINTS, *HEALTH_POINTS, ROW_COUNT)
 
 
 def _paired(payments: DataFrame, loans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.operators.joins import ROWS_PER_SLICE, skew_join
+from creditmill.operators.joins import ROWS_PER_SLICE, grid_join, skew_join
 
 # The view's columns, in order, by the table they come from.
 CUSTOMER_COLUMNS = (
@@ -71,7 +71,8 @@ def wide_view(
     wide rows are shuffled: once by loan and once by member. A key repeated on several
     sides yields every combination, as in any left join; over the quarantined tables each
     customer has one row per loan and repayment. A member repeated often among the customers
-    is spread before the member tables multiply its rows. The stored lists of frequent loan
+    is spread before the member tables multiply its rows, and again, on a grid with its loans,
+    where the two sides meet. The stored lists of frequent loan
     ids (of repayments) and members (of loans, of customers) save looking for them.
     """
     people = customers.select("member_id", *CUSTOMER_COLUMNS)
@@ -88,7 +89,9 @@ def wide_view(
     by_payment = ("_loan", "total_principal_received", "last_payment_date")
     loans_paid = skew_join(paid, keyed, "_loan", "other", rows_per_slice, hot=hot_loans, deal_by=by_payment).drop("_loan")
     by_loan = ("member_id", "loan_id", "total_principal_received", "last_payment_date")
-    joined = skew_join(loans_paid, members, "member_id", "other", rows_per_slice, keyed, hot_members, by_loan)
+    joined = grid_join(
+        loans_paid, members, "member_id", "right", rows_per_slice, keyed, people, hot_members, hot_customers, by_loan, by_member
+    )
     return joined.select(*WIDE_COLUMNS)
 
 
