@@ -33,7 +33,6 @@ from creditmill.llm.common import components, slices, stored
 from creditmill.llm.shingles import mixed, shingle_sets
 
 _U = np.uint64
-_LOW48 = _U((1 << 48) - 1)
 #: Shingles of one group that a single task searches at once.
 GROUP_SHINGLES = 60_000
 #: Rounds of pivots over groups larger than that, at most.
@@ -95,17 +94,17 @@ def _blocks(parts: int, to: np.ndarray, items, sizes, owner, keys, ranks) -> pa.
         rows["items"].append(items[whose[first]].tobytes())
         rows["sizes"].append(_narrow(sizes[whose[first]]))
         rows["counts"].append(_narrow(np.diff(np.append(first, len(own)))))
-        rows["high"].append((keys[own] >> _U(16)).astype(np.uint32).tobytes())
-        rows["low"].append(keys[own].astype(np.uint16).tobytes())
+        rows["high"].append((keys[own] >> _U(32)).astype(np.uint32).tobytes())
+        rows["low"].append(keys[own].astype(np.uint32).tobytes())
         rows["ranks"].append(ranks[own].tobytes() if ranks is not None else b"")
     types = [pa.int32()] + [pa.binary()] * 6
     return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in zip(_NAMES, types, strict=True)], names=_NAMES)
 
 
 def _read(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """items, sizes, counts (of keys for each entry), 48-bit keys, ranks: all rows of a part as one."""
+    """items, sizes, counts (of keys for each entry), keys, ranks: all rows of a part as one."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    keys = join("high", np.uint32).astype(_U) << _U(16) | join("low", np.uint16).astype(_U)
+    keys = join("high", np.uint32).astype(_U) << _U(32) | join("low", np.uint32).astype(_U)
 
     def wide(name: str) -> np.ndarray:
         cells = zip(table.column("items").to_pylist(), table.column(name).to_pylist(), strict=True)
@@ -127,7 +126,7 @@ def _dealt_shingles(docs: DataFrame, words: int, parts: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets])
             keys = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            return _blocks(parts, (keys >> _U(48)) % _U(parts), np.array(items), sizes, owner, keys & _LOW48, None)
+            return _blocks(parts, (keys >> _U(48)) % _U(parts), np.array(items), sizes, owner, keys, None)
 
         for batch in batches:
             for row, tokens in shingle_sets(batch.column("text"), words):
@@ -151,7 +150,6 @@ def _count_occurrences(parts: int):
     """Of one part's shingles, those in two items or more, with a rank that grows with their number."""
 
     def count(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
         items, sizes, counts, keys, _ = _read(table)
         _, first, place = np.unique(items, return_index=True, return_inverse=True)
         own = np.zeros(len(items), bool)
@@ -168,10 +166,7 @@ def _count_occurrences(parts: int):
         owner, keys = owner[shared], keys[shared]
         ranks = np.minimum(255, np.ceil(np.log2(often[shared]) * 8)).astype(np.uint8)
         to = mixed(items.view(_U))[owner] % _U(parts)
-        found = _blocks(parts, to, items, sizes, owner, keys, ranks)
-        names = [*_NAMES, "came"]
-        came = pa.array([part] * found.num_rows, pa.int32())
-        return pa.Table.from_arrays([*found.columns, came], names=names)
+        return pa.Table.from_batches([_blocks(parts, to, items, sizes, owner, keys, ranks)])
 
     return count
 
@@ -184,7 +179,6 @@ def _survivors(percent: int):
         cols = []
         for i in range(table.num_rows):
             items, sizes, counts, keys, ranks = _read(table.slice(i, 1))
-            keys = keys | _U(table.column("came")[i].as_py()) << _U(48)
             cols.append((np.repeat(items, counts), np.repeat(sizes, counts), keys, ranks))
         item, size, keys, ranks = (np.concatenate(c) for c in zip(*cols, strict=True))
         order = np.lexsort((keys, ranks, item))
@@ -209,10 +203,10 @@ def _dealt_prefixes(sets: DataFrame, parts: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             tokens = [np.frombuffer(t, _U)[:p] for t, p in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist(), strict=True)]
-            keys = mixed(np.concatenate(tokens))  # 64-bit again: bits for the part, 48 for the key
+            keys = mixed(np.concatenate(tokens))
             owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
             items = batch.column("item").to_numpy(zero_copy_only=False)
-            yield _blocks(parts, (keys >> _U(48)) % _U(parts), items, np.zeros(len(items)), owner, keys & _LOW48, None)
+            yield _blocks(parts, (keys >> _U(48)) % _U(parts), items, np.zeros(len(items)), owner, keys, None)
 
     return sets.mapInArrow(deal, _BLOCK)
 
@@ -309,19 +303,24 @@ def linked(sets: list[np.ndarray], sizes: list[int], percent: int) -> list[tuple
     """Links that span the components of all sets: a query is left out only where none of its links could matter."""
     index, ties = InvertedLists(sets, sizes, percent), _Sets(len(sets))
     edges: list[tuple[int, int]] = []
+    largest = 0  # of the largest component; what waits inside it is put off
     waiting = sorted(range(len(sets)), key=lambda i: sizes[i], reverse=True)
     while waiting:
-        largest = max((ties.root(i) for i in waiting), key=lambda r: ties.size[r])
-        outside = [i for i in waiting if ties.root(i) != largest]
-        if not outside and (len(edges) or len(waiting) == 1):
+        put_off = []
+        for query in waiting:
+            own = ties.root(query)
+            if edges and own == ties.root(largest):
+                put_off.append(query)
+                continue
+            for other in index.partners(sets[query], sizes[query], lambda p, own=own: ties.root(p) == own):
+                if ties.root(other) != ties.root(query):
+                    edges.append((query, other))
+                    ties.join(query, other)
+            if ties.size[ties.root(query)] > ties.size[ties.root(largest)]:
+                largest = query
+        waiting = put_off
+        if all(ties.root(i) == ties.root(largest) for i in waiting):
             break  # those still waiting are in one component
-        query = outside[0] if outside and len(edges) else waiting[0]
-        own = ties.root(query)
-        for other in index.partners(sets[query], sizes[query], lambda p: ties.root(p) == own):
-            if ties.root(other) != ties.root(query):
-                edges.append((query, other))
-                ties.join(query, other)
-        waiting.remove(query)
     return edges
 
 
@@ -430,7 +429,7 @@ def _links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges ``a, b`` between items, enough to span every component."""
     parts = slices(docs.sparkSession)
     dealt = _dealt_shingles(docs, words, parts).groupBy("part")
-    shared = dealt.applyInArrow(_count_occurrences(parts), f"{_BLOCK}, came int")
+    shared = dealt.applyInArrow(_count_occurrences(parts), _BLOCK)
     sets = stored(shared.groupBy("part").applyInArrow(_survivors(percent), "item long, n int, prefix int, tokens binary"))
     tied = _dealt_prefixes(sets, parts).groupBy("part").applyInArrow(_tie, _EDGES)
     groups = stored(components(tied).withColumnRenamed("id", "item"))
@@ -482,11 +481,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         F.col("own.doc_id").alias("__id"), F.col("own.version").alias("__version"), (F.col("own") == F.col("chosen")).alias("__stays")
     ))
     version = F.xxhash64(docs["text"].cast("string"))
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (version == F.col("__version"))
-    alone = docs.join(marked, same, "left_anti")
-    if marked.where("__stays").isEmpty():
+    same = lambda named: (docs["doc_id"].cast("long") == named["__id"]) & (version == named["__version"])
+    alone = docs.join(marked, same(marked), "left_anti")
+    stays = marked.where(marked["__stays"])
+    if stays.isEmpty():
         return alone
     # Of equal texts of one id any copy will do; partial sums leave one per task before the shuffle.
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    copied = docs.join(marked.where("__stays"), same, "left_semi").groupBy(docs["doc_id"].cast("long"), version).agg(F.first(row).alias("row"))
+    copied = docs.join(stays, same(stays), "left_semi").groupBy(docs["doc_id"].cast("long"), version).agg(F.first(row).alias("row"))
     return alone.union(copied.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from creditmill.llm import ngram_join
@@ -110,3 +112,34 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     rows = [(1, one), (5, near), (5, two), (6, three), (6, three), (6, three.upper()), (7, three), (8, two)]
     kept = sorted((r.doc_id, r.text.lower()) for r in keep_one_of_each(documents(spark, rows)).collect())
     assert kept == [(1, one), (5, two), (6, three)]
+
+
+def test_shingles_that_differ_in_their_upper_bits_only_stay_apart():
+    """Hashes whose upper bits fall into one part are not cut to the lower ones."""
+    parts, keys = 8, np.array([5, 5 + (8 << 48), 77, 77], np.uint64)
+    to = (keys >> np.uint64(48)) % np.uint64(parts)
+    block = ngram_join._blocks(parts, to, np.array([11, 12, 13]), np.array([1, 2, 1]), np.array([0, 1, 1, 2]), keys, None)
+    assert ngram_join._read(pa.Table.from_batches([block]))[3].tolist() == keys.tolist()
+    shared = ngram_join._count_occurrences(parts)(pa.Table.from_batches([block]))
+    items, _, counts, found, _ = ngram_join._read(shared)
+    assert sorted(items.tolist()) == [12, 13] and counts.tolist() == [1, 1] and set(found.tolist()) == {77}
+
+
+def test_many_small_sets_are_linked_in_near_linear_time():
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(400_000, 5, replace=False)).astype(np.uint64) for _ in range(9_000)]
+    sets += [sets[i].copy() for i in range(1_000)]
+    began = time.process_time()
+    edges = linked(sets, [5] * len(sets), 80)
+    assert time.process_time() - began < 5
+    assert sorted(tuple(sorted(e)) for e in edges) == [(i, 9_000 + i) for i in range(1_000)]
+
+
+def test_columns_named_like_those_of_the_join(spark):
+    text = " ".join(words(60))
+    docs = documents(spark, [(1, text), (2, text), (2, text), (3, "other words here")])
+    docs = docs.withColumnsRenamed({"id": "__id", "item": "__version", "h1": "__stays"})
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    twice = keep_one_of_each(docs.where("doc_id = 2"))
+    assert [r.doc_id for r in twice.collect()] == [2]
