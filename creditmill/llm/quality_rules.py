@@ -9,7 +9,7 @@ from that of all. Documents join their thresholds and those outside them are rej
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is
 a group like any other; ties and copies of rows count one by one; rows without an id are judged
-like others; an empty table gives an empty table; other columns are not read.
+like others; an empty table gives an empty table; other columns are not read, or pass through.
 """
 
 from __future__ import annotations
@@ -86,8 +86,15 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for c, v in out.items()}
 
 
-def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """``doc_id, lang, source`` and the counts of every text; with ``whole`` also the row itself, as struct ``row``."""
+def _verdict_key() -> list[Column]:
+    """What a verdict depends on, as two hashes: rows equal in it are judged alike."""
+    parts = [F.col(c).cast("string") for c in ("text", "lang", "source")]
+    null = F.concat(*[F.col(c).isNull().cast("string") for c in ("text", "lang", "source")])
+    return [F.xxhash64(F.lit(k), null, *parts) for k in (1, 2)]
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, source``, ``key_1`` and ``key_2`` (see ``_verdict_key``) and the counts of every text."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +103,8 @@ def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts.values())], names=[*names, *COUNTS])
 
     kinds = {"doc_id": "long", "lang": "string", "source": "string", "text": "string"}
-    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole else []
-    rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *row)
+    keys = [k.alias(f"key_{i}") for i, k in enumerate(_verdict_key(), 1)]
+    rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *keys)
     names = [c for c in rows.columns if c != "text"]
     return rows.mapInArrow(measure, T.StructType([*[rows.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in COUNTS]]))
 
@@ -183,7 +190,13 @@ def judged(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the rows that the rules reject; every row is judged by itself, whatever its id."""
-    limits = thresholds(stored(measured(docs)), least)
-    kept = _with_verdicts(measured(docs, whole=True), limits).where("kept")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """``docs`` without the rows that the rules reject; every row is judged by itself, whatever its id.
+
+    Texts are measured once. The rows themselves stay on the JVM's side: those whose text, language
+    and source were rejected go by an anti join on hashes of the three.
+    """
+    counts = stored(measured(docs))
+    judged_rows = _with_verdicts(counts, thresholds(counts, least))
+    rejected = stored(judged_rows.where(~F.col("kept")).select("key_1", "key_2").distinct())
+    one, two = _verdict_key()
+    return docs.join(rejected, (one == rejected["key_1"]) & (two == rejected["key_2"]), "left_anti")

@@ -74,3 +74,11 @@ def test_rows_of_one_id_or_none_are_judged_one_by_one(spark):
     assert texts.count((None, good)) == 1 and [t for i, t in texts if i == 7] == [corpus()[7][1]]
     assert sorted(t for i, t in texts if i == 8) == sorted([corpus()[8][1], other, other])
     assert (None, None) not in texts and (None, "too short") not in texts
+
+
+def test_filter_measures_once_and_keeps_columns_of_any_name(spark):
+    docs = documents(spark, corpus()).withColumnsRenamed({"id": "key_1", "item": "key_2", "h1": "kept"})
+    kept = keep_good(docs)
+    assert kept.columns == docs.columns
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == judged(docs).where("kept").count()
