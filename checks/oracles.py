@@ -401,6 +401,10 @@ _FINAL = {
     "GROUP BY loan_final_grade",
     "declared_csv_scan": "SELECT * FROM fx_loans",
     "inferred_csv_scan": "SELECT * FROM fx_repayments",
+    "mixed_csv_scan": "SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents",
+    "published_versions": "SELECT stage, loan_id, loan_amount FROM loans_data, (VALUES ('first'), ('failed'), ('second')) AS s(stage) "
+    "WHERE stage = 'second' OR loan_term_years = 3",
+    "run_from_files_published": _loan_scores("loan_points"),
     "manifest_ingest": _TEXT_COPIES,
     "external_table_roundtrip": "SELECT * FROM loans_data",
     "external_table_repointed": "SELECT * FROM loans_data",
@@ -438,6 +442,7 @@ _DECIMALS = {
     "score_with_clean_members": _SCORES,
     "run_from_files": _SCORES,
     "run_from_files_decimal": _SCORES,
+    "run_from_files_published": _SCORES,
 }
 
 

@@ -19,6 +19,7 @@ from creditmill.operators import quality
 from creditmill.operators.joins import grid_join, skew_join
 from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
 from creditmill.plans import batch, score, silver
+from creditmill.plans.published import PublishedLake
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
 from creditmill.sources import catalog, delimited, manifest, zones
 
@@ -608,6 +609,44 @@ def inferred_csv_scan(spark, sf_dir):
     return inferred.withColumn("loan_id", F.col("loan_id").cast("bigint"))
 
 
+@query
+def mixed_csv_scan(spark, sf_dir):
+    """Texts with line breaks in some files and without in others: each file has the reader it needs."""
+    path = f"{work_dir(spark)}/texts.csv"
+    texts = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    breaks = F.coalesce(F.col("text").contains("\n"), F.lit(False))
+    for part, rows in (("plain", texts.filter(~breaks)), ("broken", texts.filter(breaks))):
+        delimited.write_quoted_csv(rows, f"{path}/{part}")
+    found = delimited.read_declared_csv(spark, f"{path}/*", T.StructType.fromDDL("doc_id bigint, lang string, source string, text string"))
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@query
+def published_versions(spark, sf_dir):
+    """Loans as readers see them: published, after a run that fails half-way, and published again."""
+    lake = PublishedLake(work_dir(spark))
+    cleaned = silver.loans_silver(loans(spark, sf_dir), INGESTED_AT).drop("ingest_date")
+    seen = []
+    for stage, rows in (("first", cleaned.filter("loan_term_years = 3")), ("failed", cleaned.limit(0)), ("second", cleaned)):
+        run = lake.begin(spark)
+        run.write(rows, "silver", "plain_loans")
+        if stage != "failed":
+            run.commit(spark)
+        seen.append(lake.opened(spark).read(spark, "silver", "plain_loans").select(F.lit(stage).alias("stage"), "loan_id", "loan_amount"))
+    return reduce(DataFrame.union, seen)
+
+
+@query
+def run_from_files_published(spark, sf_dir):
+    """The batch over a published lake, run twice: the second run's version is read."""
+    root, tag = work_dir(spark), uuid.uuid4().hex
+    places, listed = _write_raw(spark, sf_dir, root)
+    lake = PublishedLake(f"{root}/lake", silver_db=f"silver_{tag}", gold_db=f"gold_{tag}")
+    for _ in range(2):
+        batch.run(spark, f"{root}/raw", listed, places, lake.begin(spark), INGESTED_AT, grain="loan", multi_line_manifest=False)
+    return lake.opened(spark, 2).read(spark, "gold", "loan_score")
+
+
 def _write_raw(spark, sf_dir, root):
     """Raw files and their manifest; returns each entity's place and the manifest's path."""
     places = {entity: f"{entity}_data/{entity}.csv" for entity in BY_ENTITY}

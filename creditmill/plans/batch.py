@@ -38,7 +38,7 @@ class Options:
     include_clean: bool = False
     null_aware: bool = True
     params: ScoreParams = DEFAULT_SCORE
-    multi_line_files: bool = True
+    multi_line_files: bool | None = None
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,14 @@ class Lake:
     def write(self, df: DataFrame, zone: str, name: str, compact: bool = False) -> None:
         write_zone(df, self.path(zone, name), self.fmt, compact)
 
+    def bronze(self) -> str:
+        """Where copies of the raw files go."""
+        return f"{self.root}/bronze"
+
+    def commit(self, spark: SparkSession) -> Lake:
+        """The lake with all that a run has written: here, tables are in place as soon as they are written."""
+        return self
+
     def write_all(self, tables: Mapping[str, DataFrame], zone: str, compact: bool = False) -> None:
         """Write tables that do not depend on each other at the same time, so that the tail of
         one job does not leave the cluster idle."""
@@ -83,7 +91,7 @@ class Lake:
 
 
 def read_bronze(
-    spark: SparkSession, lake: Lake, files: Mapping[str, str], multi_line: bool = True
+    spark: SparkSession, lake: Lake, files: Mapping[str, str], multi_line: bool | None = None
 ) -> dict[str, DataFrame]:
     """The bronze files with their declared schemas; ``files`` maps entity to path."""
     return {
@@ -213,8 +221,10 @@ def run(
 
     A run that fails may leave a stage half written: run it again, from the stage that failed
     or from the start. Every stage replaces its tables, and reads those of earlier stages only.
+    With a ``PublishedLake`` (pass a run that has begun) a run that fails leaves all as it was.
+    Catalog entries are made last, over the tables of the whole run.
     """
-    bronze, lines = f"{lake.root}/bronze", options.multi_line_files
+    bronze, lines = lake.bronze(), options.multi_line_files
     manifest = read_manifest(spark, manifest_path, multi_line_manifest)
     copied = ingest_manifest(spark, manifest, raw_root, bronze, multi_line=lines)
     missing = sorted(set(files.values()) - set(copied))
@@ -222,9 +232,10 @@ def run(
         raise ValueError(f"files not in the manifest: {', '.join(missing)}")
     raw = read_bronze(spark, lake, {e: f"{bronze}/{place}" for e, place in files.items()}, lines)
     build_silver(spark, lake, raw, at, options)
-    publish_silver(spark, lake)
     build_quarantine(spark, lake)
     build_gold(spark, lake, options.null_aware)
-    publish_gold(spark, lake)
     lake.write(scores(spark, lake, grain, options.params, options.include_clean), "gold", "loan_score")
+    lake = lake.commit(spark)
+    publish_silver(spark, lake)
+    publish_gold(spark, lake)
     return lake.read(spark, "gold", "loan_score")

@@ -35,13 +35,14 @@ def ingest_manifest(
     raw_root: str,
     bronze_root: str,
     at_once: int = 16,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> list[str]:
     """Copy each listed file to the same place below ``bronze_root``; returns the places in order.
 
     One distributed read and write per file, ``at_once`` of them side by side; no more than
     twice as many are waiting. Values stay as they are, line breaks in quotes included, all
-    quoted, below the header.
+    quoted, below the header. ``multi_line`` as in ``read_declared_csv``: a large file without
+    line breaks in values is read and written by many tasks.
     """
 
     def copy(place: str) -> str:

@@ -161,3 +161,70 @@ def test_copies_keep_line_breaks_and_the_order_of_the_manifest(spark, tmp_path):
     for i in (0, 49):
         back = delimited.read_declared_csv(spark, f"{tmp_path}/bronze/{copied[i]}", T.StructType.fromDDL("a int, b string"))
         assert rows(back) == [(i, "one\ntwo"), (i, "plain")]
+
+
+# --- files with and without line breaks in values ----------------------------------
+def opened_by_lines(spark, tmp_path, name, text):
+    (tmp_path / name).write_bytes(text.encode())
+    return [f.rsplit("/", 1)[1] for f in delimited.files_with_breaks(spark, f"{tmp_path}/{name}")] == [name]
+
+
+@pytest.mark.parametrize(
+    "text, broken",
+    [
+        ('a,b\n1,2\n', False),
+        ('"a","b"\n"1","2"\n"x, y",""\n', False),
+        ('"a","b"\n"say \\"hi\\"","back\\\\"\n', False),
+        ('a,b\n"one\ntwo",3\n', True),
+        ('a,b\n1,"one\n\ntwo"\n', True),
+        ('a,b\nab"c,"one\ntwo"\n', True),  # an even number of quotes, the last one open
+        ('a,b\n"x\\",y\nz",3\n', True),
+        ('a,b\n"x\\\\",y\n', False),
+        ('a,b\n1,"open', True),
+        ("", False),
+        ('a,b\n5\" pipe,2\n', True),  # harmless, but only a reader of the whole file can tell
+    ],
+)
+def test_line_breaks_in_values_are_found(spark, tmp_path, text, broken):
+    assert opened_by_lines(spark, tmp_path, "f.csv", text) == broken
+
+
+VALUES = ["plain", "a,b", 'say "hi"', "back\\slash", "two\nlines", 'odd " quote\nand, more', " blanks ", "ü"]
+
+
+def test_any_values_read_the_same_either_way(spark, tmp_path):
+    for k, some in enumerate([VALUES[:4], VALUES, VALUES[4:6] * 3, [v for v in VALUES if "\n" not in v] * 2]):
+        df = spark.createDataFrame([(v, w) for v in some for w in some], "a string, b string").repartition(3)
+        delimited.write_quoted_csv(df, f"{tmp_path}/{k}.csv")
+        assert rows(delimited.read_text_csv(spark, f"{tmp_path}/{k}.csv")) == rows(df)
+        assert rows(delimited.read_text_csv(spark, f"{tmp_path}/{k}.csv", True)) == rows(df)
+
+
+def test_a_large_file_is_read_and_copied_by_many_tasks(spark, tmp_path):
+    (tmp_path / "raw" / "d").mkdir(parents=True)
+    lines = "".join(f'{i},"title, {i}",{i % 7}.5\n' for i in range(40_000))
+    (tmp_path / "raw" / "d" / "large.csv").write_text("id,title,amount\n" + lines)
+    (tmp_path / "raw" / "d" / "broken.csv").write_text('id,title,amount\n1,"two\nlines",0.5\n2,x,1.5\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        large = delimited.read_text_csv(spark, f"{tmp_path}/raw/d/large.csv")
+        assert large.rdd.getNumPartitions() > 5 and large.count() == 40_000
+        assert delimited.read_text_csv(spark, f"{tmp_path}/raw/d/broken.csv").rdd.getNumPartitions() == 1
+        both = delimited.read_text_csv(spark, f"{tmp_path}/raw/d")
+        assert both.count() == 40_002 and both.filter("title = 'two\nlines'").count() == 1
+        listed = spark.createDataFrame([("d", "large.csv"), ("d", "broken.csv")], manifest.MANIFEST_SCHEMA)
+        manifest.ingest_manifest(spark, listed, f"{tmp_path}/raw", f"{tmp_path}/bronze")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "bronze" / "d" / "large.csv").glob("part-*"))) > 5
+    kinds = T.StructType.fromDDL("id bigint, title string, amount double")
+    copied = delimited.read_declared_csv(spark, f"{tmp_path}/bronze/d/large.csv", kinds)
+    assert copied.count() == 40_000 and copied.agg(F.sum("id")).first()[0] == sum(range(40_000))
+    assert rows(delimited.read_declared_csv(spark, f"{tmp_path}/bronze/d/broken.csv", kinds)) == [(1, "two\nlines", 0.5), (2, "x", 1.5)]
+
+
+def test_names_with_blanks(spark, tmp_path):
+    (tmp_path / "a folder").mkdir()
+    (tmp_path / "a folder" / "one file.csv").write_text('a\n"x\ny"\n')
+    (tmp_path / "a folder" / "other%20file.csv").write_text("a\nz\n")
+    assert rows(delimited.read_text_csv(spark, f"{tmp_path}/a folder")) == [("x\ny",), ("z",)]
