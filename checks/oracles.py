@@ -361,6 +361,7 @@ _FINAL = {
     "wide_view_silver": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
     "wide_view_cleaned": _WIDE.format(c="customers_gold", d="delinq_gold", e="detail_gold"),
     "wide_view_small_slices": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
+    "wide_view_refreshed": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),
     "grid_join_inner": _SUPPLIER_PAIRS.format(how="INNER"),
     "grid_join_full": _SUPPLIER_PAIRS.format(how="FULL"),
     "wide_catalog_view": _WIDE.format(c="customers_data", d="delinq_data", e="detail_data"),

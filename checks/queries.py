@@ -21,6 +21,7 @@ from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
 from creditmill.plans import batch, score, silver
 from creditmill.plans.published import PublishedLake
 from creditmill.plans.wide import WIDE_COLUMNS, wide_view
+from creditmill.plans.wide_store import SOURCES, WideStore
 from creditmill.sources import catalog, delimited, manifest, zones
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,6 +648,21 @@ def run_from_files_published(spark, sf_dir):
     return lake.opened(spark, 2).read(spark, "gold", "loan_score")
 
 
+@query
+def wide_view_refreshed(spark, sf_dir):
+    """The stored wide view, built over a part of the tables and then brought up to all of them."""
+    tables, lake, store = shared_lake(spark, sf_dir), PublishedLake(work_dir(spark)), WideStore(buckets=32)
+    parts = {"customers": "member_id not like '1%'", "loans": "loan_term_years = 3", "repayments": "total_late_fee_received > 0"}
+    for step in ("part", "all"):
+        run = lake.begin(spark)
+        for name in SOURCES:
+            rows = tables.read(spark, "silver", name)
+            run.write(rows.filter(parts.get(name, "true")) if step == "part" else rows, "silver", name)
+        store.refresh(spark, run)
+        run.commit(spark)
+    return store.read(spark, lake.opened(spark))
+
+
 def _write_raw(spark, sf_dir, root):
     """Raw files and their manifest; returns each entity's place and the manifest's path."""
     places = {entity: f"{entity}_data/{entity}.csv" for entity in BY_ENTITY}

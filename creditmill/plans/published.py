@@ -32,14 +32,16 @@ class PublishedLake(Lake):
     def begin(self, spark: SparkSession) -> PublishedLake:
         return replace(self, version=snapshot(spark, self.root), run=uuid.uuid4().hex, written={})
 
-    def path(self, zone: str, name: str) -> str:
-        if zone == "catalog":
-            return super().path(zone, name)
+    def place(self, zone: str, name: str) -> str:
+        """A table's folder, below the root."""
         table = f"{zone}/{name}"
         place = self.written.get(table) or self.version.places.get(table)
         if place is None:
             raise ValueError(f"{table} is in no version published below {self.root}, nor written by this run")
-        return f"{self.root}/{place}"
+        return place
+
+    def path(self, zone: str, name: str) -> str:
+        return super().path(zone, name) if zone == "catalog" else f"{self.root}/{self.place(zone, name)}"
 
     def bronze(self) -> str:
         self._writable()

@@ -102,7 +102,7 @@ def expire(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     for n in old:  # first, so that no reader is sent to a folder that is gone
         place, files = _files(spark, f"{root}/{LOG}/{n:010d}.json")
         files.delete(place, False)
-    for name in unused:
+    for name in filter(None, unused):
         place, files = _files(spark, f"{root}/{name}")
         files.delete(place, True)
-    return unused
+    return [name for name in unused if name]
