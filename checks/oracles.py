@@ -347,6 +347,11 @@ _FINAL = {
     "duplicate_keys": _DUPLICATES.format(_DISTINCT_BORROWERS),
     "duplicate_defaulters": _DUPLICATES.format("fx_defaulters"),
     "duplicate_lines": "SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "duplicate_keys_filtered": _DUPLICATES.format(_DISTINCT_BORROWERS),
+    "duplicate_lines_filtered": "SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "exclude_keys_filtered": f"SELECT * FROM fx_borrowers WHERE member_id NOT IN ({_BOTH_DUPLICATES})",
+    "exclude_lines_filtered": "SELECT l_orderkey, l_linenumber FROM lineitem "
+    "WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)",
     "union_distinct_keys": _BOTH_DUPLICATES,
     "exclude_keys": f"SELECT * FROM fx_borrowers WHERE member_id NOT IN ({_BOTH_DUPLICATES})",
     "exclude_keys_null_on_left": f"{_STATES} (SELECT addr_state FROM fx_borrowers WHERE length(addr_state) > 2)",

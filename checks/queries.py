@@ -14,6 +14,7 @@ from checks.fixtures import BY_ENTITY, fixture
 from checks.workdir import work_dir
 from creditmill import schemas
 from creditmill.functions import points as P
+from creditmill.operators import bitfilters
 from creditmill.operators import cleaning as ops
 from creditmill.operators import quality
 from creditmill.operators.joins import grid_join, skew_join
@@ -341,6 +342,28 @@ def exclude_keys(spark, sf_dir):
     return quality.exclude_keys(customers(spark, sf_dir), union_distinct_keys(spark, sf_dir), "member_id")
 
 
+@query
+def exclude_keys_filtered(spark, sf_dir):
+    return bitfilters.exclude_keys_filtered(customers(spark, sf_dir), union_distinct_keys(spark, sf_dir), "member_id")
+
+
+@query
+def exclude_lines_filtered(spark, sf_dir):
+    """Line items of orders that no large order is: most rows never meet the list."""
+    large = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return bitfilters.exclude_keys_filtered(table(spark, sf_dir, "lineitem"), large, "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query
+def duplicate_keys_filtered(spark, sf_dir):
+    return bitfilters.duplicate_keys_filtered(ops.drop_exact_duplicates(customers(spark, sf_dir)), "member_id")
+
+
+@query
+def duplicate_lines_filtered(spark, sf_dir):
+    return bitfilters.duplicate_keys_filtered(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+
+
 def _null_states(spark, sf_dir):
     """Keys of which some are NULL: state codes of members with and without a long code."""
     return customers(spark, sf_dir).select("member_id", "addr_state")
