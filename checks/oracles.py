@@ -344,6 +344,16 @@ _FINAL = {
     "contradicted_totals": "SELECT * FROM fx_repayments WHERE total_payment_received = 0 "
     "AND total_principal_received <> 0",
     "preview_loans": "SELECT * FROM fx_loans ORDER BY loan_amount DESC, loan_id LIMIT 20",
+    "merged_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, true AS distinct_within, "
+        f"{'NULL' if c == 'o_orderpriority' else 'true'} AS median_within FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    ),
+    "profile_drift": "SELECT * FROM (VALUES ('loan_id', 'same'), ('loan_amount', 'same'), ('interest_rate', 'changed'), "
+    "('loan_purpose', 'changed'), ('loan_title', 'removed'), ('loan_grade', 'added')) AS t(\"column\", state)",
+    "top_parts": "SELECT l_partkey, count(*) AS total FROM lineitem GROUP BY ALL ORDER BY total DESC, l_partkey LIMIT 25",
+    "top_members": "SELECT member_id, count(*) AS total FROM fx_loans GROUP BY ALL ORDER BY total DESC, member_id LIMIT 40",
+    "drop_exact_duplicates_filtered": "SELECT DISTINCT * FROM fx_borrowers",
     "duplicate_keys": _DUPLICATES.format(_DISTINCT_BORROWERS),
     "duplicate_defaulters": _DUPLICATES.format("fx_defaulters"),
     "duplicate_lines": "SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1",

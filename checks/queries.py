@@ -16,7 +16,7 @@ from creditmill import schemas
 from creditmill.functions import points as P
 from creditmill.operators import bitfilters
 from creditmill.operators import cleaning as ops
-from creditmill.operators import quality
+from creditmill.operators import profiles, quality
 from creditmill.operators.joins import grid_join, skew_join
 from creditmill.params import DEFAULT_SCORE, LOAN_REQUIRED, REPAYMENT_REQUIRED
 from creditmill.plans import batch, score, silver
@@ -316,6 +316,50 @@ def preview_loans(spark, sf_dir):
     return quality.preview(loans(spark, sf_dir), 20, F.desc("loan_amount"), "loan_id")
 
 
+@query
+def merged_profile(spark, sf_dir):
+    """The profile of orders, merged from those of five parts, and whether its estimates are within their bounds."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    parts = [profiles.profile(df.filter(F.pmod("o_orderkey", F.lit(5)) == k)) for k in range(5)]
+    report = profiles.profile_report(profiles.merge_profiles(*parts), (0.5,))
+    exact = []
+    for c in df.columns:
+        number = F.col(c).cast("double") if c != "o_orderpriority" else F.lit(None).cast("double")
+        facts = df.agg(F.countDistinct(c).alias("n"), F.percentile(number, 0.5 - profiles.RANK_ERROR).alias("a"), F.percentile(number, 0.5 + profiles.RANK_ERROR).alias("b"))
+        exact.append(facts.withColumn("name", F.lit(c)))
+    both = report.join(reduce(DataFrame.union, exact), F.col("column") == F.col("name"))
+    median = F.element_at("quantiles", F.lit(0.5))
+    return both.select(
+        "column", "rows", "nulls",
+        (F.abs(F.col("distinct_values") - F.col("n")) <= profiles.DISTINCT_ERROR * F.col("n")).alias("distinct_within"),
+        F.when(F.col("column") != "o_orderpriority", median.between(F.floor("a"), F.ceil("b"))).alias("median_within"),
+    )
+
+
+@query
+def profile_drift(spark, sf_dir):
+    """Columns of loans whose values drift from one version of the table to the next."""
+    old = loans(spark, sf_dir).select("loan_id", "loan_amount", "interest_rate", "loan_purpose", "loan_title")
+    new = old.withColumn("interest_rate", F.col("interest_rate") + 4).withColumn("loan_purpose", F.when(F.col("loan_amount") > 150000, F.col("loan_purpose")))
+    new = new.drop("loan_title").withColumn("loan_grade", F.lit("A"))
+    return profiles.drift_report(profiles.profile(old), profiles.profile(new)).select("column", "state")
+
+
+@query
+def top_parts(spark, sf_dir):
+    return profiles.top_values(table(spark, sf_dir, "lineitem"), "l_partkey", 25)
+
+
+@query
+def top_members(spark, sf_dir):
+    return profiles.top_values(loans(spark, sf_dir), "member_id", 40)
+
+
+@query
+def drop_exact_duplicates_filtered(spark, sf_dir):
+    return bitfilters.drop_exact_duplicates_filtered(customers(spark, sf_dir))
+
+
 # --- quarantine ------------------------------------------------------------------
 @query
 def duplicate_keys(spark, sf_dir):

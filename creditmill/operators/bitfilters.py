@@ -28,7 +28,7 @@ def _bits(keys: Sequence[Column], words: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(64 * words).cast("long")) for i in range(hashes)]
 
 
-def _dense(found: DataFrame, words: int) -> Column:
+def dense_array(found: DataFrame, words: int) -> Column:
     """``word, bits`` rows as one array of ``words`` words, for use in expressions."""
     every = found.sparkSession.range(words).withColumnRenamed("id", "word")
     filled = every.join(found, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
@@ -46,7 +46,7 @@ def might_contain(listed: DataFrame, key: str, words: int = WORDS, hashes: int =
     bits = listed.select(F.explode(F.array(*_bits([F.col(key)], words, hashes))).alias("bit"))
     set_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
     found = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(set_).alias("bits"))
-    array = _dense(found, words)
+    array = dense_array(found, words)
 
     def test(column: Column) -> Column:
         hit = [_is_set(array, b) for b in _bits([column], words, hashes)]
@@ -125,11 +125,16 @@ def duplicate_candidates(df: DataFrame, *keys: str, words: int = CELL_WORDS) ->
     more; these notes, a fixed number of bytes per task, are all that is shuffled to find the cells
     that matter. With a tenth as many keys as cells about one single key in ten stays.
     """
+    return df.filter(_met_twice(df, [F.col(k) for k in keys], words))
+
+
+def _met_twice(df: DataFrame, keys: Sequence[Column], words: int) -> Column:
+    """Whether a row's key falls into a cell that several rows do."""
     words = max(ROW_WORDS, words)
-    cell = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(64 * words).cast("long"))
+    cell = F.pmod(F.xxhash64(*keys), F.lit(64 * words).cast("long"))
     notes = df.select(cell.alias("cell")).mapInArrow(_counted(64 * words), "row int, once binary, twice binary")
     found = notes.repartition("row").sortWithinPartitions("row").mapInArrow(_merged, "word long, bits long")
-    return df.filter(_is_set(_dense(found, words), cell))
+    return _is_set(dense_array(found, words), cell)
 
 
 def duplicate_keys_filtered(df: DataFrame, *keys: str, words: int = CELL_WORDS) -> DataFrame:
@@ -138,5 +143,13 @@ def duplicate_keys_filtered(df: DataFrame, *keys: str, words: int = CELL_WORDS)
     return counted.filter("_n > 1").select(*keys)
 
 
+def drop_exact_duplicates_filtered(df: DataFrame, words: int = CELL_WORDS) -> DataFrame:
+    """``drop_exact_duplicates`` that shuffles only rows which may have a copy; the others stay where they are read."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns])
+    test = _met_twice(df, [nulls, *columns], words)
+    return df.filter(~test).union(df.filter(test).distinct())
+
+
 # functions that run in tasks travel by value, so that executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
