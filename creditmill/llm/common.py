@@ -52,6 +52,11 @@ def slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(listed: DataFrame, most: int = 10_000) -> DataFrame:
+    """A short stored list, such as one of files, dealt to a task for each row (at most ``most`` tasks)."""
+    return listed.repartition(max(1, min(most, listed.count())))  # a stated number, which adaptive execution keeps
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z only."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import publish, scratch_dir, slices, stored
+from creditmill.llm.common import apart, publish, scratch_dir, slices, stored
 from creditmill.llm.tokens import encoder
 from creditmill.llm.vocabulary import Vocabulary
 
@@ -123,7 +123,8 @@ def _write(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
 
     wide = max(Vocabulary(path).base - 1, end_id) > 0xFFFF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))  # so that rows of one id, or without one, can be parted too
+    dealt = rows.repartitionByRange(slices(docs.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(write, "part int, file string, documents long, ids long")
 
 
@@ -196,8 +197,7 @@ def read_store(listed: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    spread = listed.select("file", "before").repartition("file")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return apart(listed.select("file", "before")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -337,11 +337,14 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer |
     """Train on a bounded sample of the labelled documents that are not held out."""
     named = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     known = named.where("id is not null and toxic is not null").where(~in_held_out_third(F.col("id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.octet_length("text") <= LONGEST)
+    # Labels of documents that are elsewhere, or too long to learn from, take no place in the sample.
+    known = known.join(texts.select("id"), "id", "left_semi")
     once = known.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id"))
     some = once.where("toxic > 0").orderBy("h").limit(sample).union(once.where("toxic <= 0").orderBy("h").limit(sample))
     # Bounded by the sample: at most 2 * ``sample`` ids are broadcast, and so many texts collected.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.octet_length("text") <= LONGEST).join(F.broadcast(some), "id")
+    texts = texts.join(F.broadcast(some), "id")
     rows = sorted((r["h"], r["text"], r["toxic"]) for r in texts.select("h", "text", "toxic").dropDuplicates(["h"]).collect())
     return train([t for _, t, _ in rows], [int(x > 0) for _, _, x in rows])
 

@@ -8,7 +8,9 @@ The reader checks every record: the gzip member's own check sum, the version lin
 the blank lines at its end, and the digests of block and payload. When a check fails, it looks
 for the next place where a member or a version line begins a record that passes, goes on from
 there, and logs the bytes in between as a quarantined gap with the reason. A member may hold
-several records; those that pass are read, what lies between them is a gap of the member.
+several records; those that pass are read, what lies between them is a gap of the member. A
+member that is cut off or broken gives the records before the damage; the rest is a gap, and so
+is the record next to the damage, since the check that failed was its own too.
 
 Defined cases: a null payload is empty; a null or unprintable URL is left out or escaped; pages
 without an id are responses and come back without one; rows of one id are records of their own;
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import publish, scratch_dir, stored
+from creditmill.llm.common import apart, publish, scratch_dir, stored
 
 VERSION = b"WARC/1.1\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,17 +83,21 @@ class Record(NamedTuple):
     """A record that passed its checks, and where it lies in the file."""
 
     start: int
-    end: int
+    end: int | None
     fields: dict[str, str]
     block: bytes
 
 
 class Gap(NamedTuple):
-    """Quarantined bytes, and the check that failed at their start."""
+    """Quarantined bytes, and the check that failed at their start.
+
+    ``inside``: in a member that gave records too, the unpacked bytes before the gap.
+    """
 
     start: int
-    end: int
+    end: int | None
     reason: str
+    inside: int | None = None
 
 
 class Damaged(Exception):
@@ -168,24 +174,44 @@ class Archive:
         return self._checked(at, end, fields, self.read(at + start, length), self.read(end - 4, 4))
 
     def _member(self, at: int) -> list[Record | Gap]:
-        unpacker, parts, place, step = zlib.decompressobj(31), [], at, 4096
-        try:
-            while not unpacker.eof:
-                data, step = self.read(place, step), min(4 * step, STEP)  # most members are short
-                if not data:
-                    raise Damaged("member cut off")
+        unpacker, parts, place, step, broken = zlib.decompressobj(31), [], at, 4096, ""
+        while not unpacker.eof and not broken:
+            data, step = self.read(place, step), min(4 * step, STEP)  # most members are short
+            try:
                 parts.append(unpacker.decompress(data))
-                if len(parts) == 1 and len(parts[0]) >= 5 and not parts[0].startswith(b"WARC/"):
-                    raise Damaged("member without a version line")
-                place += len(data)
-        except zlib.error as error:
-            raise Damaged(f"member broken ({str(error).rpartition(':')[2].strip() or 'data'})") from None
-        end = place - len(unpacker.unused_data)
+                broken = "" if data else "member cut off"
+            except zlib.error as error:
+                broken = f"member broken ({str(error).rpartition(':')[2].strip() or 'data'})"
+                parts = self._until_broken(at, place + len(data))
+            if len(parts) == 1 and len(parts[0]) >= 5 and not parts[0].startswith(b"WARC/"):
+                raise Damaged("member without a version line")
+            place += len(data)
         data = b"".join(parts)
-        found = list(Archive(_Held(data), len(data), packed=False).entries())
+        found = [e._replace(inside=e.start) if isinstance(e, Gap) else e for e in Archive(_Held(data), len(data), packed=False).entries()]
+        rest = None
+        if broken and found:  # the last record is next to the damage, and no check of the member covers it
+            last = max((k for k, e in enumerate(found) if isinstance(e, Record)), default=0)
+            rest, found = Gap(at, None, broken, found[last].start), found[:last]
         if not any(isinstance(e, Record) for e in found):
-            raise Damaged(found[0].reason if found else "no version line")
-        return [e._replace(start=at, end=end) for e in found]
+            raise Damaged(broken or (found[0].reason if found else "no version line"))
+        if rest is None:
+            return [e._replace(start=at, end=place - len(unpacker.unused_data)) for e in found]
+        return [*[e._replace(start=at, end=None) for e in found], rest]  # where the member ends is not known
+
+    def _until_broken(self, at: int, end: int) -> list[bytes]:
+        """What a damaged member gives before the error."""
+        unpacker, parts = zlib.decompressobj(31), []
+        for place in range(at, end, 4096):
+            data, before = self.read(place, min(4096, end - place)), unpacker.copy()
+            try:
+                parts.append(unpacker.decompress(data))
+            except zlib.error:  # a byte at a time, up to the one that fails
+                try:
+                    parts.extend(before.decompress(data[k : k + 1]) for k in range(len(data)))
+                except zlib.error:
+                    pass
+                break
+        return [b"".join(parts)]
 
     def records(self, at: int) -> list[Record | Gap]:
         """The record at a place, or all that the member there holds; or Damaged."""
@@ -209,17 +235,19 @@ class Archive:
 
     def entries(self) -> Iterator[Record | Gap]:
         """Records and gaps in the order of the file; together they cover it. Those of one member share its place."""
-        at = 0
+        at, found = 0, []
         while at < self.size:
-            try:
-                found = self.records(at)
-            except Damaged as damage:
-                found = self._next(at + 1)
-                yield Gap(at, found[0].start if found else self.size, str(damage))
-                if not found:
-                    return
+            if not found:
+                try:
+                    found = self.records(at)
+                except Damaged as damage:
+                    found = [Gap(at, None, str(damage))]
+            following = []
+            if found[-1].end is None:  # up to the next one that passes
+                following = self._next(at + 1)
+                found = [e._replace(end=following[0].start if following else self.size) for e in found]
             yield from found
-            at = found[-1].end
+            at, found = found[-1].end, following
 
 
 # ---- over tables ----------------------------------------------------------------------------
@@ -266,7 +294,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     return stored(with_originals(pages, least).mapInArrow(write, "file string, records long"))
 
 
-_ENTRY = "file string, start long, end long, reason string, warc_type string, record_id string, url string, " \
+_ENTRY = "file string, start long, end long, reason string, inside long, warc_type string, record_id string, url string, " \
     "payload_bytes long, payload_digest string, refers_to string, payload binary"
 _NAMES = [f.split()[0] for f in _ENTRY.split(", ")]
 
@@ -284,11 +312,14 @@ def _entry(file: str, entry: Record | Gap, with_payload: bool) -> tuple:
     else:
         size, sha1 = len(payload), hashlib.sha1(payload).hexdigest()
     names = (fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"))
-    return (file, entry.start, entry.end, None, *names, size, sha1, fields.get("warc-refers-to"), payload if with_payload else None)
+    return (file, entry.start, entry.end, None, None, *names, size, sha1, fields.get("warc-refers-to"), payload if with_payload else None)
 
 
 def read_archives(listed: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps (rows with a ``reason``) of the files in column ``file``."""
+    """Records and gaps (rows with a ``reason``) of the files in column ``file``, every file by a task.
+
+    A gap in a member that gave records too says in ``inside`` how many unpacked bytes came before it.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.binary() if k == "binary" else pa.int64() if k == "long" else pa.string()) for n, k in (f.split() for f in _ENTRY.split(", "))])
@@ -305,14 +336,15 @@ def read_archives(listed: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema)
 
-    return listed.select("file").repartition("file").mapInArrow(read, _ENTRY)
+    return apart(listed.select("file")).mapInArrow(read, _ENTRY)
 
 
 def pages_from_archives(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of pages written and read back."""
-    entries = read_archives(write_archives(pages, least=least), with_payload=False).where("reason is null")
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of pages written and read back; no page may be lost."""
+    entries = read_archives(write_archives(pages, least=least), with_payload=False)
+    lost = F.raise_error(F.concat(F.lit("a page was lost: "), "reason", F.lit(" in "), "file")).cast("long")
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:x-page:(-?[0-9]*)>$', 1), '') as bigint)")
     return entries.select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
+        F.when(F.col("reason").isNotNull(), lost).otherwise(number("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
         number("refers_to").alias("refers_to"),
     )

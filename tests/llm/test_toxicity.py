@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from creditmill.llm.toxicity import in_held_out_third, toxicity, train
+from creditmill.llm.toxicity import in_held_out_third, learnt, toxicity, train
 from tests.llm.fixtures import documents, empty
 
 INSULTS = ["blurgh", "krampok", "zuwidel", "fovnique"]
@@ -87,3 +87,13 @@ def test_letters_of_a_rarer_script_count():
     assert (scorer.probability([cyrillic() for _ in range(100)]) >= 0.7).mean() <= 0.05
     codes, starts = scorer.letters.codes(["щ", "Щ", "-"])
     assert codes[starts[0]] == codes[starts[1]] > 1 and codes[starts[2]] == 0
+
+
+def test_labels_of_other_tables_take_no_place_in_the_sample(spark, corpus):
+    docs = documents(spark, [(i, t) for i, t, _ in corpus])
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus], "doc_id long, toxic int")
+    strangers = spark.range(10_000, 14_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    alone, among = learnt(docs, labels, 60), learnt(docs, labels.union(strangers), 60)
+    assert alone is not None and among is not None
+    texts = [t for _, t, _ in corpus[:50]]
+    assert alone.probability(texts).tolist() == among.probability(texts).tolist()

@@ -126,3 +126,39 @@ def test_records_of_one_member():
     broken = member(three[0] + three[1].replace(b"aaaa", b"axaa", 1) + three[2])
     assert [getattr(e, "reason", None) for e in entries(broken)] == [None, "block digest differs", None]
     assert [e.reason for e in entries(member(three[1].replace(b"aaaa", b"axaa", 1)))] == ["block digest differs"]
+
+
+def test_a_broken_member_gives_what_came_before():
+    rnd = random.Random(6)
+    many = [record(k, f"http://x/{k}", bytes(rnd.randrange(256) for _ in range(rnd.randrange(20, 900))), None) for k in range(200)]
+    whole, after = member(b"".join(many)), member(record(900, "u", b"after", None))
+    flipped = bytearray(whole)
+    flipped[len(whole) * 9 // 10] ^= 16
+    for broken, least in ((whole[:-50], 190), (bytes(flipped), 170), (whole[: len(whole) // 2], 90)):
+        found = entries(broken + after)
+        ids = [e.fields["warc-record-id"] for e in found if isinstance(e, Record)]
+        assert ids[:-1] == [page_urn(k) for k in range(200) if page_urn(k) in ids] and len(ids) > least and ids[-1] == page_urn(900)
+        gaps = [e for e in found if isinstance(e, Gap)]
+        assert gaps and all(g.inside is not None and g.start == 0 and g.end == len(broken) for g in gaps)
+        assert gaps[0].inside >= sum(map(len, many[:least]))
+        assert found[-1].start == len(broken) and found[-1].end == len(broken) + len(after)
+    alone = entries(whole[:-50])  # nothing follows
+    assert len(alone) > 190 and alone[-1].end == len(whole) - 50 and isinstance(alone[-1], Gap)
+    two = entries(whole[:-50] + bytes(flipped) + after)  # one broken member after the other
+    assert sum(isinstance(e, Record) for e in two) > 190 + 170 and isinstance(two[-1], Record)
+
+
+def test_damaged_check_sum_costs_the_last_record_only():
+    three = b"".join(record(k, "u", b"a" * 50, None) for k in range(3))
+    data = bytearray(member(three))
+    data[-5] ^= 1
+    found = entries(bytes(data))
+    assert [type(e) for e in found] == [Record] * 2 + [Gap] and found[-1].inside == len(three) * 2 // 3
+
+
+def test_files_are_read_by_a_task_each(spark):
+    listed = write_archives(pages(spark, [(k, "u", f"page {k}") for k in range(40)]).repartition(20))
+    n = listed.count()
+    read = read_archives(listed, with_payload=False)
+    assert n > 10 and read.rdd.getNumPartitions() == n
+    assert read.where("reason is null").count() == 40
