@@ -28,6 +28,8 @@ from creditmill.llm.common import apart, publish, scratch_dir, slices, stored
 from creditmill.llm.tokens import encoder
 from creditmill.llm.vocabulary import Vocabulary
 
+#: Ids that a task reads back, at least where there are more than cores can share.
+READ = 1 << 25
 MAGIC = b"TOKENS01"
 _FOOTER = "<QQQQQQ8s"  # documents, without id, ids, bytes per id, bytes of either sequence, magic
 #: Ones between two remembered positions of the select structure.
@@ -197,7 +199,10 @@ def read_store(listed: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return apart(listed.select("file", "before")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task for each core at least, and for every READ ids.
+    size = listed.agg(F.sum("ids")).first()[0] or 0
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, -(-size // READ))
+    return apart(listed.select("file", "before"), tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
