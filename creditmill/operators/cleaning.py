@@ -97,8 +97,8 @@ def canonicalize(
 def repair_total(df: DataFrame, total: str, principal: str, *more_parts: str) -> DataFrame:
     """Rebuild a total that is zero although principal was received."""
     parts = [F.col(c) for c in (principal, *more_parts)]
-    # sums of decimals have a wider type than the total
-    return df.withColumn(total, C.repaired_total(F.col(total), *parts).cast(df.schema[total].dataType))
+    # sums of decimals have a wider type than the total; one that does not fit it is NULL
+    return df.withColumn(total, C.repaired_total(F.col(total), *parts).try_cast(df.schema[total].dataType))
 
 
 def drop_zero(df: DataFrame, column: str) -> DataFrame:

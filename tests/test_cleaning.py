@@ -176,3 +176,12 @@ def test_text_rules_accept_any_text(spark, values):
     assert len(got) == len(values)
     assert all(r.n is None or r.n >= 0 for r in got)
     assert all(r.d is None or r.d >= 0 for r in got)
+
+
+def test_repaired_total_that_does_not_fit_is_null(spark):
+    kinds = "total decimal(4,2), principal decimal(4,2), interest decimal(4,2)"
+    df = spark.sql("SELECT cast(t AS decimal(4,2)) AS total, cast(p AS decimal(4,2)) AS principal, cast(i AS decimal(4,2)) AS interest "
+                   "FROM VALUES (0, 60.5, 50.5), (0, 20.25, 30.5), (7, 1, 1), (null, 1, 1) AS v(t, p, i)")
+    got = ops.repair_total(df, "total", "principal", "interest")
+    assert got.schema.simpleString() == T.StructType.fromDDL(kinds).simpleString()
+    assert [str(r.total) for r in got.collect()] == ["None", "50.75", "7.00", "None"]
