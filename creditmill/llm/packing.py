@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``size`` tokens. Full pieces are sequences of their own; the
 rest are dealt to groups by a hash, packed best fit first, longest first, and then improved:
-pieces move, or change places one for one or two for one, whenever that makes a fuller sequence
-fuller (the sum of squared fills grows), until sequences run empty and no step is left.
+pieces move, or change places one for one or two for one, whenever the sum of squared fills grows,
+so that sequences run empty, until no step is left or there are as few as any packing needs.
 Groups hold some ten thousand pieces, so that each loses less than a sequence to the best.
 
 Defined cases: a null or empty text is the end id alone; copies of a row are packed like any
@@ -13,6 +13,7 @@ other rows; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -82,83 +83,149 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 def least_bins(lengths: list[int], size: int) -> int:
     """Bins that any packing needs: by volume, and by pieces too long to share one."""
-    rest = np.sort(np.array(lengths))
-    best = -(-int(rest.sum()) // size)
-    for small in np.unique(rest[rest <= size // 2])[:64].tolist() + [size // 2]:
-        huge = int((rest > size - small).sum())
-        large = rest[(rest <= size - small) & (2 * rest > size)]
-        mid = rest[(2 * rest <= size) & (rest >= small)]
-        spare = len(large) * size - int(large.sum())
-        best = max(best, huge + len(large) + max(0, -(-(int(mid.sum()) - spare) // size)))
-    return best
+    rest = np.sort(np.array(lengths, np.int64))
+    upto = np.concatenate([[0], np.cumsum(rest)])
+    below = lambda n: np.searchsorted(rest, n, "right")  # noqa: E731  how many have n or less
+    half = below(size // 2)
+    # Pieces shorter than ``small`` are left out; those longer than size - small then fill a bin alone.
+    small = np.unique(np.append(rest[:half], size // 2))
+    alone = below(size - small)
+    huge, large = len(rest) - alone, alone - half
+    spare = large * size - (upto[alone] - upto[half])
+    middle = upto[half] - upto[below(small - 1)]
+    by_length = huge + large + np.maximum(0, -(-(middle - spare) // size))
+    return max(-(-int(upto[-1]) // size), int(by_length.max()))
 
 
 class Search:
-    """Local search over the bins that are not full."""
+    """Local search over the bins that are neither empty nor full.
+
+    A step takes one or two pieces out of a bin, puts them into another and takes none, one or
+    two of the other's back (two for one either way, one for one, or a move), if that fits and the sum
+    of squared fills grows. What bins can give back is known by their room: ``least[k][room, x]``
+    is the smallest total of x or more that a bin with this room holds, in at most one piece
+    (k = 0) or in two (k = 1). The best step of a bin is thereby one look-up for every total it can
+    give and every room there is. All of them are tried: a bin of ``size`` tokens has at most
+    sqrt(2 size) different lengths, so at most ``size`` different totals of two.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], size: int):
         self.len, self.size, self.bins = lengths, size, bins
         self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.used = sum(1 for b in bins if b)
+        self.holders: dict[tuple[int, int, int], dict[int, None]] = {}
+        self.there = np.zeros((2, size + 1, size + 1), bool)
+        self.least = np.zeros((2, size + 1, size + 1), np.int32)
+        self.stale: set[int] = set()
+        self.rooms: dict[int, int] = {}
+        self.totals: dict[int, tuple[dict, dict]] = {}
+        for b in range(len(bins)):
+            self._enter(b)
+
+    def _open(self, b: int) -> bool:
+        return 0 < self.fill[b] < self.size
+
+    def _enter(self, b: int) -> None:
+        if not self._open(b):
+            return
+        by_length: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            by_length.setdefault(self.len[i], []).append(i)
+        lengths = list(by_length)
+        one = {n: by_length[n][:1] for n in lengths}
+        two = {}
+        for x, n in enumerate(lengths):
+            for m in lengths[:x]:
+                two[n + m] = [by_length[n][0], by_length[m][0]]
+            if len(by_length[n]) > 1:
+                two[2 * n] = by_length[n][:2]
+        self.totals[b] = one, two
+        room = self.size - self.fill[b]
+        self.rooms[room] = self.rooms.get(room, 0) + 1
+        self.stale.add(room)
+        for k, totals in enumerate(({0: [], **one}, two)):
+            for n in totals:
+                self.holders.setdefault((k, room, n), {})[b] = None
+                self.there[k, room, n] = True
+
+    def _leave(self, b: int) -> None:
+        if not self._open(b):
+            return
+        room = self.size - self.fill[b]
+        one, two = self.totals.pop(b)
+        self.rooms[room] -= 1
+        if not self.rooms[room]:
+            del self.rooms[room]
+        self.stale.add(room)
+        for k, totals in enumerate(([0, *one], two)):
+            for n in totals:
+                own = self.holders[k, room, n]
+                del own[b]
+                if not own:
+                    del self.holders[k, room, n]
+                    self.there[k, room, n] = False
+
+    def _refresh(self) -> None:
+        if self.stale:
+            rows = np.fromiter(self.stale, np.int64)
+            totals = np.where(self.there[:, rows], np.arange(self.size + 1), 2 * self.size)
+            self.least[:, rows] = np.minimum.accumulate(totals[:, :, ::-1], axis=2)[:, :, ::-1]
+            self.stale.clear()
 
-    def _shift(self, source: int, out: list[int], target: int, back: list[int]) -> None:
-        d = sum(self.len[i] for i in out) - sum(self.len[i] for i in back)
-        self.bins[source] = [i for i in self.bins[source] if i not in out] + back
-        self.bins[target] = [i for i in self.bins[target] if i not in back] + out
-        self.fill[source] -= d
-        self.fill[target] += d
-
-    def _step(self, source: int, bins: np.ndarray, items: np.ndarray, owner: np.ndarray) -> int:
-        """The step that fills a fuller bin most from ``source``; that bin, or -1."""
-        fill = np.array([self.fill[b] for b in bins])
-        room = np.where((bins != source) & (fill >= self.fill[source]), self.size - fill, -1)
-        sizes = np.array([self.len[i] for i in items]) if len(items) else np.zeros(0, np.int64)
-        item_room = room[owner] if len(items) else sizes
-        own = sorted(set(self.len[i] for i in self.bins[source]), reverse=True)
-        place = {n: [i for i in self.bins[source] if self.len[i] == n] for n in own}
-        outs = [(n, [place[n][0]]) for n in own]
-        for x in range(len(self.bins[source])):  # two for one
-            for y in range(x):
-                i, j = self.bins[source][x], self.bins[source][y]
-                outs.append((self.len[i] + self.len[j], [i, j]))
-        best = (0, None)
-        for total, out in outs[:64]:
-            fits = np.where(room >= total)[0]
-            if len(fits):
-                k = fits[np.argmin(room[fits])]
-                if total > best[0]:
-                    best = (total, (out, int(bins[k]), []))
-            if len(items):
-                gain = total - sizes
-                gain[(gain <= 0) | (gain > item_room)] = 0
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), (out, int(bins[owner[k]]), [int(items[k])]))
-        if best[1] is None:
+    def step(self, source: int) -> int:
+        """Take the step from ``source`` that adds most to the squared fills; the other bin, or -1."""
+        one, two = self.totals[source]
+        self._leave(source)
+        self._refresh()
+        rooms = np.fromiter(self.rooms, np.int64, len(self.rooms))
+        ahead = self.size - self.fill[source] - rooms  # fill of the other less that of the source
+        best, chosen = 0, None
+        for k, outs in enumerate(({**two, **one}, one)):
+            give = np.fromiter(outs, np.int64, len(outs))[:, None]
+            back = self.least[k, rooms, np.maximum(0, give - rooms)] if outs and len(rooms) else np.zeros((0, 0))
+            net = give - back if back.size else back
+            gain = np.where((net > 0) & (net > -ahead), net * (net + ahead), 0) if back.size else back
+            if gain.size and gain.max() > best:
+                x, y = np.unravel_index(gain.argmax(), gain.shape)
+                best, chosen = int(gain[x, y]), (outs[int(give[x, 0])], k, int(rooms[y]), int(back[x, y]))
+        if chosen is None:
+            self._enter(source)
             return -1
-        out, target, back = best[1]
-        self._shift(source, out, target, back)
+        out, k, room, total = chosen
+        target = next(iter(self.holders[k, room, total]))
+        back = self.totals[target][k][total] if total else []
+        self._leave(target)
+        for own, gone, come in ((source, out, back), (target, back, out)):
+            self.bins[own] = [i for i in self.bins[own] if i not in gone] + come
+            self.fill[own] += sum(self.len[i] for i in come) - sum(self.len[i] for i in gone)
+            self._enter(own)
+        self.used -= not self.bins[source]
         return target
 
     def run(self) -> list[list[int]]:
-        least = least_bins(self.len, self.size)
-        stuck: set[int] = set()
-        while True:
-            open_ = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.size]
-            full = sum(1 for b in self.bins if b) - len(open_)
-            if full + len(open_) <= least:
-                break
-            todo = [b for b in open_ if b not in stuck]
-            if not todo:
-                break
-            source = min(todo, key=lambda b: self.fill[b])
-            bins = np.array(open_)
-            items = np.array([i for b in open_ for i in self.bins[b]], np.int64)
-            owner = np.repeat(np.arange(len(open_)), [len(self.bins[b]) for b in open_])
-            target = self._step(source, bins, items, owner)
-            if target < 0:
-                stuck.add(source)
-            else:
-                stuck -= {source, target}
+        """Bins after the last step: none is left, or no packing needs fewer."""
+        least = least_bins(self.len, self.size) if self.len else 0
+        todo = [(self.fill[b], b) for b in range(len(self.bins)) if self._open(b)]
+        while todo:
+            heapq.heapify(todo)
+            waiting, tried, moved = {b for _, b in todo}, [], False
+            while todo and self.used > least:
+                fill, source = heapq.heappop(todo)
+                if source not in waiting or fill != self.fill[source]:
+                    continue
+                waiting.discard(source)
+                if not self._open(source):
+                    continue
+                target = self.step(source)
+                if target < 0:
+                    tried.append(source)
+                    continue
+                moved = True
+                for b in (source, target):
+                    waiting.add(b)
+                    heapq.heappush(todo, (self.fill[b], b))
+            # What changed may have given a step to bins that had none.
+            todo = [(self.fill[b], b) for b in set(tried) if self._open(b)] if moved and self.used > least else []
         return [b for b in self.bins if b]
 
 

@@ -1,6 +1,7 @@
 """Token ids: encoders against the tokenizers library, the token store, packing."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from creditmill.llm import bpe_lexicon, packing
 from creditmill.llm.bpe_lexicon import Lexicon, compile_words, coder, decode_documents, encode_documents, round_trip, thinned, to_file
-from creditmill.llm.packing import best_fit, least_bins, pack, packed_documents, pieces_of
+from creditmill.llm.packing import Search, best_fit, least_bins, pack, packed_documents, pieces_of
 from creditmill.llm.token_store import EliasFano, Store, stored_tokens, write_store
 from creditmill.llm.tokens import encoder
 from creditmill.llm.vocabulary import Vocabulary
@@ -197,3 +198,73 @@ def test_search_improves_best_fit():
     assert better
     # one swap away from three full bins
     assert len(pack([7, 6, 3, 4, 5, 5], 10)) == 3
+
+
+def steps_left(lengths, bins, size):
+    """Every exchange of up to two pieces for up to two (not two for two) that fits and adds to the squared fills."""
+    takes = lambda b, most: [c for k in range(most + 1) for c in itertools.combinations(b, k)]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for s, t in itertools.permutations(range(len(bins)), 2):
+        if not (fill[s] < size and fill[t] < size):
+            continue
+        for out in takes(bins[s], 2)[1:]:
+            for back in takes(bins[t], 2 if len(out) == 1 else 1):
+                d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                if 0 < d <= size - fill[t] and (fill[s] - d) ** 2 + (fill[t] + d) ** 2 > fill[s] ** 2 + fill[t] ** 2:
+                    return out, back
+    return None
+
+
+def test_no_step_is_left():
+    rnd, searched = random.Random(11), 0
+    for trial in range(150):
+        size = rnd.choice([30, 100, 300])
+        low, high = [(1, size), (size // 4, size // 2 + 1), (1, size // 4), (size // 3, 2 * size // 3)][trial % 4]
+        lengths = [rnd.randrange(low, high) for _ in range(rnd.randrange(2, 40))]
+        bins = pack(lengths, size)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(0 < sum(lengths[i] for i in b) <= size for b in bins)
+        if len(bins) > least_bins(lengths, size):
+            searched += 1
+            assert steps_left(lengths, bins, size) is None
+    assert searched > 20
+
+
+def test_bins_of_many_pieces_give_all_their_pairs():
+    # 60 different lengths in a bin: the last pair of them fills the other one.
+    lengths = [*range(1, 61), 1990 - 60 - 59]
+    search = Search(lengths, [list(range(60)), [60]], 1990)
+    assert search.step(1) >= 0 or search.step(0) >= 0
+    assert max(search.fill) == 1990
+
+
+def fewest(lengths, size):
+    """The least number of bins, by trying all places for every piece."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= lengths[k]:
+                place(k + 1, (*rooms[:j], rooms[j] - lengths[k], *rooms[j + 1 :]))
+        place(k + 1, (*rooms, size - lengths[k]))
+
+    place(0, ())
+    return best
+
+
+def test_against_exhaustive_packing():
+    rnd, same, trials = random.Random(7), 0, 300
+    for _ in range(trials):
+        size = rnd.choice([12, 50, 100])
+        lengths = [rnd.randrange(1, size) for _ in range(rnd.randrange(1, 9))]
+        best = fewest(lengths, size)
+        got = len(pack(lengths, size))
+        assert least_bins(lengths, size) <= best <= got <= best + 1
+        same += got == best
+    assert same >= 0.99 * trials
