@@ -78,17 +78,19 @@ WITH texts AS (
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY value) AS upto,
          sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
-), q AS (
-  SELECT level, lang, source, metric, max(total) AS total, min(value) FILTER (100 * upto >= 25 * total) AS q25,
-         min(value) FILTER (100 * upto >= 50 * total) AS q50, min(value) FILTER (100 * upto >= 75 * total) AS q75
-  FROM ranked GROUP BY level, lang, source, metric
 ), room AS (
-  SELECT * FROM (VALUES ('symbols', 50, false), ('repeats', 300, false), ('dup_lines', 350, false), ('word_length', 150, true))
-  AS t(metric, least, below)
+  SELECT * FROM (VALUES ('symbols', 90, 4, false), ('repeats', 98, 2, false), ('dup_lines', 98, 2, false), ('word_length', 90, 5, true))
+  AS t(metric, percent, times, below)
+), q AS (
+  SELECT level, lang, source, metric, max(total) AS total, min(value) FILTER (100 * upto >= 50 * total) AS q50,
+         min(value) FILTER (100 * upto >= percent * total) AS tail
+  FROM ranked JOIN room USING (metric) GROUP BY level, lang, source, metric
+), reach AS (
+  SELECT q.*, below, times * (tail + CAST(pow(2, greatest(0, length(bin(tail)) - 5)) AS BIGINT) - q50) AS reach
+  FROM q JOIN room USING (metric)
 ), verdicts AS (
-  SELECT m.k, bool_and(v <= q50 + greatest(4 * (q75 - q25), least)
-                       AND (NOT below OR v >= q50 - greatest(4 * (q75 - q25), least))) AS inside
-  FROM metrics m JOIN room USING (metric) JOIN q ON q.metric = m.metric AND (
+  SELECT m.k, bool_and(v <= q50 + reach AND (NOT below OR v >= q50 - reach)) AS inside
+  FROM metrics m JOIN reach q ON q.metric = m.metric AND (
     (q.level = 0 AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source) OR
     (q.level = 1 AND q.lang IS NOT DISTINCT FROM m.lang) OR q.level = 3)
   WHERE q.level = (

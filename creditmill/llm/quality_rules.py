@@ -5,7 +5,9 @@ table of counts per bucket of a metric, sixteen buckets to every power of two: s
 adding counts, in any order and over any number of tasks, and a quantile is within a sixteenth
 of the true one. Thresholds are read from the sketch of a document's language and source; where
 that has too few documents, from the merged sketch of the language; where that is small too,
-from that of all. Documents join their thresholds and those outside them are rejected.
+from that of all. A threshold is the median and so many times the way from there to the end of
+the bucket of an upper quantile: the sketch alone decides, no constant stands in for a spread.
+Documents join their thresholds and those outside them are rejected.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is
 a group like any other; ties and copies of rows count one by one; rows without an id are judged
@@ -30,16 +32,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _U = np.uint64
 
-#: Metric -> its value from the counts, how far from the median a document may always be, and
-#: whether values below the median count too.
+#: Metric -> its value from the counts, the upper quantile (in percent) whose distance from the median is
+#: the group's spread, how many spreads a document may be from the median, and whether values below count too.
 METRICS = {
-    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 50, False),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 300, False),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 350, False),
-    "word_length": ("100 * word_chars div nullif(n_words, 0)", 150, True),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 90, 4, False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 98, 2, False),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 98, 2, False),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", 90, 5, True),
 }
-#: Spreads (third quartile less first) a document may be from the median; documents a sketch needs.
-SPREADS, LEAST = 4, 100
+#: Documents that a sketch needs.
+LEAST = 100
 
 
 def _repeats(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,17 +115,20 @@ def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"
     return (F.col(n_words) < 50) | (100 * F.col(n_repeat_words) > 50 * F.col(n_words))
 
 
+def width(value: Column) -> Column:
+    """How wide a value's bucket is: what its bits after the first five can tell apart."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(value)) - 5)).cast("long")
+
+
 def bucket(value: Column) -> Column:
     """The lower end of a value's bucket: its five leading bits."""
-    spare = F.greatest(F.lit(0), F.length(F.bin(value)) - 5)
-    step = F.pow(F.lit(2), spare).cast("long")
-    return value - value % step
+    return value - value % width(value)
 
 
 def sketches(counts: DataFrame) -> DataFrame:
     """One sketch for every language, source and metric: ``lang, source, metric, value, n``."""
     good = counts.where(~base_failed())
-    entries = [F.struct(F.lit(m).alias("metric"), bucket(F.expr(rule)).alias("value")) for m, (rule, _, _) in METRICS.items()]
+    entries = [F.struct(F.lit(m).alias("metric"), bucket(F.expr(rule)).alias("value")) for m, (rule, *_) in METRICS.items()]
     rows = good.select("lang", "source", F.explode(F.array(*entries)).alias("e"))
     return rows.groupBy("lang", "source", F.col("e.metric").alias("metric"), F.col("e.value").alias("value")).agg(
         F.count(F.lit(1)).alias("n")
@@ -136,11 +141,12 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """``total, q25, q50, q75`` of every sketch."""
+    """``total, q50`` of every sketch, and the upper quantile ``tail`` that its metric's spread is taken from."""
     order = Window.partitionBy(*keys, "metric").orderBy("value")
     ranked = sketch.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "metric")))
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("value"))).alias(f"q{p}")
-    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(25), at(50), at(75))
+    percent = F.element_at(F.create_map(*[F.lit(x) for m, (_, p, *_) in METRICS.items() for x in (m, p)]), F.col("metric"))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("value")))
+    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(F.lit(50)).alias("q50"), at(percent).alias("tail"))
 
 
 def thresholds(counts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -149,7 +155,7 @@ def thresholds(counts: DataFrame, least: int = LEAST) -> DataFrame:
     by_lang, by_all = merged(own, "lang"), merged(own)
     # Stored: a few rows for each group, whose size lets Spark choose how to join them.
     levels = [
-        stored(quantiles(s, *k)).select(*[F.col(c).alias(f"{c}_{i}") for c in (*k, "metric", "total", "q25", "q50", "q75")])
+        stored(quantiles(s, *k)).select(*[F.col(c).alias(f"{c}_{i}") for c in (*k, "metric", "total", "q50", "tail")])
         for i, (s, k) in enumerate([(own, ("lang", "source")), (by_lang, ("lang",)), (by_all, ())])
     ]
     pairs = counts.select("lang", "source").distinct()
@@ -160,11 +166,10 @@ def thresholds(counts: DataFrame, least: int = LEAST) -> DataFrame:
             on = on & F.col(k).eqNullSafe(F.col(f"{k}_{i}"))
         named = named.join(levels[i], on, "left")
     pick = lambda q: F.when(F.col("total_0") >= least, F.col(f"{q}_0")).when(F.col("total_1") >= least, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
-    chosen = named.select("lang", "source", "metric", *[pick(q).alias(q) for q in ("q25", "q50", "q75")])
-    room = F.col("q75") - F.col("q25")
+    chosen = named.select("lang", "source", "metric", *[pick(q).alias(q) for q in ("q50", "tail")])
     columns = []
-    for m, (_, floor, below) in METRICS.items():
-        reach = F.greatest(SPREADS * room, F.lit(floor))
+    for m, (_, _, times, below) in METRICS.items():
+        reach = times * (F.col("tail") + width(F.col("tail")) - F.col("q50"))
         only = F.col("metric") == m
         columns.append(F.max(F.when(only, F.col("q50") + reach)).alias(f"{m}_high"))
         columns.append(F.max(F.when(only, F.col("q50") - reach if below else F.lit(0))).alias(f"{m}_low"))
@@ -176,7 +181,7 @@ def _with_verdicts(counts: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
     same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
     inside = F.lit(True)
-    for m, (rule, _, _) in METRICS.items():
+    for m, (rule, *_) in METRICS.items():
         inside = inside & F.expr(rule).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
     kept = ~base_failed() & F.coalesce(inside, F.lit(False))
     return counts.join(limits, same, "left").select(*counts.columns, base_failed().alias("base_failed"), kept.alias("kept"))

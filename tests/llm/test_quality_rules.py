@@ -82,3 +82,15 @@ def test_filter_measures_once_and_keeps_columns_of_any_name(spark):
     assert kept.columns == docs.columns
     assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
     assert kept.count() == judged(docs).where("kept").count()
+
+
+def test_thresholds_are_quantiles_of_the_sketch(spark):
+    # 200 documents: 94 % have no symbol, 6 % have 250 per thousand; repeats grow from 0 to 398 per thousand.
+    rows = [("en", "a", 500, 2600, 125 if i >= 188 else 0, 0, i, 10) for i in range(200)]
+    rows += [("en", "b", 500, 2600, 50 + i % 50, 0, 0, 10) for i in range(200)]
+    counts = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    limits = {r.source: r for r in thresholds(counts).collect()}
+    assert limits["a"].symbols_high == 4  # four buckets of one: 90 in 100 have none
+    assert limits["b"].symbols_high == 144 + 4 * (184 + 8 - 144)  # median 148, ninth decile 188, in their buckets
+    assert limits["a"].repeats_high == 192 + 2 * (384 + 16 - 192) and limits["b"].repeats_high == 2
+    assert limits["a"].word_length_high - 512 == 512 - limits["a"].word_length_low == 5 * 32
