@@ -2,10 +2,13 @@
 
 Unit vectors are turned to their principal axes and sorted by the grid cells of the leading
 ones, cells as wide as the largest distance of a link. Ranges of this sequence are cut into
-blocks; blocks that may hold a link (their first cells are neighbours and their boxes are not
-too far apart) are joined by halving both intervals again and again, leaving out those whose
-boxes are provably too distant, until small ones are compared vector by vector in double
-precision. Axes and boxes only decide what is skipped: no link is lost.
+blocks of bounded volume. Which blocks may hold a link (their first cells are neighbours and their
+boxes are not too far apart) is found from their boxes alone; then every such pair of blocks is a
+task, so that B blocks make at most B (B + 1) / 2 tasks and a block is sent B times at most, not
+once for each pair of small blocks. A task halves both intervals again and again, leaving out those
+whose boxes are provably too distant. Small ones are compared vector by vector: on the leading axes first,
+where most pairs are too far apart already, and what is left in double precision on all components.
+Axes and boxes only decide what is skipped: no link is lost.
 
 Equal vectors are one entry with a count. Of the links inside a pair of blocks only their
 number per vector and a spanning forest leave the task.
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 
 from creditmill.llm.common import components, stored
 
-#: Leading axes whose cells order the vectors; vectors of a block, and of an interval that is not halved.
-AXES, BLOCK, LEAF = 6, 4096, 512
+#: Leading axes whose cells order the vectors; vectors of a block at most, about, and of an interval that is not halved.
+AXES, BLOCK, LEAF = 6, 32_768, 512
+#: Bytes of a block's vectors, about; blocks of tables smaller than that many full ones; blocks that meet under a key.
+VOLUME, FEWEST, KEYED = 16 << 20, 8, 512
+#: Axes on which vectors are compared first, in single precision, and more than that can be wrong by.
+LEAD, SLACK = 24, 1e-5
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -66,8 +73,13 @@ def principal_axes(entries: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1].copy()
 
 
-def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, count: int) -> DataFrame:
-    """Blocks of the sequence: ``block, dim, low_cell, high_cell, low, high, ids, counts, vectors``."""
+def block_rows(count: int, dim: int) -> int:
+    """Vectors of a block: a share of a small table, a bounded volume of a large one."""
+    return min(BLOCK, max(LEAF, VOLUME // (8 * dim)), max(LEAF, -(-count // FEWEST)))
+
+
+def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, count: int, size: int) -> DataFrame:
+    """Blocks of the sequence: ``dim, low_cell, high_cell, low, high, ids, counts, vectors``."""
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +99,7 @@ def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, count:
     kinds = ", ".join(f"{c} int" for c in order)
     placed = entries.select("id", "n", "embedding").mapInArrow(cells, f"id long, n long, embedding array<double>, {kinds}")
     # The id ends the order, so that equal cells are split as well.
-    sequence = placed.repartitionByRange(max(1, -(-count // BLOCK)), *order, "id").sortWithinPartitions(*order, "id")
+    sequence = placed.repartitionByRange(max(1, -(-count // size)), *order, "id").sortWithinPartitions(*order, "id")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -99,7 +111,7 @@ def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, count:
             cell = rows.column("c0").to_numpy()
             ids, counts = rows.column("id").to_numpy(), rows.column("n").to_numpy()
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([int(ids[0])], pa.int64()), "dim": pa.array([dim], pa.int32()),
+                "dim": pa.array([dim], pa.int32()),
                 "low_cell": pa.array([int(cell.min())], pa.int32()), "high_cell": pa.array([int(cell.max())], pa.int32()),
                 "low": [turned.min(0).tolist()], "high": [turned.max(0).tolist()],
                 "ids": [ids.tobytes()], "counts": [counts.tobytes()], "vectors": [x.tobytes()],
@@ -108,18 +120,19 @@ def _blocks(entries: DataFrame, axes: dict[int, np.ndarray], eps: float, count:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            while sum(b.num_rows for b in held) >= 2 * BLOCK:
+            while sum(b.num_rows for b in held) >= 2 * size:
                 rows = pa.Table.from_batches(held)
-                for dim_rows in _same_dim(rows.slice(0, BLOCK)):
+                for dim_rows in _same_dim(rows.slice(0, size)):
                     yield block(dim_rows)
-                held = rows.slice(BLOCK).to_batches()
-        if held:
+                held = rows.slice(size).to_batches()
+        if held:  # fewer than two blocks' rows, in even shares
             rows = pa.Table.from_batches(held)
-            for at in range(0, rows.num_rows, BLOCK):
-                for dim_rows in _same_dim(rows.slice(at, BLOCK)):
+            share = -(-rows.num_rows // max(1, round(rows.num_rows / size)))
+            for at in range(0, rows.num_rows, share):
+                for dim_rows in _same_dim(rows.slice(at, share)):
                     yield block(dim_rows)
 
-    kinds = "block long, dim int, low_cell int, high_cell int, low array<double>, high array<double>, ids binary, counts binary, vectors binary"
+    kinds = "dim int, low_cell int, high_cell int, low array<double>, high array<double>, ids binary, counts binary, vectors binary"
     return sequence.mapInArrow(cut, kinds)
 
 
@@ -131,21 +144,27 @@ def _same_dim(rows: pa.Table) -> Iterator[pa.Table]:
 
 
 def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """Pairs of blocks ``a <= b`` that may hold a link. First cells meet in an equi-join on neighbouring cells."""
+    """Pairs of blocks ``a <= b`` that may hold a link, from their boxes.
+
+    First cells meet in an equi-join on neighbouring cells. Most blocks may share a first cell, so that
+    blocks are dealt to shares of some ``KEYED`` and a key is a cell, a share of the left and one of the right.
+    """
     meta = blocks.select("block", "dim", "low_cell", "high_cell", "low", "high")
-    left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn(
-        "cell", F.explode(F.sequence(F.col("l_low_cell") - 1, F.col("l_high_cell") + 1))
-    )
-    right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn(
-        "cell", F.explode(F.sequence("r_low_cell", "r_high_cell"))
-    )
+    shares = max(1, -(-meta.count() // KEYED))
+    share, every = F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    left = meta.withColumn("l_share", share).select(
+        *[F.col(c).alias(f"l_{c}") for c in meta.columns], "l_share", F.explode(F.sequence(F.col("low_cell") - 1, F.col("high_cell") + 1)).alias("cell")
+    ).withColumn("r_share", every)
+    right = meta.withColumn("r_share", share).select(
+        *[F.col(c).alias(f"r_{c}") for c in meta.columns], "r_share", F.explode(F.sequence("low_cell", "high_cell")).alias("cell")
+    ).withColumn("l_share", every)
     first = F.col("cell") == F.greatest(F.col("l_low_cell") - 1, F.col("r_low_cell"))  # a pair meets once
     sides = F.zip_with(
         F.zip_with("l_low", "r_high", lambda x, y: x - y), F.zip_with("r_low", "l_high", lambda x, y: x - y),
         lambda x, y: F.greatest(x, y, F.lit(0.0)),
     )
     gap = F.aggregate(sides, F.lit(0.0), lambda s, d: s + d * d)
-    met = left.join(right, (F.col("l_dim") == F.col("r_dim")) & (left["cell"] == right["cell"])).drop(right["cell"])
+    met = left.withColumn("dim", F.col("l_dim")).join(right.withColumn("dim", F.col("r_dim")), ["dim", "cell", "l_share", "r_share"])
     near = met.where((F.col("l_block") <= F.col("r_block")) & first & (gap <= eps * eps))
     return near.select(F.col("l_block").alias("a"), F.col("r_block").alias("b"))
 
@@ -153,10 +172,15 @@ def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
 class IntervalJoin:
     """The recursion over two intervals of the sequence."""
 
-    def __init__(self, x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray, cosine: float, eps: float, same: bool):
+    def __init__(self, x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray, cosine: float, eps: float, same: bool, take):
+        """``take(a, c, hits)`` gets the links of the vectors from ``a`` and from ``c`` on."""
         self.x, self.tx, self.y, self.ty = x, tx, y, ty
-        self.cosine, self.eps2, self.same = cosine, eps * eps, same
-        self.found: list[tuple[int, int, np.ndarray]] = []
+        self.cosine, self.eps2, self.same, self.take = cosine, eps * eps, same, take
+        # Rows whose product is the squared distance on the leading axes.
+        p, q = tx[:, :LEAD], ty[:, :LEAD]
+        norm = lambda m: (m * m).sum(1, keepdims=True)
+        self.p = np.hstack([-2 * p, norm(p), np.ones((len(p), 1))]).astype(np.float32)
+        self.q = np.hstack([q, np.ones((len(q), 1)), norm(q)]).astype(np.float32)
 
     def _distant(self, a: int, b: int, c: int, d: int) -> bool:
         p, q = self.tx[a:b], self.ty[c:d]
@@ -169,11 +193,17 @@ class IntervalJoin:
         if b - a <= LEAF and d - c <= LEAF:
             if self.same and d <= a:
                 return
-            hits = self.x[a:b] @ self.y[c:d].T >= self.cosine
+            apart = self.p[a:b] @ self.q[c:d].T
+            if apart.min() > self.eps2 + SLACK:
+                return
+            near = apart <= self.eps2 + SLACK
+            rows, cols = near.any(1), near.any(0)
+            hits = np.zeros(near.shape, bool)
+            hits[np.ix_(rows, cols)] = self.x[a:b][rows] @ self.y[c:d][cols].T >= self.cosine
             if self.same:  # each pair once
                 hits &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
             if hits.any():
-                self.found.append((a, c, hits))
+                self.take(a, c, hits)
             return
         if b - a >= d - c:
             middle = (a + b) // 2
@@ -200,46 +230,41 @@ def _labels(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _join_pairs(axes: dict[int, np.ndarray], cosine: float, eps: float):
     """For each pair of blocks: ``id, links, other`` for vectors with links (``other``: a vector of their component)."""
 
-    def side(row: dict, s: str) -> tuple:
-        x = _unit(np.frombuffer(row[f"{s}_vectors"], np.float64).reshape(-1, row["dim"]))
-        turned = x @ axes[row["dim"]] if row["dim"] in axes else x
-        return np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_counts"], np.int64), x, turned
-
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                same = row["a"] == row["b"]
-                ids, counts, x, tx = side(row, "a")
-                jds, jcounts, y, ty = (ids, counts, x, tx) if same else side(row, "b")
-                search = IntervalJoin(x, tx, y, ty, cosine, eps, same)
-                search.run(0, len(ids), 0, len(jds))
-                n = len(ids)
-                place = (lambda c: c) if same else (lambda c, n=n: c + n)
-                every = ids if same else np.concatenate([ids, jds])
-                links, up = np.zeros(len(every), np.int64), np.arange(len(every))
-
-                def root(i: int, up=up) -> int:
-                    while up[i] != i:
-                        up[i] = up[up[i]]
-                        i = up[i]
-                    return i
-
-                for a, c, hits in search.found:
-                    p, q = hits.shape
-                    links[a : a + p] += hits @ jcounts[c : c + q]
-                    links[place(c) : place(c) + q] += hits.T @ counts[a : a + p]
-                    rows, cols = _labels(hits)
-                    whole = np.concatenate([np.arange(a, a + p), np.arange(place(c), place(c) + q)])
-                    label = np.concatenate([rows, cols])
-                    for i in np.flatnonzero(label != np.arange(p + q)):
-                        u, v = sorted((root(whole[i]), root(whole[label[i]])))
-                        up[v] = u
-                linked = np.flatnonzero(links)
-                yield pa.RecordBatch.from_pydict({
-                    "id": pa.array(every[linked]), "links": pa.array(links[linked]),
-                    "other": pa.array(every[[root(i) for i in linked]], pa.int64()),
-                })
+    def side(table: pa.Table, k: int) -> tuple:
+        dim = table.column("dim")[k].as_py()
+        cell = lambda name, kind: np.frombuffer(table.column(name)[k].as_buffer(), kind)
+        x = _unit(cell("vectors", np.float64).reshape(-1, dim))
+        return cell("ids", np.int64), cell("counts", np.int64), x, x @ axes[dim] if dim in axes else x
+
+    def join(table: pa.Table) -> pa.Table:
+        same = table.num_rows == 1
+        ids, counts, x, tx = side(table, 0)
+        jds, jcounts, y, ty = (ids, counts, x, tx) if same else side(table, 1)
+        shift = 0 if same else len(ids)
+        every = ids if same else np.concatenate([ids, jds])
+        links, up = np.zeros(len(every), np.int64), np.arange(len(every))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def take(a: int, c: int, hits: np.ndarray) -> None:
+            p, q = hits.shape
+            links[a : a + p] += hits @ jcounts[c : c + q]
+            links[shift + c : shift + c + q] += hits.T @ counts[a : a + p]
+            rows, cols = _labels(hits)
+            whole = np.concatenate([np.arange(a, a + p), np.arange(shift + c, shift + c + q)])
+            label = np.concatenate([rows, cols])
+            for i in np.flatnonzero(label != np.arange(p + q)):
+                u, v = sorted((root(whole[i]), root(whole[label[i]])))
+                up[v] = u
+
+        IntervalJoin(x, tx, y, ty, cosine, eps, same, take).run(0, len(ids), 0, len(jds))
+        linked = np.flatnonzero(links)
+        other = every[[root(i) for i in linked]]
+        return pa.table({"id": pa.array(every[linked]), "links": pa.array(links[linked]), "other": pa.array(other, pa.int64())})
 
     return join
 
@@ -256,12 +281,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = sizes[0]["dim"]
     axes = {dim: principal_axes(entries, dim)}
-    blocks = stored(_blocks(entries, axes, eps, entries.count()))
-    data = blocks.select("block", "dim", "ids", "counts", "vectors")
-    full = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("ids", "counts", "vectors")]
+    count, longest = entries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    numbered = _blocks(entries, axes, eps, count, block_rows(count, longest)).withColumn("block", F.monotonically_increasing_id())
+    blocks = stored(numbered)
     pairs = stored(_pairs(blocks, eps))
-    paired = pairs.join(data.select(F.col("block").alias("a"), "dim", *full("a")), "a").join(data.select(F.col("block").alias("b"), *full("b")), "b")
-    found = stored(paired.mapInArrow(_join_pairs(axes, cosine, eps), "id long, links long, other long"))
+    both = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    data = blocks.select("block", "dim", "ids", "counts", "vectors")
+    met = data.join(both, "block").drop("block")
+    found = stored(met.groupBy("a", "b").applyInArrow(_join_pairs(axes, cosine, eps), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = entries.select("h1", "h2", "id", "n").join(links, "id", "left").join(tied, "id", "left")

@@ -51,6 +51,34 @@ def test_against_all_pairs(spark, monkeypatch, rows, block, leaf):
     assert got == plain(rows)
 
 
+def test_blocks_that_meet_in_shares(spark, monkeypatch, rows):
+    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    monkeypatch.setattr(ego_join, "LEAF", 4)
+    monkeypatch.setattr(ego_join, "KEYED", 3)
+    seen = []
+    pairs = ego_join._pairs
+    monkeypatch.setattr(ego_join, "_pairs", lambda blocks, eps: seen.append((blocks, pairs(blocks, eps))) or seen[-1][1])
+    got = sorted(map(tuple, near_vectors(table(spark, rows)).collect()), key=repr)
+    assert got == plain(rows)
+    blocks, met = (df.toPandas() for df in seen[0])
+    assert len(blocks) > 9 and blocks.block.is_unique and not met.duplicated().any() and (met.a <= met.b).all()
+    # what is missing is provably distant
+    box = {r.block: (r.dim, np.array(r.low), np.array(r.high)) for r in blocks.itertuples()}
+    known = set(zip(met.a, met.b, strict=True))
+    eps = np.sqrt(2 - 2 * 0.95)
+    for a in box:
+        for b in box:
+            if a <= b and box[a][0] == box[b][0] and (a, b) not in known:
+                side = np.maximum(np.maximum(box[a][1] - box[b][2], box[b][1] - box[a][2]), 0)
+                assert (side @ side) > eps * eps
+    assert (blocks.ids.map(len) // 8 <= 1.5 * 16).all()
+
+
+def test_blocks_have_a_bounded_volume():
+    assert ego_join.block_rows(10**9, 64) * 64 * 8 <= ego_join.VOLUME and ego_join.block_rows(10**9, 4096) == ego_join.LEAF
+    assert ego_join.block_rows(80_000, 64) == 10_000 and ego_join.block_rows(10, 64) == ego_join.LEAF
+
+
 def test_nothing_to_join(spark):
     assert near_vectors(table(spark, [])).collect() == []
     assert [tuple(r) for r in near_vectors(table(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
