@@ -13,6 +13,7 @@ from pyarrow import fs
 from tokenizers import Tokenizer
 
 from creditmill.llm import bpe_lexicon, packing
+from creditmill.llm import tokens as token_ids
 from creditmill.llm.bpe_lexicon import Lexicon, compile_words, coder, decode_documents, encode_documents, round_trip, thinned, to_file
 from creditmill.llm.packing import Search, best_fit, least_bins, pack, packed_documents, pieces_of
 from creditmill.llm.token_store import EliasFano, Store, stored_tokens, write_store
@@ -268,3 +269,18 @@ def test_against_exhaustive_packing():
         assert least_bins(lengths, size) <= best <= got <= best + 1
         same += got == best
     assert same >= 0.99 * trials
+
+
+@pytest.mark.parametrize("run", [0, 3, 5_000])
+def test_whole_texts_and_words_give_the_same_ids(library, monkeypatch, run):
+    monkeypatch.setattr(token_ids, "RUN", run)
+    rnd = random.Random(run)
+    letters = "  \n\t\r\x0b\x1c\x85　 'stdmvl'ABz09é中!?_́‍\U0001f600"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(50))) for _ in range(2000)]
+    texts += ["", "<|endoftext|>", "x <|endoftext|> y", " " * 5001 + "a", "b" * 6000, "中" * 2000, "\n" * 5000 + " x"]
+    got = list(token_ids.encoder(PATH)(texts))
+    assert [g.tolist() for g in got] == [ids_of(library, t) for t in texts]
+
+
+def test_longest_run():
+    assert [token_ids.longest_run(x) for x in (b"", b"a", b"ab  c", b"a   ", b" \n\tab", b"abcd")] == [0, 1, 2, 3, 3, 4]
