@@ -7,10 +7,11 @@ to reach the threshold is done), a round by rare shingles hangs together items t
 of their rarest (the prefix filter). Inside a group every query merges its short inverted lists
 with a heap and probes the long ones by binary search; items that reach the required overlap
 link. Groups too large for a task are searched in blocks, after pivots have tied together most
-of their members.
+of their members: a query goes to the blocks that hold a shingle of its prefix, and the queries of
+a block in batches that are no larger than a block.
 
-Shingles are 64-bit hashes. Items are told apart by two 64-bit hashes of their sets; should the
-first collide, the join stops with an error instead of merging different texts.
+Shingles are 64-bit hashes. Items are told apart by two 64-bit hashes of their sets and named by
+the first; sets that share the first with another one get names of their own.
 
 Defined cases: texts without words have no shingles and link with nothing; a null text is
 empty; copies of a row link with each other; a row without an id links with nothing and has no
@@ -26,7 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditmill.llm.common import components, slices, stored
@@ -37,6 +38,8 @@ _U = np.uint64
 GROUP_SHINGLES = 60_000
 #: Rounds of pivots over groups larger than that, at most.
 PIVOTS = 6
+#: Sets with a name of their own, at most; so many are to be expected of two million million different sets.
+RENAMED = 100_000
 
 
 def _set_hashes(tokens: np.ndarray) -> tuple[int, int]:
@@ -113,8 +116,8 @@ def _read(table: pa.Table) -> tuple[np.ndarray, ...]:
     return join("items", np.int64), wide("sizes"), wide("counts"), keys, join("ranks", np.uint8)
 
 
-def _dealt_shingles(docs: DataFrame, words: int, parts: int) -> DataFrame:
-    """Every item's shingles, dealt by their upper bits; a task sends a set once."""
+def _dealt_shingles(docs: DataFrame, words: int, parts: int, names: dict[tuple[int, int], int]) -> DataFrame:
+    """Every item's shingles, dealt by their upper bits; a task sends a set once. ``names``: those that differ from the first hash."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -130,7 +133,8 @@ def _dealt_shingles(docs: DataFrame, words: int, parts: int) -> DataFrame:
 
         for batch in batches:
             for row, tokens in shingle_sets(batch.column("text"), words):
-                item = _set_hashes(tokens)[0]
+                hashes = _set_hashes(tokens)
+                item = names.get(hashes, hashes[0])
                 if not len(tokens) or item in seen or batch.column("doc_id")[row].as_py() is None:
                     continue
                 seen.add(item)
@@ -385,8 +389,43 @@ def _with_pivot(percent: int):
     return compare
 
 
+def _keys(sets: DataFrame, name: str, first: Column) -> DataFrame:
+    """``component, key`` and the column ``name`` for the ``first`` so many shingles of every set, repeats left in."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                ends = zip(own.column("tokens").to_pylist(), own.column("first").to_pylist(), strict=True)
+                keys = [np.frombuffer(t, np.int64, e) for t, e in ends]
+                times = [len(k) for k in keys]
+                wide = [pa.array(np.repeat(own.column(c).to_numpy(), times)) for c in ("component", name)]
+                yield pa.RecordBatch.from_arrays([*wide, pa.array(np.concatenate(keys))], names=["component", name, "key"])
+
+    read = sets.select("component", F.col(name).cast("long").alias(name), first.cast("long").alias("first"), "tokens")
+    return read.mapInArrow(spread, f"component long, {name} long, key long")
+
+
+def _in_blocks(held: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """Links of ``queries`` with the members ``held`` in blocks.
+
+    A partner holds a shingle of the query's prefix, so a query goes only to blocks that hold one. The queries of
+    a block are dealt to batches by volume, and the block is sent once for each.
+    """
+    places = _keys(held, "block", F.octet_length("tokens") / 8).distinct()
+    meets = _keys(queries, "item", F.col("prefix")).join(places, ["component", "key"]).select("component", "block", "item").distinct()
+    asked = stored(queries.select("component", "item", "n", "tokens").join(stored(meets), ["component", "item"]))
+    volume = asked.groupBy("component", "block").agg(F.sum(F.octet_length("tokens") / 8).alias("volume"))
+    batches = stored(volume.select("component", "block", F.ceil(F.col("volume") / GROUP_SHINGLES).alias("batches")))
+    row = ["component", "block", "batch", "item", "n", "tokens", "query", "done"]
+    dealt = asked.join(batches, ["component", "block"]).withColumn("batch", F.pmod(F.xxhash64(F.lit("batch"), "item"), F.col("batches")))
+    dealt = dealt.withColumns({"query": F.lit(True), "done": F.lit(False)}).select(row)
+    sent = held.join(batches, ["component", "block"]).withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
+    sent = sent.withColumn("query", F.lit(False)).select(row)
+    return sent.union(dealt).groupBy("component", "block", "batch").applyInArrow(_search_blocks(percent), _EDGES)
+
+
 def _large_groups(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links that span the components of groups too large for a task. ``members``: component, blocks, item, n, tokens."""
+    """Links that span the components of groups too large for a task. ``members``: component, blocks, item, n, prefix, tokens."""
     state = members.select("component", "item", F.lit(False).alias("done"), F.lit(False).alias("asked"))
     edges = []
     for _ in range(PIVOTS):
@@ -412,28 +451,27 @@ def _large_groups(members: DataFrame, percent: int, parts: int) -> DataFrame:
         state = stored(moved.union(state.join(seen.select("component").distinct(), "component", "left_anti")))
         if not rest or state.where("not done and not asked").isEmpty():
             break
-    queries = members.join(state.where("not done and not asked").select("component", "item"), ["component", "item"])
-    block = F.pmod(F.xxhash64(F.lit("block"), "item"), F.col("blocks")).cast("int")
-    known = members.join(state.select("component", "item", "done"), ["component", "item"])
-    held = known.select("component", block.alias("block"), "item", "n", "tokens", F.lit(False).alias("query"), "done")
-    asked = queries.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"),
-                           "item", "n", "tokens", F.lit(True).alias("query"), F.lit(False).alias("done"))
-    edges.append(held.union(asked).groupBy("component", "block").applyInArrow(_search_blocks(percent), _EDGES))
+    queries = stored(members.join(state.where("not done and not asked").select("component", "item"), ["component", "item"]))
+    if not queries.isEmpty():
+        open_ = members.join(state.select("component", "item", "done"), ["component", "item"])
+        block = F.pmod(F.xxhash64(F.lit("block"), "item"), F.col("blocks"))
+        held = open_.join(queries.select("component").distinct(), "component", "left_semi").withColumn("block", block)
+        edges.append(_in_blocks(stored(held), queries, percent))
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
     return out
 
 
-def _links(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, words: int, percent: int, names: dict[tuple[int, int], int]) -> DataFrame:
     """Edges ``a, b`` between items, enough to span every component."""
     parts = slices(docs.sparkSession)
-    dealt = _dealt_shingles(docs, words, parts).groupBy("part")
+    dealt = _dealt_shingles(docs, words, parts, names).groupBy("part")
     shared = dealt.applyInArrow(_count_occurrences(parts), _BLOCK)
     sets = stored(shared.groupBy("part").applyInArrow(_survivors(percent), "item long, n int, prefix int, tokens binary"))
     tied = _dealt_prefixes(sets, parts).groupBy("part").applyInArrow(_tie, _EDGES)
     groups = stored(components(tied).withColumnRenamed("id", "item"))
-    members = sets.drop("prefix").join(groups, "item")
+    members = sets.join(groups, "item")
     volume = members.groupBy("component").agg(F.sum(F.octet_length("tokens") / 8).alias("volume"))
     blocks = volume.select("component", F.ceil(F.col("volume") / GROUP_SHINGLES).alias("blocks"))
     members = stored(members.join(blocks, "component"))
@@ -443,15 +481,36 @@ def _links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return links if large.isEmpty() else links.union(_large_groups(large, percent, parts))
 
 
+def _own_names(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``item, check, name`` of the sets whose first hash another set has too; that of the least second hash keeps it."""
+    shared = classes.where("check <> other").select("item", F.col("check").alias("keeps"))
+    late = stored(named.select("item", "check").distinct().join(shared, "item").where("check <> keeps").drop("keeps"))
+    turn = 0
+    while True:
+        given = stored(late.withColumn("name", F.xxhash64("item", "check", F.lit(turn))))
+        taken = given.join(classes.select(F.col("item").alias("name")), "name", "left_semi")
+        if taken.isEmpty() and given.groupBy("name").count().where("count > 1").isEmpty():
+            return given
+        turn += 1
+
+
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row's item; every item and the smallest id that has it; the ``component`` of items that link with others."""
     items = stored(_items(docs, words))
     named = items.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("item").agg(F.min("doc_id").alias("first"), (F.min("check") != F.max("check")).alias("clash"))
-    classes = stored(classes)
-    if not classes.where("clash").isEmpty():
-        raise ValueError("two different shingle sets share a hash: run the join on parts of the table")
-    return items, classes, stored(components(_links(docs, words, percent)).withColumnRenamed("id", "item"))
+    least = [F.min("doc_id").alias("first"), F.min("check").alias("check"), F.max("check").alias("other")]
+    classes = stored(named.groupBy("item").agg(*least))
+    names: dict[tuple[int, int], int] = {}
+    if not classes.where("check <> other").isEmpty():
+        given = _own_names(named, classes)
+        rows = given.limit(RENAMED + 1).collect()
+        if len(rows) > RENAMED:
+            raise ValueError(f"more than {RENAMED} shingle sets share their first hash with another one")
+        names = {(r["item"], r["check"]): r["name"] for r in rows}
+        items = items.join(given, ["item", "check"], "left")
+        items = stored(items.select("doc_id", "version", "n", F.coalesce("name", "item").alias("item"), "check"))
+        classes = stored(items.where("n > 0 and doc_id is not null").groupBy("item").agg(*least))
+    return items, classes, stored(components(_links(docs, words, percent, names)).withColumnRenamed("id", "item"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

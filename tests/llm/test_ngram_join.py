@@ -143,3 +143,36 @@ def test_columns_named_like_those_of_the_join(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     twice = keep_one_of_each(docs.where("doc_id = 2"))
     assert [r.doc_id for r in twice.collect()] == [2]
+
+
+@pytest.mark.parametrize("group", [60_000, 1000])
+def test_sets_that_share_their_first_hash_stay_apart(spark, monkeypatch, family, group):
+    whole = ngram_join._set_hashes
+    monkeypatch.setattr(ngram_join, "_set_hashes", lambda tokens: (whole(tokens)[0] % 7, whole(tokens)[1]))
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", group)
+    rows = family + [(i, t) for i, t in odd_texts() if i is None or i >= 1000]
+    rows += [(900 + i, t) for i, (_, t) in enumerate(family[:5])]
+    assert ngram_join._items(documents(spark, rows), 5).select("item").distinct().count() == 7
+    assert found(documents(spark, rows)) == expected(rows)
+    kept = sorted(r.doc_id for r in keep_one_of_each(documents(spark, family)).collect())
+    assert kept == sorted(i for i, _, c in expected(family) if i == c)
+
+
+def test_blocks_meet_their_queries_in_batches(spark, monkeypatch):
+    """A long chain of near copies is a large group in which a pivot ties few members."""
+    batches, inner = [], ngram_join._in_blocks
+
+    def spied(held, queries, percent):
+        batches.append((held.select("block").distinct().count(), queries.count()))
+        return inner(held, queries, percent)
+
+    monkeypatch.setattr(ngram_join, "_in_blocks", spied)
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", 400)
+    base, rows = words(100, 7), []
+    for i in range(70):
+        rows.append((i, " ".join(base)))
+        base = [*base[:i], f"step{i}", *base[i + 1 :]]
+    rows += [(100 + i, " ".join(words(60, 300 + i) + base[:40])) for i in range(20)]
+    assert found(documents(spark, rows)) == expected(rows)
+    (blocks, asked), = batches
+    assert blocks > 4 and asked * 96 > 4 * 400
