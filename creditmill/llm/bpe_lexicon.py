@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,12 @@ from pyspark.sql import functions as F
 
 from creditmill.llm.common import scratch_dir, stored
 from creditmill.llm.quality_rules import bucket
-from creditmill.llm.tokens import batches_of, splitter
+from creditmill.llm.shingles import chunks
 from creditmill.llm.vocabulary import Vocabulary
+from creditmill.llm.word_split import LONGEST, Words, added_pattern
 
-#: Words in the automaton; bytes of a word in it, at most; words a task's summary keeps.
-LEXICON, LONGEST, SUMMARY = 65_536, 32, 100_000
+#: Words in the automaton, of at most ``LONGEST`` bytes; words a task's summary keeps.
+LEXICON, SUMMARY = 65_536, 100_000
 #: Words outside the automaton that a task remembers.
 REMEMBERED = 200_000
 
@@ -124,13 +124,18 @@ class Lexicon:
             setattr(self, name, data[a:b])
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        """The rank of each word, -1 outside the lexicon: all words take a step at a time."""
-        rank = np.full(len(words), -1, np.int64)
+        """The rank of each word, -1 outside the lexicon."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.array([w[:LONGEST] for w in words], f"S{LONGEST}").view(np.uint8).reshape(-1, LONGEST)
+        return self.walk(text, lengths)
+
+    def walk(self, text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The same for words as rows of bytes: all words take a step at a time."""
+        rank = np.full(len(lengths), -1, np.int64)
         if not len(self.key):
             return rank
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
         live = np.flatnonzero((lengths > 0) & (lengths <= LONGEST))
-        text = np.array([words[i] for i in live.tolist()], f"S{LONGEST}").view(np.uint8).reshape(-1, LONGEST)
+        text = text[live]
         rows = np.arange(len(live))
         state, total = np.zeros(len(live), np.uint32), np.zeros(len(live), np.int64)
         for step in range(LONGEST):
@@ -151,33 +156,51 @@ class Lexicon:
         return rank
 
 
-def coder(path: str, file: str) -> tuple[Callable[[list[str | None]], Iterator[np.ndarray]], Vocabulary]:
+class Coder:
+    """Ids of texts: words in the lexicon by their ranks, others merged and remembered; ``vocabulary`` decodes."""
+
+    def __init__(self, path: str, file: str):
+        self.vocabulary, self.lexicon, self.added = Vocabulary(path), Lexicon(file), added_pattern(path)
+        self.own = {w.encode(): np.array([i], np.uint32).tobytes() for w, i in self.vocabulary.added.items()}
+        self.outside: dict[bytes, bytes] = {}
+
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts, strung together, and where each text's begin; some more; until all texts are done."""
+        texts.validate(full=True)
+        for _, data, offsets in chunks(texts):
+            words = Words(data, offsets, self.added)
+            place, number, rows = words.distinct()
+            begin, n, pool = self._ids(words, place, rows)
+            n, begin = n[number], begin[number]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            yield pool[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])], ends[words.bounds]
+
+    def _ids(self, words: Words, place: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words at some places, where the ids of each begin, their number, and all these ids."""
+        ranks = self.lexicon.walk(rows.view(np.uint8), words.size[place])
+        unseen = np.flatnonzero(ranks < 0)
+        asked = words.bytes_of(place[unseen])
+        if len(self.outside) > REMEMBERED or not self.outside:
+            self.outside = dict(self.own)
+        new = [w for w in asked if w not in self.outside]
+        self.outside.update(zip(new, self.vocabulary.merge(new), strict=True))
+        merged = [self.outside[w] for w in asked]
+        starts = self.lexicon.starts.astype(np.int64)
+        begin, n = starts[ranks], starts[np.minimum(ranks + 1, len(starts) - 1)] - starts[ranks]
+        n[unseen] = np.fromiter((len(m) // 4 for m in merged), np.int64, len(merged))
+        begin[unseen] = len(self.lexicon.ids) + np.cumsum(n[unseen]) - n[unseen]
+        return begin, n, np.concatenate([self.lexicon.ids, np.frombuffer(b"".join(merged), np.uint32)])
+
+
+def coder(path: str, file: str) -> tuple[Callable[[pa.Array | list[str | None]], Iterator[np.ndarray]], Vocabulary]:
     """A function from texts to arrays of ids, and the vocabulary, which decodes."""
-    vocabulary, lexicon, split = Vocabulary(path), Lexicon(file), splitter(path)
-    added = {w: np.array([i], np.uint32).tobytes() for w, i in vocabulary.added.items()}
-    ids = lexicon.ids.tobytes()
-    outside: dict[str, bytes] = {}
-
-    def encode(texts: list[str | None]) -> Iterator[np.ndarray]:
-        for some in batches_of(texts):
-            words = [split(t) for t in some]
-            distinct = list(set(chain.from_iterable(words)))
-            ranks = lexicon.ranks([w.encode() for w in distinct])
-            if len(outside) > REMEMBERED:
-                outside.clear()
-            unseen = [distinct[i] for i in np.flatnonzero(ranks < 0).tolist()]
-            new = [w for w in unseen if w not in outside]
-            outside.update(zip(new, vocabulary.merge([w.encode() for w in new]), strict=True))
-            outside.update(added)
-            hits = np.flatnonzero(ranks >= 0)
-            starts, ends = 4 * lexicon.starts[ranks[hits]], 4 * lexicon.starts[ranks[hits] + 1]
-            known = {w: outside[w] for w in unseen}
-            for i, a, b in zip(hits.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                known[distinct[i]] = ids[a:b]
-            for own in words:
-                yield np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32)
-
-    return encode, vocabulary
+    own = Coder(path, file)
+
+    def encode(texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        for ids, bounds in own.chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+    return encode, own.vocabulary
 
 
 # ---- over tables ----------------------------------------------------------------------------
@@ -199,17 +222,23 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = splitter(path), Counter()
+        added, counts = added_pattern(path), Counter()
         for batch in batches:
-            for some in batches_of(batch.column("text").to_pylist()):
-                counts.update(chain.from_iterable(map(split, some)))
+            batch.column("text").validate(full=True)
+            for _, data, offsets in chunks(batch.column("text")):
+                words = Words(data, offsets, added)
+                place, number, _ = words.distinct()
+                short = words.size[place] <= LONGEST
+                for word, n in zip(words.bytes_of(place[short]), np.bincount(number, minlength=len(place))[short].tolist(), strict=True):
+                    counts[word] += n
                 if len(counts) > 4 * SUMMARY:
                     counts = thinned(counts, SUMMARY)
         counts = thinned(counts, SUMMARY)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        words = pa.array(list(counts), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_pydict({"word": words, "n": pa.array(list(counts.values()), pa.int64())})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    total = stored(found.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONGEST))
+    total = stored(found.groupBy("word").agg(F.sum("n").alias("n")))
     # A sketch of the counts, sixteen buckets to a power of two, says from which count on the words are few enough.
     held, least = 0, None
     for row in total.groupBy(bucket(F.col("n")).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
@@ -243,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = coder(path, SparkFiles.get(lexicon))
         for batch in batches:
-            ids = pa.array(encode(batch.column("text").to_pylist()), pa.list_(pa.int32()))
+            ids = pa.array(encode(batch.column("text")), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return _read(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -266,14 +295,14 @@ def round_trip(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
     lexicon = compiled_lexicon(docs, path, size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = coder(path, SparkFiles.get(lexicon))
-        decode, decimal = vocabulary.decoder(), vocabulary.spelling(lambda i: b"%d," % i)
+        own = Coder(path, SparkFiles.get(lexicon))
+        spelled, decimal = own.vocabulary.spelled(), own.vocabulary.spelled(lambda i: b"%d," % i)
         for batch in batches:
-            rows = []
-            for ids in encode(batch.column("text").to_pylist()):
-                listed = hashlib.sha256(decimal(ids)[:-1]).hexdigest()
-                rows.append((len(ids), listed, hashlib.sha256(decode(ids).encode()).hexdigest()))
-            n, listed, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+            n, listed, decoded = [], [], []
+            for ids, bounds in own.chunks(batch.column("text")):
+                n += np.diff(bounds).tolist()
+                listed += [hashlib.sha256(x[:-1]).hexdigest() for x in decimal(ids, bounds)]
+                decoded += [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in spelled(ids, bounds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

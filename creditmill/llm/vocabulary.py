@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
+#: Ids spelled out at once.
+IDS = 500_000
+
 
 def added_tokens(path: str) -> dict[str, int]:
     """Strings that are one token wherever they stand."""
@@ -133,6 +136,26 @@ class Vocabulary:
 
         return spell
 
+    def spelled(self, of: Callable[[int], bytes] | None = None) -> Callable[[np.ndarray, np.ndarray], Iterator[bytes]]:
+        """The same for many texts, whose ids are strung together: a text's spelling for every two of the bounds.
+
+        ``of``: the bytes of an id, if not given.
+        """
+        spell = self.spelling(of or self.bytes_of.__getitem__)
+        lengths = np.array([len(of(i) if of else self.bytes_of[i]) if i in self.bytes_of else 0 for i in range(self.base)], np.int64)
+
+        def each(ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+            first = 0
+            while first < len(bounds) - 1:  # about so many ids at once; of a longer text, piece by piece
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + IDS, "right")) - 1)
+                begin, end = int(bounds[first]), int(bounds[last])
+                said = b"".join(spell(ids[k : min(end, k + IDS)]) for k in range(begin, end, IDS))
+                ends = np.concatenate([[0], np.cumsum(lengths[ids[begin:end]])])[bounds[first : last + 1] - begin].tolist()
+                yield from (said[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+                first = last
+
+        return each
+
     def decoder(self) -> Callable[[np.ndarray], str]:
         """A function from ids to text; unknown ids say nothing."""
         spell = self.spelling(self.bytes_of.__getitem__)

@@ -3,22 +3,27 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from creditmill.llm import bpe_lexicon, packing
+from creditmill.llm import bpe_lexicon, packing, vocabulary, word_split
 from creditmill.llm import tokens as token_ids
 from creditmill.llm.bpe_lexicon import Lexicon, compile_words, coder, decode_documents, encode_documents, round_trip, thinned, to_file
 from creditmill.llm.packing import Search, best_fit, least_bins, pack, packed_documents, pieces_of
+from creditmill.llm.shingles import chunks
 from creditmill.llm.token_store import EliasFano, Store, stored_tokens, write_store
-from creditmill.llm.tokens import encoder
+from creditmill.llm.tokens import WORDS, encoder, splitter
 from creditmill.llm.vocabulary import Vocabulary
+from creditmill.llm.word_split import Words, added_pattern
 from tests.llm.fixtures import documents, empty, odd_texts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +57,69 @@ def test_encoders_equal_the_library(library, texts, tmp_path):
     assert [x.tolist() for x in encode(texts)] == want
 
 
+def words_of(texts, added=None):
+    found = []
+    for _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+        words = Words(data, offsets, added)
+        own = words.bytes_of(np.arange(len(words.begin)))
+        place, number, rows = words.distinct()
+        assert [own[k] for k in place[number]] == own and len({own[k] for k in place}) == len(place)
+        assert [r.tobytes()[: len(own[k])] for k, r in zip(place, rows, strict=True)] == [own[k][:32] for k in place]
+        found += [[w.decode() for w in own[a:b]] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    return found
+
+
+def test_words_of_many_texts_equal_the_pattern(texts):
+    split = splitter(PATH)
+    rnd = random.Random(4)
+    blanks = [" ", "  ", "\n", " \n", "\u00a0", "\u2003 ", "\u3000", "'", "'s", "'ll", "'re", "''d", "s", "v", "e", "l", "é", "1", "½", "日本", ".", "😀", "\u0301", "\x00"]
+    more = ["".join(rnd.choice(blanks) for _ in range(rnd.randrange(12))) for _ in range(20_000)] + ["y" * 40 + " " + "y" * 41 + " " + "y" * 40, "\x00", "a\x00 a", None]
+    assert words_of(texts + more, added_pattern(PATH)) == [split(t or "") for t in texts + more]
+    assert words_of([]) == [] and words_of(["", None]) == [[], []]
+    everything = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    assert words_of([everything]) == [regex.findall(WORDS, everything)]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch, texts):
+    monkeypatch.setattr(word_split, "mixed", lambda x: x & np.uint64(3))
+    words_of(texts[:300], added_pattern(PATH))
+
+
+def test_invalid_text_is_an_error(tmp_path):
+    file = tmp_path / "lexicon.bin"
+    file.write_bytes(to_file(compile_words([], Vocabulary(PATH).merge)))
+    broken = pa.array([b"a", b"b\xff\xe2"], pa.binary()).view(pa.string())
+    with pytest.raises(pa.ArrowInvalid):
+        list(coder(PATH, str(file))[0](broken))
+
+
+def test_encoding_takes_less_time_than_the_pattern(tmp_path):
+    rnd, split = random.Random(6), splitter(PATH)
+    own = sorted({"".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)})
+    texts = [" ".join(rnd.choices(own, k=400)) for _ in range(1000)]
+    file = tmp_path / "lexicon.bin"
+    file.write_bytes(to_file(compile_words([w.encode() for x in own for w in (x, " " + x)], Vocabulary(PATH).merge)))
+    encode, _ = coder(PATH, str(file))
+    taken = []
+    for work in (lambda: list(encode(texts)), lambda: list(map(split, texts))):
+        runs = []
+        for _ in range(4):
+            start = time.process_time()
+            work()
+            runs.append(time.process_time() - start)
+        taken.append(min(runs))
+    assert taken[0] < taken[1]
+
+
+def test_spelling_of_many_texts(monkeypatch):
+    monkeypatch.setattr(vocabulary, "IDS", 5)
+    own = Vocabulary(PATH)
+    ids, bounds = np.arange(300, 340), np.array([0, 0, 3, 20, 21, 40, 40])
+    want = [b"".join(own.bytes_of[i] for i in ids[a:b].tolist()) for a, b in itertools.pairwise(bounds)]
+    assert list(own.spelled()(ids, bounds)) == want
+    assert list(own.spelled(lambda i: b"%d," % i)(ids, bounds)) == [b"".join(b"%d," % i for i in ids[a:b]) for a, b in itertools.pairwise(bounds)]
+
+
 def test_decoder_equals_the_library(library):
     rnd, decode = random.Random(2), Vocabulary(PATH).decoder()
     for _ in range(300):  # most of these are no whole characters
