@@ -322,11 +322,11 @@ def merged_profile(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     parts = [profiles.profile(df.filter(F.pmod("o_orderkey", F.lit(5)) == k)) for k in range(5)]
     report = profiles.profile_report(profiles.merge_profiles(*parts), (0.5,))
+    middle = profiles.exact_percentiles(df, [c for c in df.columns if c != "o_orderpriority"], (0.5 - profiles.RANK_ERROR, 0.5 + profiles.RANK_ERROR))
     exact = []
     for c in df.columns:
-        number = F.col(c).cast("double") if c != "o_orderpriority" else F.lit(None).cast("double")
-        facts = df.agg(F.countDistinct(c).alias("n"), F.percentile(number, 0.5 - profiles.RANK_ERROR).alias("a"), F.percentile(number, 0.5 + profiles.RANK_ERROR).alias("b"))
-        exact.append(facts.withColumn("name", F.lit(c)))
+        a, b = [F.lit(x).cast("double") for x in middle.get(c, (None, None))]
+        exact.append(df.agg(F.countDistinct(c).alias("n")).select("n", a.alias("a"), b.alias("b"), F.lit(c).alias("name")))
     both = report.join(reduce(DataFrame.union, exact), F.col("column") == F.col("name"))
     median = F.element_at("quantiles", F.lit(0.5))
     return both.select(

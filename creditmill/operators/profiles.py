@@ -10,10 +10,12 @@ Bounds: estimates of distinct values are within ``DISTINCT_ERROR`` and ranks of
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,8 @@ RANK_K, RANK_ERROR = 400, 0.01
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Steps of the grid of quantiles by which two profiles are compared.
 STEPS = 100
+#: Cells into which a search for exact percentiles divides what is left of a column's range; rows counted by value.
+CELLS, REST = 1 << 12, 1 << 16
 #: Cells and rows of a count-min sketch.
 WIDTH, DEPTH = 1 << 14, 4
 
@@ -96,6 +100,60 @@ def profile_report(profiles: DataFrame, quantiles: Sequence[float] = QUANTILES)
     )
 
 
+def _cell(value: Column, low: float, high: float, cells: int) -> Column:
+    """The number of the cell that a value from ``low`` to ``high`` is in; the two are never in the same one."""
+    low_, high_ = max(low, -sys.float_info.max), min(high, sys.float_info.max)
+    width = high_ / 2 - low_ / 2
+    if width == 0:
+        return (value > low).cast("long")
+    share = F.least(F.greatest((value / 2 - low_ / 2) / width, F.lit(0.0)), F.lit(1.0))
+    return F.least(F.floor(share * cells), F.lit(cells - 1).cast("long"))
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], cells: int = CELLS, rest: int = REST) -> dict[str, list[float | None]]:
+    """Percentiles of number columns as ``percentile`` gives them, where its map of all values does not fit one task.
+
+    A place in a column's order is sought between the lowest and the highest value: a pass counts the rows of
+    ``cells`` cells between them, and the cell that holds the place is divided next, all columns at once. When it has
+    ``rest`` rows or fewer, they are counted by value; values that are spread take two or three passes, and
+    the widest range of doubles fewer than two hundred. No task gets more than the counts of cells or of such a rest.
+    NULL and NaN do not count; a column without values has none.
+    """
+    number = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
+    values = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = values.agg(*[f(f"c{i}").alias(f"{f.__name__}{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max)]).first()
+    at = {(i, q): (ends[f"count{i}"] - 1) * q for i in range(len(columns)) for q in shares if ends[f"count{i}"]}
+    # Where the value at a place is: from, to, rows before that, rows there.
+    held = {(i, p): (ends[f"min{i}"], ends[f"max{i}"], 0, ends[f"count{i}"]) for (i, _), x in at.items() for p in (math.floor(x), math.ceil(x))}
+    while True:
+        ranges = sorted({(i, *h) for (i, _), h in held.items() if h[0] < h[1]})
+        if not ranges:
+            break
+        inside = [F.col(f"c{i}").between(low, high) for i, low, high, _, _ in ranges]
+        parts = [
+            F.when(here, F.struct(F.lit(k).alias("range"), (F.col(f"c{i}") if n <= rest else _cell(F.col(f"c{i}"), low, high, cells)).cast("double").alias("cell"), F.col(f"c{i}").alias("value")))
+            for k, (here, (i, low, high, _, n)) in enumerate(zip(inside, ranges, strict=True))
+        ]
+        rows = values.where(reduce(Column.__or__, inside)).select(F.inline(F.array_compact(F.array(*parts))))
+        counts = rows.groupBy("range", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("range").orderBy("cell")))
+        sought = {key: (ranges.index((key[0], *h)), key[1] - h[2]) for key, h in held.items() if h[0] < h[1]}
+        hit = [(F.col("range") == k) & (F.col("upto") > p) & (F.col("upto") - F.col("n") <= p) for k, p in set(sought.values())]
+        found = upto.where(reduce(Column.__or__, hit)).collect()  # a row for each place sought, at most
+        for key, (k, p) in sought.items():
+            r = next(r for r in found if r["range"] == k and r["upto"] - r["n"] <= p < r["upto"])
+            held[key] = (r["low"], r["high"], held[key][2] + r["upto"] - r["n"], r["n"])
+
+    def value(i: int, q: float) -> float | None:
+        if (i, q) not in at:
+            return None
+        x = at[i, q]
+        low, high = held[i, math.floor(x)][0], held[i, math.ceil(x)][0]
+        return low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+
+    return {c: [value(i, q) for q in shares] for i, c in enumerate(columns)}
+
+
 def _farthest(one: Column, other: Column) -> Column:
     """The farthest that a value of one grid of quantiles is from its share in the other grid.
 

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from creditmill.operators.bitfilters import drop_exact_duplicates_filtered
 from creditmill.operators.profiles import (
-    DISTINCT_ERROR, QUANTILES, RANK_ERROR, count_min, drift_report, merge_counts, merge_profiles, profile, profile_report, top_values,
+    DISTINCT_ERROR, QUANTILES, RANK_ERROR, count_min, drift_report, exact_percentiles, merge_counts, merge_profiles, profile, profile_report, top_values,
 )
 from creditmill.operators.quality import value_frequencies
 from tests.conftest import rows
@@ -49,6 +50,29 @@ def test_parts_merge_into_the_whole(table):
     check(report(again), table)
 
 
+@pytest.mark.parametrize("cells, rest", [(8, 2000), (4096, 1 << 16)])
+def test_exact_percentiles_equal_percentile(spark, cells, rest):
+    columns = {
+        "plain": "cast(id * 7919 % 10007 as int)", "skewed": "exp(id % 30)", "few": "if(id % 4 = 0, null, id % 3)", "one": "5.5D", "none": "cast(null as double)",
+        "not_numbers": "if(id % 5 = 0, double('nan'), -id * 0.1)", "ends": "case id % 7 when 0 then double('-inf') when 1 then double('inf') when 2 then 1.7e308 when 3 then -1.7e308 else id end",
+        "tiny": "if(id % 2 = 0, 4.9e-324D, 1e-323D)", "a.b": "-id", "wide": "9007199254740993 + id",
+    }
+    df = spark.range(3001).selectExpr(*[f"{x} AS `{c}`" for c, x in columns.items()]).repartition(5)
+    shares = (0.0, 0.1, 0.3337, 0.49, 0.51, 1.0)
+    found = exact_percentiles(df, list(columns), shares, cells, rest)
+    number = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
+    want = df.agg(*[F.percentile(number(c), F.array(*map(F.lit, shares))) for c in columns]).first()
+    assert found == {c: list(w) if w else [None] * len(shares) for c, w in zip(columns, want, strict=True)}
+    some = ["plain", "few", "tiny", "wide"]
+    assert exact_percentiles(df, some, shares, 64, 0) == {c: found[c] for c in some}
+    assert exact_percentiles(df.limit(0), ["plain"], (0.5,)) == {"plain": [None]}
+
+
+def test_merged_profile_holds_no_values_of_a_column_in_one_task(spark, sf_dir):
+    plan = QUERIES["merged_profile"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan.lower()
+
+
 def test_profiles_are_stored_and_merged_later(spark, table, tmp_path):
     for k in range(2):
         profile(table.filter(F.col("id") % 2 == k)).write.parquet(f"{tmp_path}/{k}")
