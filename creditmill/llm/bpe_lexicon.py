@@ -31,6 +31,8 @@ from creditmill.llm.word_split import LONGEST, Words, added_pattern
 
 #: Words in the automaton, of at most ``LONGEST`` bytes; words a task's summary keeps.
 LEXICON, SUMMARY = 65_536, 100_000
+#: Bytes of text whose words are split, counted and looked up at once.
+AT_ONCE = 1 << 21
 #: Words outside the automaton that a task remembers.
 REMEMBERED = 200_000
 
@@ -167,7 +169,7 @@ class Coder:
     def chunks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of some texts, strung together, and where each text's begin; some more; until all texts are done."""
         texts.validate(full=True)
-        for _, data, offsets in chunks(texts):
+        for _, data, offsets in chunks(texts, AT_ONCE):
             words = Words(data, offsets, self.added)
             place, number, rows = words.distinct()
             begin, n, pool = self._ids(words, place, rows)
@@ -225,7 +227,7 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]
         added, counts = added_pattern(path), Counter()
         for batch in batches:
             batch.column("text").validate(full=True)
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), AT_ONCE):
                 words = Words(data, offsets, added)
                 place, number, _ = words.distinct()
                 short = words.size[place] <= LONGEST

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import components, slices, stored
+from creditmill.llm.common import components, in_slices, slices, stored
 from creditmill.llm.shingles import mixed, shingle_sets
 
 _U = np.uint64
@@ -142,10 +142,10 @@ def _dealt_shingles(docs: DataFrame, words: int, parts: int, names: dict[tuple[i
                 sets.append(tokens)
                 held += len(tokens)
                 if held > 3_000_000:
-                    yield flush()
+                    yield from in_slices(flush())
                     items, sets, held = [], [], 0
         if items:
-            yield flush()
+            yield from in_slices(flush())
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(deal, _BLOCK)
 
@@ -170,7 +170,8 @@ def _count_occurrences(parts: int):
         owner, keys = owner[shared], keys[shared]
         ranks = np.minimum(255, np.ceil(np.log2(often[shared]) * 8)).astype(np.uint8)
         to = mixed(items.view(_U))[owner] % _U(parts)
-        return pa.Table.from_batches([_blocks(parts, to, items, sizes, owner, keys, ranks)])
+        found = _blocks(parts, to, items, sizes, owner, keys, ranks)
+        return pa.Table.from_batches(in_slices(found), found.schema)
 
     return count
 
@@ -196,7 +197,8 @@ def _survivors(percent: int):
                 rows["prefix"].append(int(b - a) - least + 1)
                 rows["tokens"].append(keys[a:b].tobytes())
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+        found = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+        return pa.Table.from_batches(in_slices(found), found.schema)
 
     return choose
 
@@ -210,7 +212,7 @@ def _dealt_prefixes(sets: DataFrame, parts: int) -> DataFrame:
             keys = mixed(np.concatenate(tokens))
             owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
             items = batch.column("item").to_numpy(zero_copy_only=False)
-            yield _blocks(parts, (keys >> _U(48)) % _U(parts), items, np.zeros(len(items)), owner, keys, None)
+            yield from in_slices(_blocks(parts, (keys >> _U(48)) % _U(parts), items, np.zeros(len(items)), owner, keys, None))
 
     return sets.mapInArrow(deal, _BLOCK)
 
